@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from .mixing import OP1_SQL, op1_pareto_mix
 from .sentencepiece_bpe import op7_sentencepiece
+from .token_files import op10_token_parquet
 
 QUERIES = {
+    "op1_pareto_mix": op1_pareto_mix,
     "op7_sentencepiece": op7_sentencepiece,
+    "op10_token_parquet": op10_token_parquet,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_pareto_mix": OP1_SQL,
+}

@@ -30,7 +30,7 @@ class ByteEncoder:
     """Whole texts to ids as the tokenizers library gives them, by segments that it encodes once each.
 
     Texts are cut only where the byte-level pre-tokenizer always cuts (before a space that a visible character
-    follows; between other white space and text; between letters and punctuation without apostrophes) or, within a
+    follows; around a single other blank; between letters and punctuation without apostrophes) or, within a
     run of Latin letters, between two bytes that stand side by side in no vocabulary entry.
     """
 
@@ -74,7 +74,9 @@ class ByteEncoder:
         seen = self.visible[b]
         c = (b == 32) & False
         c[:-1] = (b[:-1] == 32) & self.visible[d[2:]]  # before a space that goes with what follows
-        c |= self.blank[a] & seen
+        lone = np.zeros(n - 1, bool)  # a single blank behind text
+        lone[1:] = self.blank[a[1:]] & ((a[:-1] > 32) & (a[:-1] < 127) | ends[:-2])
+        c |= lone & seen
         c |= (self.visible[a] | ends[:-1]) & (a != 32) & (a < 128) & self.blank[b]
         c |= e & mb
         c |= ma & s
