@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+from .media_avi import op5_avi_mjpeg
 from .mixing import OP1_SQL, op1_pareto_mix
 from .sentencepiece_bpe import op7_sentencepiece
+from .simhash import op4_simhash_variants
 from .token_files import op10_token_parquet
+from .url_filter import OP8_SQL, op8_url_cascade
 
 QUERIES = {
     "op1_pareto_mix": op1_pareto_mix,
+    "op4_simhash_variants": op4_simhash_variants,
+    "op5_avi_mjpeg": op5_avi_mjpeg,
     "op7_sentencepiece": op7_sentencepiece,
+    "op8_url_cascade": op8_url_cascade,
     "op10_token_parquet": op10_token_parquet,
 }
 
 ORACLES: dict[str, str] = {
     "op1_pareto_mix": OP1_SQL,
+    "op8_url_cascade": OP8_SQL,
 }

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table, text_slices
 from .segments import SegmentCache, by_document, reach
@@ -215,7 +216,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", de
     outs = [ids] + [decoded] * (decoded is not None)
     keep = [c for c in docs.columns if c not in outs]
     schema = docs.select(*keep).schema
-    for name, kind in zip(outs, ("array<int>", "string")):
+    for name, kind in zip(outs, (T.ArrayType(T.IntegerType()), T.StringType())):
         schema = schema.add(name, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
