@@ -6,6 +6,7 @@ from .media_avi import op5_avi_mjpeg
 from .mixing import OP1_SQL, op1_pareto_mix
 from .sentencepiece_bpe import op7_sentencepiece
 from .simhash import op4_simhash_variants
+from .suffix_dedup import op9_suffix_refinement
 from .token_files import op10_token_parquet
 from .url_filter import OP8_SQL, op8_url_cascade
 
@@ -15,6 +16,7 @@ QUERIES = {
     "op5_avi_mjpeg": op5_avi_mjpeg,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_url_cascade": op8_url_cascade,
+    "op9_suffix_refinement": op9_suffix_refinement,
     "op10_token_parquet": op10_token_parquet,
 }
 

@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from .common import shuffle_parts, table, text_slices
 
 #: Bytes of a q-gram: it picks the task of a string, and its buckets are the first ones.
-Q = 16
+Q = 12
 #: Bytes of piece text that are refined together; pieces of one q-gram stay together.
 REFINE_BYTES = 3 << 20
+LEVEL = 6  # of zstd in blobs
 NO_ID = np.int64(2**63 - 1)  # stands for a null doc_id, which removes nothing
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -29,7 +30,7 @@ def _pack(*arrays: np.ndarray) -> bytes:
     parts = [struct.pack("<B", len(arrays))]
     for a in arrays:
         parts += [struct.pack("<BQ", _KINDS.index(a.dtype.type), a.size), a.tobytes()]
-    return zstandard.compress(b"".join(parts), 3)
+    return zstandard.compress(b"".join(parts), LEVEL)
 
 
 def _unpack(blob: bytes) -> list[np.ndarray]:
@@ -74,7 +75,7 @@ def pieces(raw: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarra
         z = np.zeros(0, np.int64)
         return z, z, z, z, z.astype(np.uint32)
     c = _code8(raw)
-    c = c[: len(c) - 8] * np.uint64(0xC2B2AE3D27D4EB4F) + c[8:] * np.uint64(0x165667B19E3779F9)
+    c = c[: len(c) - (Q - 8)] * np.uint64(0xC2B2AE3D27D4EB4F) + c[Q - 8 :] * np.uint64(0x165667B19E3779F9)
     c ^= c >> np.uint64(29)
     c *= np.uint64(0xBF58476D1CE4E5B9)
     h = (c & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(c), dtype=np.uint64)
@@ -167,7 +168,7 @@ def _repeated(blobs: list[bytes], length: int) -> Iterator[bytes]:
     start = np.cumsum(size) - size
     if not len(start):
         return
-    gram = text[(start + mark)[:, None] + np.arange(Q)].view(np.uint64)
+    gram = text[(start + mark)[:, None] + np.append(np.arange(8), np.arange(Q - 8, Q))].view(np.uint64)
     one = gram[:, 0] * np.uint64(0xC2B2AE3D27D4EB4F) ^ (gram[:, 1] * np.uint64(0x165667B19E3779F9) >> np.uint64(7)) ^ gram[:, 1]
     order = np.argsort(one, kind="stable")
     head = np.flatnonzero(np.concatenate([[True], np.diff(one[order]) != 0]))
