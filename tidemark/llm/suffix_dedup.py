@@ -154,6 +154,16 @@ def refine(text: np.ndarray, start: np.ndarray, size: np.ndarray, length: int) -
     return now, bucket[now]
 
 
+def _context(text: np.ndarray, first: np.ndarray, size: int) -> np.ndarray:
+    """A number for the `size` bytes from each place; unlike bytes may share one, equal bytes always do."""
+    code = np.zeros(len(first), np.uint64)
+    for k in [*range(0, size - 8, 8), size - 8]:
+        word = text[first[:, None] + np.arange(k, k + 8)].view(np.uint64)[:, 0]
+        code = (code ^ word) * np.uint64(0xBF58476D1CE4E5B9)
+        code ^= code >> np.uint64(29)
+    return code
+
+
 def _repeated(blobs: list[bytes], length: int) -> Iterator[bytes]:
     """Spans of the pieces in blobs whose strings also start in a document of a smaller id."""
     if not blobs:
@@ -168,14 +178,35 @@ def _repeated(blobs: list[bytes], length: int) -> Iterator[bytes]:
     start = np.cumsum(size) - size
     if not len(start):
         return
-    gram = text[(start + mark)[:, None] + np.append(np.arange(8), np.arange(Q - 8, Q))].view(np.uint64)
-    one = gram[:, 0] * np.uint64(0xC2B2AE3D27D4EB4F) ^ (gram[:, 1] * np.uint64(0x165667B19E3779F9) >> np.uint64(7)) ^ gram[:, 1]
-    order = np.argsort(one, kind="stable")
-    head = np.flatnonzero(np.concatenate([[True], np.diff(one[order]) != 0]))
-    who = ids[doc[order]]
-    group = np.diff(np.append(head, len(order)))
-    shared = np.repeat(np.minimum.reduceat(who, head) != np.maximum.reduceat(who, head), group)
-    order, group = order[shared], group[shared[head]]
+    # pieces alike are refined once, with the smallest doc_id; all strings of the others also start there
+    group = _alike(text, start, size)
+    least = np.full(len(start), NO_ID)
+    np.minimum.at(least, group, ids[doc])
+    whole = ids[doc] > least[group]
+    if whole.any():
+        yield from _spans(key[doc[whole]], place[whole], place[whole] + size[whole])
+    left = ~whole
+    doc, place, size, mark, start = doc[left], place[left], size[left], mark[left], start[left]
+    # a string of `length` bytes reaches SIDE bytes beyond its q-gram on one side at least: buckets of q-grams are
+    # refined by what stands there, and pieces alone with their document on both sides are final
+    who = ids[doc]
+    at, side = start + mark, (length - Q) // 2
+    keep = np.zeros(len(start), bool)
+    for first, room in ((at - side, mark >= side), (at, mark + Q + side <= size)):
+        x = np.flatnonzero(room)
+        code = _context(text, first[x], Q + side)
+        order = np.argsort(code, kind="stable")
+        head = np.flatnonzero(np.concatenate([[True], np.diff(code[order].view(np.int64)) != 0])) if len(x) else order
+        if len(x):
+            w = who[x][order]
+            keep[x[order]] |= np.repeat(np.minimum.reduceat(w, head) != np.maximum.reduceat(w, head), np.diff(np.append(head, len(x))))
+    some = np.flatnonzero(keep)
+    if not len(some):
+        return
+    one = _context(text, at[some], Q)
+    by = np.argsort(one, kind="stable")
+    order = some[by]
+    group = np.diff(np.append(np.flatnonzero(np.concatenate([[True], np.diff(one[by].view(np.int64)) != 0])), len(order)))
     done = 0
     ends = np.cumsum(group)
     mass = np.cumsum(size[order])
