@@ -18,6 +18,7 @@ from .common import shuffle_parts, table, text_slices
 Q = 12
 #: Bytes of piece text that are refined together; pieces of one q-gram stay together.
 REFINE_BYTES = 3 << 20
+SLICE = 3 << 20  # text bytes cut into pieces together
 LEVEL = 6  # of zstd in blobs
 NO_ID = np.int64(2**63 - 1)  # stands for a null doc_id, which removes nothing
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -176,61 +177,61 @@ def _repeated(blobs: list[bytes], length: int) -> Iterator[bytes]:
     text = np.concatenate([r[6] for r in rows])
     del rows
     start = np.cumsum(size) - size
-    if not len(start):
-        return
+    one = _context(text, start + mark, Q)
+    order = np.argsort(one, kind="stable")
+    ends = np.append(np.flatnonzero(np.diff(one[order].view(np.int64)) != 0) + 1, len(order))
+    mass = np.cumsum(size[order])
+    done = first = 0
+    while done < len(ends):  # whole q-gram buckets, REFINE_BYTES at a time
+        limit = (mass[first - 1] if first else 0) + REFINE_BYTES
+        done = max(done + 1, int(np.searchsorted(mass[ends - 1], limit, "right")))
+        part = order[first : ends[done - 1]]
+        first = ends[done - 1]
+        n = size[part]
+        yield from _repeated_block(text[_spread(start[part], n)], key[doc[part]], ids[doc[part]], place[part], n, mark[part], length)
+
+
+def _repeated_block(text: np.ndarray, key: np.ndarray, who: np.ndarray, place: np.ndarray, size: np.ndarray, mark: np.ndarray, length: int) -> Iterator[bytes]:
+    """As _repeated, for the pieces of whole q-gram buckets, whose bytes follow each other in text."""
+    start = np.cumsum(size) - size
     # pieces alike are refined once, with the smallest doc_id; all strings of the others also start there
     group = _alike(text, start, size)
     least = np.full(len(start), NO_ID)
-    np.minimum.at(least, group, ids[doc])
-    whole = ids[doc] > least[group]
+    np.minimum.at(least, group, who)
+    whole = who > least[group]
     if whole.any():
-        yield from _spans(key[doc[whole]], place[whole], place[whole] + size[whole])
-    left = ~whole
-    doc, place, size, mark, start = doc[left], place[left], size[left], mark[left], start[left]
+        yield from _spans(key[whole], place[whole], place[whole] + size[whole])
+    left = np.flatnonzero(~whole)
     # a string of `length` bytes reaches SIDE bytes beyond its q-gram on one side at least: buckets of q-grams are
     # refined by what stands there, and pieces alone with their document on both sides are final
-    who = ids[doc]
     at, side = start + mark, (length - Q) // 2
     keep = np.zeros(len(start), bool)
-    for first, room in ((at - side, mark >= side), (at, mark + Q + side <= size)):
-        x = np.flatnonzero(room)
-        code = _context(text, first[x], Q + side)
-        order = np.argsort(code, kind="stable")
-        head = np.flatnonzero(np.concatenate([[True], np.diff(code[order].view(np.int64)) != 0])) if len(x) else order
+    for head, room in ((at - side, mark >= side), (at, mark + Q + side <= size)):
+        x = left[room[left]]
         if len(x):
-            w = who[x][order]
-            keep[x[order]] |= np.repeat(np.minimum.reduceat(w, head) != np.maximum.reduceat(w, head), np.diff(np.append(head, len(x))))
-    some = np.flatnonzero(keep)
-    if not len(some):
+            code = _context(text, head[x], Q + side)
+            by = np.argsort(code, kind="stable")
+            heads = np.flatnonzero(np.concatenate([[True], np.diff(code[by].view(np.int64)) != 0]))
+            w = who[x][by]
+            keep[x[by]] |= np.repeat(np.minimum.reduceat(w, heads) != np.maximum.reduceat(w, heads), np.diff(np.append(heads, len(x))))
+    part = np.flatnonzero(keep)
+    if not len(part):
         return
-    one = _context(text, at[some], Q)
-    by = np.argsort(one, kind="stable")
-    order = some[by]
-    group = np.diff(np.append(np.flatnonzero(np.concatenate([[True], np.diff(one[by].view(np.int64)) != 0])), len(order)))
-    done = 0
-    ends = np.cumsum(group)
-    mass = np.cumsum(size[order])
-    while done < len(group):
-        first = ends[done] - group[done]
-        limit = (mass[first - 1] if first else 0) + REFINE_BYTES
-        last = max(done + 1, int(np.searchsorted(mass[ends - 1], limit, "right")))
-        part = order[first : ends[last - 1]]
-        done = last
-        n = size[part]
-        at, bucket = refine(text[_spread(start[part], n)], np.cumsum(n) - n, n, length)
-        owner = np.repeat(np.arange(len(part)), n - (length - 1))
-        own = ids[doc[part]][owner]
-        by = np.argsort(bucket, kind="stable")
-        heads = np.flatnonzero(np.concatenate([[True], np.diff(bucket[by]) != 0]))
-        least = np.empty(len(by), np.int64)
-        least[by] = np.repeat(np.minimum.reduceat(own[by], heads), np.diff(np.append(heads, len(by))))
-        gone = np.flatnonzero(least < own)
-        if len(gone):
-            cut = np.concatenate([[True], (np.diff(gone) != 1) | (np.diff(owner[gone]) != 0)])
-            a, b = gone[cut], gone[np.concatenate([cut[1:], [True]])]
-            p = part[owner[a]]
-            off = place[p] - (np.cumsum(n) - n)[owner[a]]
-            yield from _spans(key[doc[p]], at[a] + off, at[b] + off + length)
+    n = size[part]
+    at, bucket = refine(text[_spread(start[part], n)], np.cumsum(n) - n, n, length)
+    owner = np.repeat(np.arange(len(part)), n - (length - 1))
+    own = who[part][owner]
+    by = np.argsort(bucket, kind="stable")
+    heads = np.flatnonzero(np.concatenate([[True], np.diff(bucket[by]) != 0]))
+    least = np.empty(len(by), np.int64)
+    least[by] = np.repeat(np.minimum.reduceat(own[by], heads), np.diff(np.append(heads, len(by))))
+    gone = np.flatnonzero(least < own)
+    if len(gone):
+        cut = np.concatenate([[True], (np.diff(gone) != 1) | (np.diff(owner[gone]) != 0)])
+        a, b = gone[cut], gone[np.concatenate([cut[1:], [True]])]
+        p = part[owner[a]]
+        off = place[p] - (np.cumsum(n) - n)[owner[a]]
+        yield from _spans(key[p], at[a] + off, at[b] + off + length)
 
 
 def _spans(key: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[bytes]:
@@ -279,7 +280,7 @@ def deduplicate(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", text:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some, raw, offsets in text_slices(batch, "_t", 8 << 20):
+            for some, raw, offsets in text_slices(batch, "_t", SLICE):
                 key, ids = ids_of(some)
                 doc, place, size, gram, h = pieces(raw, offsets, length)
                 if not len(doc):
@@ -317,7 +318,7 @@ def deduplicate(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", text:
 
     def pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some, raw, offsets in text_slices(batch, "_t", 8 << 20):
+            for some, raw, offsets in text_slices(batch, "_t", SLICE):
                 key, ids = ids_of(some)
                 here = np.asarray(some.column(1).is_valid()).astype(np.uint8)
                 home = key.view(np.uint64) % np.uint64(parts)
