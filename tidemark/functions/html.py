@@ -8,10 +8,12 @@ from urllib.parse import parse_qs, urljoin, urlparse
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BASE = "https://shironet.mako.co.il"
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-HIT = "struct<title:string,artist:string,prfid:string,wrkid:string,url:string>"
+_record = lambda **kinds: T.StructType([T.StructField(k, t) for k, t in kinds.items()])
+HIT = _record(**dict.fromkeys(("title", "artist", "prfid", "wrkid", "url"), T.StringType()))
 
 
 class Node:
@@ -125,23 +127,23 @@ def lyrics_page(html: str) -> dict | None:
     return {"lyrics": re.sub(r"\n{3,}", "\n\n", "".join(body.strings())).strip(), "page_title": first("artist_song_name_txt"), "page_artist": first("artist_singer_title")}
 
 
-@F.pandas_udf(f"array<{HIT}>")
+@F.pandas_udf(T.ArrayType(HIT))
 def parse_search(html: pd.Series) -> pd.Series:
     return html.map(lambda h: search_hits(h or ""))
 
 
-@F.pandas_udf(f"array<{HIT}>")
+@F.pandas_udf(T.ArrayType(HIT))
 def parse_works(html: pd.Series, prfid: pd.Series) -> pd.Series:
     return pd.Series([artist_works(h or "", p or "") for h, p in zip(html, prfid)])
 
 
-@F.pandas_udf("struct<found:boolean,lyrics:string,page_title:string,page_artist:string>")
+@F.pandas_udf(_record(found=T.BooleanType(), lyrics=T.StringType(), page_title=T.StringType(), page_artist=T.StringType()))
 def parse_lyrics(html: pd.Series) -> pd.DataFrame:
     rows = [lyrics_page(h or "") for h in html]
     return pd.DataFrame([{"found": r is not None} | (r or {"lyrics": None, "page_title": None, "page_artist": None}) for r in rows], columns=["found", "lyrics", "page_title", "page_artist"])
 
 
-@F.pandas_udf("struct<title:string,n_links:int,n_words:int>")
+@F.pandas_udf(_record(title=T.StringType(), n_links=T.IntegerType(), n_words=T.IntegerType()))
 def page_summary(html: pd.Series) -> pd.DataFrame:
     """A page's title, links and visible words."""
     rows = []

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def common(a: str, b: str) -> int:
@@ -52,7 +53,7 @@ def partial_ratio(a: str, b: str) -> float:
     return max(best, max(ratio(b, a[max(0, i) : i + n]) for i in range(1 - n, n))) if len(a) == len(b) else best
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def title_score(clean_a: pd.Series, clean_b: pd.Series) -> pd.Series:
     """Of two cleaned titles: the better of the glued and the word-sorted ratio; 0 if either is empty."""
 
@@ -64,7 +65,7 @@ def title_score(clean_a: pd.Series, clean_b: pd.Series) -> pd.Series:
     return pd.Series([one(a, b) for a, b in zip(clean_a, clean_b)], dtype=float)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def artist_score(variants: pd.Series, artist: pd.Series) -> pd.Series:
     """The best of an artist's cleaned variants against a cleaned name; partial matches need four characters."""
 
@@ -77,7 +78,7 @@ def artist_score(variants: pd.Series, artist: pd.Series) -> pd.Series:
     return pd.Series([one(v, s) for v, s in zip(variants, artist)], dtype=float)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def audit_score(variants: pd.Series, artist: pd.Series) -> pd.Series:
     """The audit's score: raw names, partial or word-set ratio."""
 
@@ -89,6 +90,6 @@ def audit_score(variants: pd.Series, artist: pd.Series) -> pd.Series:
     return pd.Series([one(v, s) for v, s in zip(variants, artist)], dtype=float)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([0.0 if x is None or y is None else ratio(x, y) for x, y in zip(a, b)], dtype=float)

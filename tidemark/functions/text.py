@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Character ranges and signs.
 HEBREW = "[\\u0590-\\u05FF]"
@@ -21,7 +22,7 @@ NON_PERFORMERS = ("הכוכב הבא", "כאן - תאגיד השידור היש
 SECTIONS = ("פזמון", "בית", "גשר", "מעבר", "chorus", "verse", "bridge", "intro", "outro")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 

@@ -58,7 +58,7 @@ def monthly_means(series: DataFrame) -> DataFrame:
     """Means by month, with a null mean for months without weeks between a series' first and last."""
     month = F.trunc("week_date", "MM")
     span = series.groupBy("series").agg(F.sequence(F.min(month), F.max(month), F.expr("INTERVAL 1 MONTH")).alias("m"))
-    spine = span.select("series", F.explode("m").cast("date").alias("month"))
+    spine = span.select("series", F.explode("m").alias("month")).withColumn("month", F.col("month").cast("date"))
     return spine.join(series.groupBy("series", month.cast("date").alias("month")).agg(F.avg("value").alias("mean")), ["series", "month"], "left")
 
 

@@ -1,4 +1,6 @@
 """Every query of the library by name, with its SQL where SQL can express it."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import texts, weekly
+
+QUERIES = weekly.QUERIES | texts.QUERIES
+ORACLES = weekly.ORACLES | texts.ORACLES

@@ -206,12 +206,12 @@ def placebo(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mann_whitney_u(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "part").select("p_brand", (F.col("p_type").contains("BRASS")).cast("int").alias("flag"), F.col("p_size").cast("double").alias("value"))
+    x = table(spark, d, "part").select("p_brand", (F.col("p_type").contains("ECONOMY")).cast("int").alias("flag"), F.col("p_size").cast("double").alias("value"))
     return rounded(I.rank_sum(x, "flag", "value", "p_brand"), "u")
 
 
 def mann_whitney_test(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "part").select("p_brand", (F.col("p_type").contains("BRASS")).cast("int").alias("flag"), F.col("p_size").cast("double").alias("value"))
+    x = table(spark, d, "part").select("p_brand", (F.col("p_type").contains("ECONOMY")).cast("int").alias("flag"), F.col("p_size").cast("double").alias("value"))
     return I.rank_sum_test(x, "flag", "value", "p_brand")
 
 
@@ -333,7 +333,7 @@ SELECT series, n, round(slope, 8) + 0.0 AS slope, round(slope / sqrt((syy - sxy
   WINDOW p AS (PARTITION BY series), a AS (PARTITION BY series ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), b AS (PARTITION BY series ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
 SELECT series, t, n, round(((s - s1 - s2) / 2) / ((s1 + s2) / (n - 4)), 5) + 0.0 AS f FROM x WHERE t >= 15 AND t < n - 14""",
     "ar1_trend_unrolled": f"WITH {LONG_SQL}, {_rounds(3)} SELECT series, round(regr_slope(value - rho * bv, t - rho * bt), 8) + 0.0 AS slope, round(any_value(rho), 8) + 0.0 AS rho FROM s3 GROUP BY 1",
-    "mann_whitney_u": f"""WITH x AS (SELECT p_brand, p_type LIKE '%BRASS%' AS flag, rank() OVER (PARTITION BY p_brand ORDER BY p_size) + (count(*) OVER (PARTITION BY p_brand, p_size) - 1) / 2.0 AS r FROM part),
+    "mann_whitney_u": f"""WITH x AS (SELECT p_brand, p_type LIKE '%ECONOMY%' AS flag, rank() OVER (PARTITION BY p_brand ORDER BY p_size) + (count(*) OVER (PARTITION BY p_brand, p_size) - 1) / 2.0 AS r FROM part),
 y AS (SELECT p_brand, count(*) FILTER (WHERE flag) AS n1, count(*) FILTER (WHERE NOT flag) AS n0, sum(r) FILTER (WHERE flag) AS s FROM x GROUP BY 1)
 SELECT p_brand, n1, n0, {R('s - n1 * (n1 + 1) / 2.0 AS u')} FROM y""",
     "version_comparison": f"""WITH {CHARTS_SQL},
