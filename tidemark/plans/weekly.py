@@ -343,7 +343,7 @@ rn AS (SELECT row_number() OVER (ORDER BY week_date) AS t, rank() OVER (ORDER BY
 ro AS (SELECT row_number() OVER (ORDER BY week_date) AS t, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0 AS r FROM o)
 SELECT {R('(SELECT corr(n.v, o.v) FROM n JOIN o USING (week_date)) AS r', '(SELECT corr(t, r) FROM ro) AS rho_old', '(SELECT corr(t, r) FROM rn) AS rho_new')}""",
     "hourly_users": f"SELECT event_type, date_trunc('hour', ts) AS hour, {R('avg(value) AS mean')}, count(DISTINCT user_id) AS users FROM events GROUP BY 1, 2",
-    "weekly_stream_batch": f"SELECT (DATE '1970-01-01' + CAST(floor((epoch(ts) / 86400 - 3) / 7) * 7 + 3 AS INT)) AS week_start, {R('avg(value) AS mean', 'count(*)::DOUBLE AS weight')} FROM events GROUP BY 1",
+    "weekly_stream_batch": f"SELECT (DATE '1970-01-01' + CAST(floor(epoch(ts) / 86400 / 7) * 7 AS INT)) AS week_start, {R('avg(value) AS mean', 'count(*)::DOUBLE AS weight')} FROM events GROUP BY 1",
 }
 
 QUERIES = {f.__name__: f for f in (
