@@ -35,6 +35,14 @@ def written(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """name, with underscores until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, UTF-8 bytes, byte offsets) of consecutive rows of at most `limit` bytes together; null texts are empty."""
     arr = batch.column(batch.schema.get_field_index(column))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_slices, written
+from .common import free_name, table, text_slices, written
 
 UNIT = 64  # samples of a row of blocks; payloads are padded to a multiple
 ROWS = 16  # rows of blocks in a frame
@@ -161,10 +161,11 @@ def to_media(docs: DataFrame, text: str = "text", media: str = "media") -> DataF
     """
     keep = [c for c in docs.columns if c not in (text, media)]
     schema = docs.select(*keep).schema.add(media, "binary")
+    body = free_name(docs.columns, "_t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, raw, off in text_slices(batch, "_t", SLICE):
+            for rows, raw, off in text_slices(batch, body, SLICE):
                 size = np.diff(off)
                 payload = np.maximum(1, -(-size // UNIT)) * UNIT
                 frames = -(-payload // FRAME)
@@ -175,7 +176,7 @@ def to_media(docs: DataFrame, text: str = "text", media: str = "media") -> DataF
                 files = [write_avi(jpeg[i:j], n, p) for i, j, n, p in zip(first[:-1].tolist(), first[1:].tolist(), size.tolist(), payload.tolist())]
                 yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index(c)) for c in keep] + [pa.array(files, pa.binary())], names=keep + [media])
 
-    return docs.select(*keep, F.col(text).alias("_t")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text).alias(body)).mapInArrow(run, schema)
 
 
 def _decoded(batch: pa.RecordBatch, media: str) -> Iterator[tuple[pa.RecordBatch, list, np.ndarray, np.ndarray, list]]:

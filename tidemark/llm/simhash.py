@@ -298,7 +298,7 @@ def _candidates(nodes: DataFrame) -> DataFrame:
         many[:-1] |= same
         key, side = key[many], side[many]
         node, bit = side >> 1, side & 1
-        order = np.lexsort((mixed(node ^ mixed(key).view(np.int64)), bit, key))
+        order = np.lexsort((mixed(node ^ mixed(key >> 40).view(np.int64)), bit, key))  # one order of members a segment
         key, node, bit = key[order], node[order], bit[order]
         n = len(key)
         first = np.maximum.accumulate(np.where(np.concatenate([[True], key[1:] != key[:-1]]), np.arange(n), 0)) if n else order
@@ -334,8 +334,8 @@ def near_classes(docs: DataFrame, similarity: float = 0.8, width: int = 5, doc_i
 
     Texts of the same words, A-Z lower-cased, are one node. Candidates share a segment of the SimHash of their distinct
     words with at most one bit differing: each segment's deletion variants are joined by equality, and each member of
-    a signature is paired with one member that the signature's hash picks, so a group of any size gives no more pairs
-    than members. Pairs within FAR bits are verified on their whole shingle sets. Null and empty texts are one node.
+    a signature is paired with its first member in an order that the segment's hash gives, so a group of any size gives
+    no more pairs than members for each signature, and mostly the same ones for all signatures of a segment. Pairs within FAR bits are verified on their whole shingle sets. Null and empty texts are one node.
     """
     rows = written(sketches(docs, doc_id, text).where("doc_id IS NOT NULL"), "sketches")
     nodes = written(rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.first("sketch").alias("sketch")), "sketch-nodes")

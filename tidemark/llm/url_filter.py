@@ -164,8 +164,10 @@ def is_listed(rows: DataFrame, key: str, cascade: Cascade, out: str = "listed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            here = np.asarray(b.column(b.schema.get_field_index("_here")).to_numpy(zero_copy_only=False), bool)
-            yield pa.RecordBatch.from_arrays(list(b.columns)[: len(keep)] + [pa.array(shared.value.member(*_hashes(b)) & here)], names=keep + [out])
+            h1, h2, here = (b.column(len(keep) + k) for k in range(3))
+            hashes = (np.asarray(h).astype(np.int64).view(np.uint64) for h in (h1, h2))
+            here = np.asarray(here.to_numpy(zero_copy_only=False), bool)
+            yield pa.RecordBatch.from_arrays(list(b.columns)[: len(keep)] + [pa.array(shared.value.member(*hashes) & here)], names=keep + [out])
 
     schema = rows.select(*keep).schema.add(out, "boolean")
     return rows.select(*keep, *_hashed(F.col(key)), F.col(key).isNotNull().alias("_here")).mapInArrow(run, schema)
