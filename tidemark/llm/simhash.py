@@ -204,9 +204,9 @@ def op4_simhash_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Segments and their bits of the sketch that near_classes uses.
-SEGMENTS, WIDTH = 11, 28
+SEGMENTS, WIDTH = 16, 28
 #: Bits of SEGMENTS * WIDTH in which a pair may differ and still be verified.
-FAR = 65
+FAR = 52
 #: Ids that are broadcast at most (8 bytes each); more are joined by a shuffle.
 SMALL = 2_000_000
 
