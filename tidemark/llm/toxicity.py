@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -133,13 +134,13 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
                         if w & _NEXT.keys():
                             a, b = set(ids(w)), set(ids({_NEXT.get(x, x) for x in w}))
                             pairs.add((tuple(sorted(a - b)), tuple(sorted(b - a))))
-                changes.append(repr(sorted(pairs)) if pairs else "")
+                changes.append(json.dumps(sorted(pairs)) if pairs else "")
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(kind, pa.int32()), pa.array(changes)], names=["ids", "toxic", "changes"])
 
     got = sample.mapInArrow(encode, "ids binary, toxic int, changes string").toPandas()
     rows_ = [np.frombuffer(x, np.uint16) for x in got["ids"]]
     y = got["toxic"].to_numpy(float)
-    swaps = Counter(pair for x in got["changes"] if x for pair in eval(x, {"__builtins__": {}}))  # noqa: S307  this module's own repr of tuples of ints
+    swaps = Counter((tuple(a), tuple(b)) for x in got["changes"] if x for a, b in json.loads(x))
     for a, b in _NEXT.items():
         swaps[((place["=" + a],), (place["=" + b],))] += 1
     weights, bias = _solve(rows_, y, swaps, len(names), penalty, ridge)
@@ -147,9 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
 
 def _solve(rows: list[np.ndarray], y: np.ndarray, swaps: Counter, k: int, penalty: float, ridge: float, rounds: int = 600) -> tuple[np.ndarray, float]:
-    order = np.lexsort((y, [len(r) for r in rows]))  # one order of sums, whatever order the rows came in
-    keys = sorted(range(len(rows)), key=lambda i: (rows[i].tobytes(), y[i]))
-    del order
+    keys = sorted(range(len(rows)), key=lambda i: (rows[i].tobytes(), y[i]))  # one order of sums, whatever order the rows came in
     rows, y = [rows[i] for i in keys], y[keys]
     n = len(y)
     col = np.concatenate([*rows, np.zeros(0, np.uint16)]).astype(np.int64)
