@@ -9,7 +9,7 @@ from .common import table, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rank bins of a source: the running sum of words is found over bins first, then within each bin.
-BINS = 4096
+BINS = 1024
 
 
 def source_targets(sources: DataFrame, weights: tuple[int, ...], cap: int) -> DataFrame:
@@ -101,7 +101,8 @@ def mix(
         )
     )
     in_bin = Window.partitionBy("key", "_bin").orderBy("_rank", "u", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    bins = ranked.groupBy("key", "_bin").agg(F.sum("size").alias("_words"))
+    # written, or the planner would deal the tasks' partial sums by source alone to serve the running sum as well
+    bins = written(ranked.groupBy("key", "_bin").agg(F.sum("size").alias("_words")), "mix-bins")
     below = bins.withColumn("_below", F.coalesce(F.sum("_words").over(Window.partitionBy("key").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_words")
     extra = F.when((F.col("_p") >= 1) | (F.col("_p").isNotNull() & (F.col("_below") + F.col("_in") + F.col("size") / 2 <= F.col("_residual"))), 1).otherwise(0)
     return (
