@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from .common import shuffle_parts, table, text_slices
 
 #: Bytes of a q-gram: it picks the task of a string, and its buckets are the first ones.
-Q = 12
+Q = 8
 #: Bytes of piece text that are refined together; pieces of one q-gram stay together.
 REFINE_BYTES = 3 << 20
-SLICE = 3 << 20  # text bytes cut into pieces together
+SLICE = 4 << 20  # text bytes cut into pieces together
 LEVEL = 6  # of zstd in blobs
 NO_ID = np.int64(2**63 - 1)  # stands for a null doc_id, which removes nothing
 _BASE = np.uint64(0x9E3779B97F4A7C15)
