@@ -189,6 +189,12 @@ def resolved_songs(spark: SparkSession, d: str) -> DataFrame:
     return M.resolve(songs.drop("p_type", "p_size"), candidates, empty, none, spark.createDataFrame([], readers.OVERRIDES)).select("uri", "status", "n_parts", "title_score", "artist_score", "shironet_urls")
 
 
+def audit_suspects(spark: SparkSession, d: str) -> DataFrame:
+    """Matched songs whose page's artist is unlike every credited name, not cleared by hand."""
+    p = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("uri"), F.col("p_name").alias("artist_names"), F.lead("p_name").over(Window.partitionBy("p_brand").orderBy("p_partkey")).alias("matched_artist"))
+    return M.audit(p, spark.createDataFrame([], readers.MAPPING), ["1", "2"]).select("uri", "artist_names", "matched_artist", "similarity")
+
+
 def html_parse(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", H.page_summary("html").alias("s")).select("page_id", "s.title", "s.n_links", "s.n_words")
 
@@ -265,5 +271,5 @@ ORACLES["title_normalise"] = (
 QUERIES = {f.__name__: f for f in (
     theme_hits, theme_flags, weekly_theme_share, script_share, text_windows, window_weighted_mean, split_artists, title_normalise, title_parts, url_params, sha1_key,
     page_cache, medley_concat, decide_cases, learn_ids_having, best_candidate, first_accepting_tier, duplicate_pages, keep_first_dedup, last_wins_mapping, union_queue,
-    labels_joins, manual_overrides, formatted, fuzzy_scores, resolved_songs, html_parse, israeli_share_months, top_candidates,
+    labels_joins, manual_overrides, formatted, fuzzy_scores, resolved_songs, audit_suspects, html_parse, israeli_share_months, top_candidates,
 )}

@@ -223,6 +223,19 @@ def numbers_report(spark: SparkSession, d: str) -> DataFrame:
     return c.crossJoin(trends)  # one row on either side
 
 
+def monthly_z(spark: SparkSession, d: str) -> DataFrame:
+    """Monthly means standardised within their series: a heat map's cells."""
+    m = S.monthly_means(long(spark, d))
+    return rounded(m.select("series", "month", F.try_divide(F.col("mean") - F.avg("mean").over(I.by()), F.stddev_samp("mean").over(I.by())).alias("z")))
+
+
+def event_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Events by how many series moved notably, with their names in order of p."""
+    e = S.event_windows(long(spark, d), events(spark)).where("p_perm < 0.2")
+    names = F.transform(F.array_sort(F.collect_list(F.struct("p_perm", "series"))), lambda x: x["series"])
+    return e.groupBy("code").agg(F.count("*").alias("n"), F.array_join(F.array_distinct(names), ", ").alias("series"))
+
+
 def hourly_users(spark: SparkSession, d: str) -> DataFrame:
     """Weighted means of a short series by event type: hours of the event stream."""
     e = table(spark, d, "events")
@@ -342,6 +355,7 @@ o AS (SELECT week_date, sum(joy * streams) / sum(streams) AS v FROM charts JOIN
 rn AS (SELECT row_number() OVER (ORDER BY week_date) AS t, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0 AS r FROM n),
 ro AS (SELECT row_number() OVER (ORDER BY week_date) AS t, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0 AS r FROM o)
 SELECT {R('(SELECT corr(n.v, o.v) FROM n JOIN o USING (week_date)) AS r', '(SELECT corr(t, r) FROM ro) AS rho_old', '(SELECT corr(t, r) FROM rn) AS rho_new')}""",
+    "monthly_z": f"WITH {LONG_SQL}, m AS (SELECT series, date_trunc('month', week_date)::DATE AS month, avg(value) AS mean FROM long GROUP BY 1, 2), spine AS (SELECT series, unnest(generate_series(date_trunc('month', min(week_date))::TIMESTAMP, date_trunc('month', max(week_date))::TIMESTAMP, INTERVAL 1 MONTH))::DATE AS month FROM long GROUP BY 1) SELECT series, month, {R('(mean - avg(mean) OVER (PARTITION BY series)) / stddev_samp(mean) OVER (PARTITION BY series) AS z')} FROM spine LEFT JOIN m USING (series, month)",
     "hourly_users": f"SELECT event_type, date_trunc('hour', ts) AS hour, {R('avg(value) AS mean')}, count(DISTINCT user_id) AS users FROM events GROUP BY 1, 2",
     "weekly_stream_batch": f"SELECT (DATE '1970-01-01' + CAST(floor(epoch(ts) / 86400 / 7) * 7 AS INT)) AS week_start, {R('avg(value) AS mean', 'count(*)::DOUBLE AS weight')} FROM events GROUP BY 1",
 }
@@ -351,5 +365,5 @@ QUERIES = {f.__name__: f for f in (
     value_counts, saturation, first_last_means, monthly_mean, half_year_means, december_effect, cumulative_share, asof_events, event_windows, event_drivers,
     early_late_decomposition, top5_concentration, leave_top_out_peak, rolling3_z, rolling8_min4, pearson, spearman_trend, acf_two_ways, ols_trend, chow_stat,
     chow_anywhere, ar1_trend_unrolled, trend_table, trajectory_shapes, lowess_smooth, change_points, placebo, mann_whitney_u, mann_whitney_test, numbers_report,
-    hourly_users, weekly_stream_batch,
+    monthly_z, event_summary, hourly_users, weekly_stream_batch,
 )}
