@@ -10,6 +10,8 @@ from .common import table, written
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rank bins of a source: the running sum of words is found over bins first, then within each bin.
 BINS = 1024
+#: Sources whose targets are broadcast at most (about 60 bytes each).
+BROADCAST_SOURCES = 500_000
 
 
 def source_targets(sources: DataFrame, weights: tuple[int, ...], cap: int) -> DataFrame:
@@ -85,6 +87,9 @@ def mix(
         .withColumn("_residual", F.col("target") - F.col("_whole") * F.col("source_size"))
         .drop("source")
     )
+    # a row a source: broadcast after a count, or the rows would be dealt by source; beyond it Spark splits hot sources
+    plan = written(plan, "mix-plan")
+    plan = F.broadcast(plan) if plan.count() <= BROADCAST_SOURCES else plan
     p = F.col("_part") * F.col("w") * F.col("source_size") / F.col("_mass")
     odds = F.col("u") / (1 - F.col("u"))
     sampled = F.col("_part") > 0
@@ -101,7 +106,7 @@ def mix(
         )
     )
     in_bin = Window.partitionBy("key", "_bin").orderBy("_rank", "u", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    # written, or the planner would deal the tasks' partial sums by source alone to serve the running sum as well
+    # written, so that the running sum of a source reads one row a bin
     bins = written(ranked.groupBy("key", "_bin").agg(F.sum("size").alias("_words")), "mix-bins")
     below = bins.withColumn("_below", F.coalesce(F.sum("_words").over(Window.partitionBy("key").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_words")
     extra = F.when((F.col("_p") >= 1) | (F.col("_p").isNotNull() & (F.col("_below") + F.col("_in") + F.col("size") / 2 <= F.col("_residual"))), 1).otherwise(0)
