@@ -344,7 +344,7 @@ def near_classes(docs: DataFrame, similarity: float = 0.8, width: int = 5, doc_i
     far = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
     close = pairs.join(slim.toDF("a", "sa"), "a").join(slim.toDF("b", "sb"), "b").where(far <= FAR).select("a", "b")
     close = written(close, "close-pairs")
-    wanted = written(close.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "pair-ids")
+    wanted = written(close.select(F.col("a").alias("doc_id")).union(close.select("b")).distinct(), "pair-ids")
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(small(wanted), "doc_id", "left_semi")
     sets = written(shingle_sets(texts, "doc_id", "text", width).dropDuplicates(["doc_id"]), "shingle-sets")
     both = close.join(sets.toDF("a", "xa"), "a").join(sets.toDF("b", "xb"), "b").withColumn("n", F.size(F.array_intersect("xa", "xb")))
