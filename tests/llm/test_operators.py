@@ -191,6 +191,18 @@ def test_near_classes(spark, docs, none):
     assert simhash.near_classes(none).count() == 0
 
 
+def test_near_classes_find_added_blocks(spark):
+    """Copies with 20 % new words in one block: a Jaccard similarity of about 0.83."""
+    rng = np.random.default_rng(8)
+    text = lambda n: [f"w{x}" for x in rng.integers(0, 20_000, n)]
+    rows = []
+    for i in range(0, 60, 2):
+        base = text(250)
+        rows += [(i, " ".join(base)), (i + 1, " ".join(base + text(50)))]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i in range(60)}
+
+
 def brute_removed(rows):
     first = {}
     for i, t in rows:

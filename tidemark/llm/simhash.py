@@ -203,12 +203,11 @@ def op4_simhash_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Segments and their bits of the sketch that near_classes uses.
-SEGMENTS, WIDTH = 16, 28
-#: Bits of SEGMENTS * WIDTH in which a pair may differ and still be verified.
-FAR = 52
 #: Ids that are broadcast at most (8 bytes each); more are joined by a shuffle.
 SMALL = 2_000_000
+#: One text of so many is read for the common shingles; those it has so often come last in all prefixes, this many at
+#: most. They only order the shingles: any order finds the same copies.
+COMMON_OF, COMMON_AT, COMMON = 16, 3, 500_000
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -216,11 +215,58 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SMALL else df
 
 
-def sketches(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id, two hashes of the word sequence, and the SimHash segments (array<int>) of the distinct words of each text."""
+def _shingles(h: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes of each document's distinct `width`-word shingles in ascending order, first by document)."""
+    head, tail, at = shingle_spans(np.arange(len(h)), np.arange(1, len(h) + 1), first, width)
+    x = np.zeros(len(head), np.uint64)
+    for j in range(width if len(h) else 0):
+        x = np.where(head + j < tail, x * np.uint64(0x9E3779B97F4A7C15) + h[np.minimum(head + j, len(h) - 1)], x)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(32)
+    doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    order = np.lexsort((x, doc))
+    x = x[order]  # doc is in order already
+    new = np.ones(len(x), bool)
+    new[1:] = (x[1:] != x[:-1]) | (doc[1:] != doc[:-1])
+    return x[new], np.searchsorted(doc[new], np.arange(len(at)))
+
+
+def shingle_sets(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
+    """doc_id and the set (array<long>) of hashes of each text's distinct `width`-word shingles."""
     from .passage_dedup import word_hashes
 
-    seeds = np.random.default_rng(42).integers(1, 1 << 63, -(-SEGMENTS * WIDTH // 64), dtype=np.uint64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, raw, offsets in text_slices(batch, "_t"):
+                h, _, _, first = word_hashes(raw, offsets)
+                x, at = _shingles(h, first, width)
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(x.view(np.int64)))], names=["doc_id", "shingles"])
+
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_t")).mapInArrow(run, "doc_id long, shingles array<long>")
+
+
+def _common(docs: DataFrame, doc_id: str, text: str, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes in ascending order, class) of shingles that many texts have, by a part of the texts."""
+    some = docs.where(F.pmod(F.xxhash64(doc_id), F.lit(COMMON_OF)) == 0)
+    counts = shingle_sets(some, doc_id, text, width).select(F.explode("shingles").alias("x")).groupBy("x").count().where(F.col("count") >= COMMON_AT)
+    got = counts.orderBy(F.desc("count"), "x").limit(COMMON).toArrow()
+    x, n = got.column(0).to_numpy().view(np.uint64), got.column(1).to_numpy()
+    order = np.argsort(x)
+    return x[order], np.log2(n[order]).astype(np.uint8) + np.uint8(1)
+
+
+def prefixes(docs: DataFrame, doc_id: str, text: str, width: int, similarity: float) -> DataFrame:
+    """doc_id, two hashes of the word sequence, the number n of distinct shingles, and their prefix (array<long>).
+
+    Shingles have one order in all texts, common ones last. Sets of a Jaccard similarity of `similarity` or more share
+    at least that part of the larger one, so the first shingle they share is among the first
+    n - ceil(similarity x n) + 1 of each: texts whose prefixes share nothing are no near copies.
+    """
+    from .passage_dedup import word_hashes
+    from .suffix_dedup import _spread
+
+    seeds = np.random.default_rng(42).integers(1, 1 << 63, 2, dtype=np.uint64)
+    known, grade = _common(docs, doc_id, text, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,118 +283,84 @@ def sketches(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                     some = np.flatnonzero(np.diff(first))
                     if len(some):
                         each[k][some] = np.add.reduceat(x, first[some])
-                order = np.lexsort((h, doc))
-                d, g = doc[order], h[order]
-                new = np.concatenate([[True], (np.diff(d) != 0) | (g[1:] != g[:-1])]) if len(g) else np.zeros(0, bool)
-                d, g = d[new], g[new]
-                at = np.searchsorted(d, np.arange(n + 1))
-                prints = []
-                for s in seeds:
-                    x = (g ^ s) * np.uint64(0xBF58476D1CE4E5B9)
-                    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-                    prints.append(_majority(x ^ (x >> np.uint64(32)), at))
-                bits = np.unpackbits(np.stack(prints, 1).view(np.uint8), axis=1, bitorder="little")[:, : SEGMENTS * WIDTH].reshape(n * SEGMENTS, WIDTH)
-                flat = bits.astype(np.int64) @ (1 << np.arange(WIDTH))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * SEGMENTS), pa.array(flat.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(each[0].view(np.int64)), pa.array(each[1].view(np.int64)), lists], names=["doc_id", "h1", "h2", "sketch"])
-
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_t")).mapInArrow(run, "doc_id long, h1 long, h2 long, sketch array<int>")
-
-
-def shingle_sets(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
-    """doc_id and the set (array<int>) of hashes of each text's distinct `width`-word shingles."""
-    from .passage_dedup import word_hashes
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows, raw, offsets in text_slices(batch, "_t"):
-                h, _, _, first = word_hashes(raw, offsets)
-                head, tail, at = shingle_spans(np.arange(len(h)), np.arange(1, len(h) + 1), first, width)
-                x = np.zeros(len(head), np.uint64)
-                for j in range(width):
-                    x = np.where(head + j < tail, x * np.uint64(0x9E3779B97F4A7C15) + h[np.minimum(head + j, len(h) - 1)], x) if len(h) else x
-                x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)
-                pair = np.unique(np.repeat(np.arange(len(at) - 1, dtype=np.uint64), np.diff(at)) << np.uint64(32) | x)
-                ends = np.searchsorted(pair, np.arange(len(at), dtype=np.uint64) << np.uint64(32))
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array((pair & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)))], names=["doc_id", "shingles"])
-
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_t")).mapInArrow(run, "doc_id long, shingles array<int>")
+                x, at = _shingles(h, first, width)
+                size = np.diff(at)
+                if len(known) and len(x):
+                    near = np.minimum(np.searchsorted(known, x), len(known) - 1)
+                    last = np.where(known[near] == x, grade[near], np.uint8(0))
+                    x = x[np.argsort(np.repeat(np.arange(n), size) * 256 + last, kind="stable")]
+                lead = np.where(size > 0, size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1, 0)
+                ends = np.concatenate([[0], np.cumsum(np.minimum(lead, size))]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(x[_spread(at[:-1], np.diff(ends).astype(np.int64))].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(each[0].view(np.int64)), pa.array(each[1].view(np.int64)), pa.array(size.astype(np.int32)), lists], names=["doc_id", "h1", "h2", "n", "prefix"])
+
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_t")).mapInArrow(run, "doc_id long, h1 long, h2 long, n int, prefix array<long>")
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[list[np.ndarray]]:
+    """The columns of batches ordered by the first column, in runs of about `least` rows or more of whole groups."""
+    held: list[list[np.ndarray]] = []
+    rows = 0
+    for batch in batches:
+        held.append([np.asarray(c) for c in batch.columns])
+        rows += batch.num_rows
+        if rows < least or held[0][0][0] == held[-1][0][-1]:
+            continue
+        cols = [np.concatenate(c) for c in zip(*held)]
+        last = int(np.flatnonzero(cols[0] != cols[0][-1])[-1]) + 1  # the last group may go on
+        yield [c[:last] for c in cols]
+        held, rows = [[c[last:] for c in cols]], len(cols[0]) - last
+    if rows:
+        yield [np.concatenate(c) for c in zip(*held)]
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, similarity: float, width: int, doc_id: str, text: str) -> DataFrame:
+    """The pairs (a, b) of doc_ids whose whole shingle sets have the similarity; pairs is a written table."""
+    wanted = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "pair-ids")
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(small(wanted), "doc_id", "left_semi")
+    sets = written(shingle_sets(texts, "doc_id", "text", width).dropDuplicates(["doc_id"]), "shingle-sets")
+    both = pairs.join(sets.toDF("a", "xa"), "a").join(sets.toDF("b", "xb"), "b").withColumn("n", F.size(F.array_intersect("xa", "xb")))
+    return both.where(F.col("n") >= similarity * (F.size("xa") + F.size("xb") - F.col("n"))).select("a", "b")
 
 
 def _candidates(nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes that share a signature, at most one less than its members for each signature."""
-    # variant i of a node: segment s, and its bit w - 1 left out if w > 0; the bit goes beside the node
-    s, w = F.floor(F.col("i") / (WIDTH + 1)).cast("int"), (F.col("i") % (WIDTH + 1)).cast("int")
-    value = F.element_at("sketch", F.col("s") + 1).cast("long")
-    bit = F.when(F.col("w") > 0, F.expr("shiftleft(1L, w - 1)")).otherwise(F.lit(0).cast("long"))
-    key = F.expr("shiftleft(cast(s as long), 40) | shiftleft(cast(w as long), 32)").bitwiseOR(F.col("v") - F.col("v").bitwiseAND(F.col("bit")))
-    side = F.col("node") * 2 + F.when(F.col("v").bitwiseAND(F.col("bit")) != 0, 1).otherwise(0)
-    spread = nodes.select("node", "sketch", F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS * (WIDTH + 1) - 1))).alias("i")).select("node", "sketch", s.alias("s"), w.alias("w"))
-    spread = spread.select("node", value.alias("v"), "s", "w", bit.alias("bit")).select(key.alias("key"), side.alias("side"))
-    keys = spread.repartition(shuffle_parts(nodes.sparkSession), "key").sortWithinPartitions("key")
-
-    def mixed(x: np.ndarray) -> np.ndarray:
-        x = x.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        return (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
-
-    def stars(key: np.ndarray, side: np.ndarray) -> pa.RecordBatch:
-        many = np.zeros(len(key), bool)
-        same = key[1:] == key[:-1]
-        many[1:] |= same
-        many[:-1] |= same
-        key, side = key[many], side[many]
-        node, bit = side >> 1, side & 1
-        order = np.lexsort((mixed(node ^ mixed(key >> 40).view(np.int64)), bit, key))  # one order of members a segment
-        key, node, bit = key[order], node[order], bit[order]
-        n = len(key)
-        first = np.maximum.accumulate(np.where(np.concatenate([[True], key[1:] != key[:-1]]), np.arange(n), 0)) if n else order
-        last = np.full(n, -1)  # the first member on the other side of the wildcard's bit
-        turn = np.flatnonzero((key[1:] == key[:-1]) & (bit[1:] != bit[:-1])) + 1
-        last[first[turn]] = turn
-        other = last[first] if n else last
-        wild = ((key >> 32) & 0xFF) > 0
-        to = np.where(wild, np.where(bit == 1, first, other), first)
-        ok = (to >= 0) & (to != np.arange(n)) & (~wild | (other >= 0))
-        a, b = node[ok], node[to[ok]]
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+    """Pairs (a, b) of nodes whose prefixes share a shingle, at most one less than its members for each shingle."""
+    parts = shuffle_parts(nodes.sparkSession)
+    lists = nodes.select(F.explode("prefix").alias("key"), "node").repartition(parts, "key").sortWithinPartitions("key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_k, held_s = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for batch in batches:
-            held_k, held_s = np.concatenate([held_k, np.asarray(batch.column(0))]), np.concatenate([held_s, np.asarray(batch.column(1))])
-            if len(held_k) < 400_000 or held_k[0] == held_k[-1]:
-                continue
-            last = int(np.searchsorted(held_k, held_k[-1]))
-            yield stars(held_k[:last], held_s[:last])
-            held_k, held_s = held_k[last:], held_s[last:]
-        if len(held_k):
-            yield stars(held_k, held_s)
+        for key, node in _whole_groups(batches, 400_000):
+            order = np.lexsort((_mixed(node), key))
+            key, node = key[order], node[order]
+            first = np.maximum.accumulate(np.where(np.concatenate([[True], key[1:] != key[:-1]]), np.arange(len(key)), 0))
+            rest = first != np.arange(len(key))
+            got = _pairs(node[first[rest]], node[rest])
+            yield pa.RecordBatch.from_arrays([pa.array(got[:, 0].copy()), pa.array(got[:, 1].copy())], names=["a", "b"])
 
-    return keys.mapInArrow(run, "a long, b long")
+    return lists.mapInArrow(run, "a long, b long")
 
 
 def near_classes(docs: DataFrame, similarity: float = 0.8, width: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and component_id, the smallest doc_id of the texts joined by a Jaccard similarity of `similarity` or more
     of their sets of `width`-word shingles, for every row with a doc_id.
 
-    Texts of the same words, A-Z lower-cased, are one node. Candidates share a segment of the SimHash of their distinct
-    words with at most one bit differing: each segment's deletion variants are joined by equality, and each member of
-    a signature is paired with its first member in an order that the segment's hash gives, so a group of any size gives
-    no more pairs than members for each signature, and mostly the same ones for all signatures of a segment. Pairs within FAR bits are verified on their whole shingle sets. Null and empty texts are one node.
+    Texts of the same words, A-Z lower-cased, are one node. Candidates share a shingle of their prefixes (see
+    `prefixes`), which no pair of that similarity fails to do; each member of a shingle's list is paired with its first.
+    Pairs are verified on their whole shingle sets. Null and empty texts are one node.
     """
-    rows = written(sketches(docs, doc_id, text).where("doc_id IS NOT NULL"), "sketches")
-    nodes = written(rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.first("sketch").alias("sketch")), "sketch-nodes")
+    rows = written(prefixes(docs, doc_id, text, width, similarity).where("doc_id IS NOT NULL"), "prefixes")
+    nodes = written(rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "prefix-nodes")
     pairs = written(_candidates(nodes).distinct(), "candidates")
-    slim = nodes.select("node", "sketch")
-    far = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    close = pairs.join(slim.toDF("a", "sa"), "a").join(slim.toDF("b", "sb"), "b").where(far <= FAR).select("a", "b")
-    close = written(close, "close-pairs")
-    wanted = written(close.select(F.col("a").alias("doc_id")).union(close.select("b")).distinct(), "pair-ids")
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(small(wanted), "doc_id", "left_semi")
-    sets = written(shingle_sets(texts, "doc_id", "text", width).dropDuplicates(["doc_id"]), "shingle-sets")
-    both = close.join(sets.toDF("a", "xa"), "a").join(sets.toDF("b", "xb"), "b").withColumn("n", F.size(F.array_intersect("xa", "xb")))
-    links = both.where(F.col("n") >= similarity * (F.size("xa") + F.size("xb") - F.col("n"))).select("a", "b")
+    links = _verified(pairs, docs, similarity, width, doc_id, text)
     labelled = written(nodes.select("h1", "h2", "node").join(components(links), "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component_id")), "near-labels")
     return rows.select("doc_id", "h1", "h2").join(labelled, ["h1", "h2"]).select("doc_id", "component_id")
 
