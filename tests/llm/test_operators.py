@@ -203,6 +203,27 @@ def test_near_classes_find_added_blocks(spark):
     assert got == {i: i - i % 2 for i in range(60)}
 
 
+def test_near_classes_equal_brute_force(spark):
+    """Families of texts alike in part, where the first of a list is often unlike members that are near copies of each other."""
+    rng = np.random.default_rng(9)
+    new = lambda k: [f"n{x}" for x in rng.integers(0, 10**6, k)]
+    rows = []
+    for f in range(10):
+        base = [f"w{f}-{x}" for x in range(100)]
+        for _ in range(30):
+            a, b = rng.integers(0, 80, 2)
+            t = base[:a] + base[a + int(rng.integers(1, 8)) :]
+            rows.append((len(rows), " ".join(t[:b] + new(int(rng.integers(0, 6))) + t[b:])))
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for _, t in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i // 30 * 30, i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(rows))] == root
+
+
 def brute_removed(rows):
     first = {}
     for i, t in rows:

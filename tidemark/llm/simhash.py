@@ -1,4 +1,4 @@
-"""SimHash near-duplicates by deletion-variant signatures of fingerprint segments."""
+"""SimHash near-duplicates by deletion-variant signatures, and near copies by shingle prefixes."""
 
 from __future__ import annotations
 
@@ -332,19 +332,66 @@ def _verified(pairs: DataFrame, docs: DataFrame, similarity: float, width: int,
     return both.where(F.col("n") >= similarity * (F.size("xa") + F.size("xb") - F.col("n"))).select("a", "b")
 
 
-def _candidates(nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes whose prefixes share a shingle, at most one less than its members for each shingle."""
+#: Members of a shingle's list that are all paired with each other at once.
+TOGETHER = 16
+
+
+def _candidates(nodes: DataFrame, similarity: float) -> DataFrame:
+    """Rows of two kinds from lists of nodes whose prefixes share a shingle.
+
+    Pairs (a, b), with a null key: all pairs of a list of up to TOGETHER members; of a longer one each member with the
+    first. And the members (node a, n) of longer lists with their key. Pairs whose sizes rule the similarity out go.
+    """
     parts = shuffle_parts(nodes.sparkSession)
-    lists = nodes.select(F.explode("prefix").alias("key"), "node").repartition(parts, "key").sortWithinPartitions("key")
+    lists = nodes.select(F.explode("prefix").alias("key"), "node", "n").repartition(parts, "key").sortWithinPartitions("key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, node in _whole_groups(batches, 400_000):
+        for key, node, n in _whole_groups(batches, 400_000):
             order = np.lexsort((_mixed(node), key))
-            key, node = key[order], node[order]
-            first = np.maximum.accumulate(np.where(np.concatenate([[True], key[1:] != key[:-1]]), np.arange(len(key)), 0))
-            rest = first != np.arange(len(key))
-            got = _pairs(node[first[rest]], node[rest])
-            yield pa.RecordBatch.from_arrays([pa.array(got[:, 0].copy()), pa.array(got[:, 1].copy())], names=["a", "b"])
+            key, node, n = key[order], node[order], n[order]
+            start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            size = np.diff(np.append(start, len(key)))
+            many = np.repeat(size > TOGETHER, size)
+            place = np.arange(len(key)) - np.repeat(start, size)
+            left = [np.repeat(start, size)[many & (place > 0)]]
+            right = [np.flatnonzero(many & (place > 0))]
+            for step in range(1, TOGETHER):
+                at = np.flatnonzero(~many & (place >= step))
+                left.append(at - step)
+                right.append(at)
+            a, b = np.concatenate(left), np.concatenate(right)
+            able = np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b]) - 1e-9
+            got = _pairs(node[a[able]], node[b[able]])
+            some = np.zeros(len(got), np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([some, key[many]]), mask=np.arange(len(got) + many.sum()) < len(got)), pa.array(np.concatenate([got[:, 0], node[many]])), pa.array(np.concatenate([got[:, 1], some[:0], np.zeros(many.sum(), np.int64)])), pa.array(np.concatenate([some.astype(np.int32), n[many].astype(np.int32)]))],
+                names=["key", "a", "b", "n"],
+            )
+
+    return lists.mapInArrow(run, "key long, a long, b long, n int")
+
+
+def _across(members: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of members (key, node, n, component) of one list and two components, except those that their sizes rule out."""
+    parts = shuffle_parts(members.sparkSession)
+    lists = members.repartition(parts, "key").sortWithinPartitions("key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, node, n, component in _whole_groups(batches, 400_000):
+            start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            mixed = np.minimum.reduceat(component, start) != np.maximum.reduceat(component, start)
+            ends = np.append(start[1:], len(key))
+            for s, e in zip(start[mixed].tolist(), ends[mixed].tolist()):
+                order = s + np.argsort(n[s:e], kind="stable")
+                x, size, of = node[order], n[order], component[order]
+                stop = np.searchsorted(size, size / similarity + 1e-6, "right")  # larger ones cannot be alike
+                for i in range(0, e - s, 256):
+                    j = min(i + 256, e - s)
+                    far = int(stop[j - 1])
+                    place = np.arange(i, far)
+                    p, q = np.nonzero((of[i:j, None] != of[None, i:far]) & (place[None, :] > place[: j - i, None]) & (place[None, :] < stop[i:j, None]))
+                    got = _pairs(x[i + p], x[i + q])
+                    yield pa.RecordBatch.from_arrays([pa.array(got[:, 0].copy()), pa.array(got[:, 1].copy())], names=["a", "b"])
 
     return lists.mapInArrow(run, "a long, b long")
 
@@ -354,14 +401,23 @@ def near_classes(docs: DataFrame, similarity: float = 0.8, width: int = 5, doc_i
     of their sets of `width`-word shingles, for every row with a doc_id.
 
     Texts of the same words, A-Z lower-cased, are one node. Candidates share a shingle of their prefixes (see
-    `prefixes`), which no pair of that similarity fails to do; each member of a shingle's list is paired with its first.
-    Pairs are verified on their whole shingle sets. Null and empty texts are one node.
+    `prefixes`), which no pair of that similarity fails to do. Short lists of a shingle give all their pairs. In long
+    ones each member meets the first; then members that this has not put into one component meet each other, so near
+    copies in any number give few pairs and none is left out. Pairs are verified on their whole shingle sets. Null and
+    empty texts are one node.
     """
     rows = written(prefixes(docs, doc_id, text, width, similarity).where("doc_id IS NOT NULL"), "prefixes")
     nodes = written(rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "prefix-nodes")
-    pairs = written(_candidates(nodes).distinct(), "candidates")
-    links = _verified(pairs, docs, similarity, width, doc_id, text)
-    labelled = written(nodes.select("h1", "h2", "node").join(components(links), "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component_id")), "near-labels")
+    found = written(_candidates(nodes, similarity), "candidates")
+    pairs = written(found.where("key IS NULL").select("a", "b").distinct(), "pairs")
+    links = written(_verified(pairs, docs, similarity, width, doc_id, text), "links")
+    roots = written(components(links), "roots")
+    members = found.where("key IS NOT NULL").select("key", F.col("a").alias("node"), "n")
+    if not members.isEmpty():
+        members = members.join(small(roots), "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
+        more = written(_across(members, similarity).distinct(), "pairs")
+        roots = written(components(links.union(_verified(more, docs, similarity, width, doc_id, text))), "roots")
+    labelled = written(nodes.select("h1", "h2", "node").join(roots, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component_id")), "near-labels")
     return rows.select("doc_id", "h1", "h2").join(labelled, ["h1", "h2"]).select("doc_id", "component_id")
 
 
