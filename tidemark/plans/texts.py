@@ -181,7 +181,7 @@ def fuzzy_scores(spark: SparkSession, d: str) -> DataFrame:
 def resolved_songs(spark: SparkSession, d: str) -> DataFrame:
     """Two-pass resolution of parts as songs against parts of the same type and size as pages."""
     p = table(spark, d, "part")
-    songs = p.where("p_partkey % 4 = 0").select(F.col("p_partkey").cast("string").alias("uri"), F.col("p_name").alias("track_name"), F.col("p_brand").alias("artist_names"), "p_type", "p_size", F.col("p_retailprice").alias("total_streams"))
+    songs = p.select(F.col("p_partkey").cast("string").alias("uri"), F.col("p_name").alias("track_name"), F.col("p_brand").alias("artist_names"), "p_type", "p_size", F.col("p_retailprice").alias("total_streams"))
     pages = p.select("p_type", "p_size", (F.col("p_partkey") % 3).cast("int").alias("tier"), F.col("p_partkey").alias("ord"), F.col("p_name").alias("title"), F.col("p_brand").alias("artist"), F.col("p_brand").alias("prfid"), F.col("p_partkey").cast("string").alias("wrkid"), F.col("p_partkey").cast("string").alias("url"), F.col("p_type").alias("lyrics"))
     candidates = songs.select("uri", "p_type", "p_size").join(pages, ["p_type", "p_size"]).withColumn("part_no", F.lit(0)).drop("p_type", "p_size")
     none = spark.createDataFrame([], "credited string, prfid string")
