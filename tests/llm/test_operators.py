@@ -277,6 +277,19 @@ def test_passages(spark, docs, none):
     assert passage_dedup.cut_passages(none).count() == 0
 
 
+def test_passages_with_many_edits(spark):
+    """Passages of 80 words of which a tenth are others in the copy: few seeds are whole, and equal words alone reach nowhere."""
+    rng = np.random.default_rng(4)
+    text = lambda n: [f"w{x}" for x in rng.integers(0, 20_000, n)]
+    rows = []
+    for i in range(0, 60, 2):
+        p = text(80)
+        q = [f"x{i}" if k % 10 == 4 else w for k, w in enumerate(p)]
+        rows += [(i, " ".join(text(100) + p + text(100))), (i + 1, " ".join(text(80) + q + text(90)))]
+    got = {r["doc_id"]: r["n_removed"] for r in passage_dedup.cut_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == 0 for i in range(0, 60, 2)) and sum(50 <= got[i] <= 80 for i in range(1, 60, 2)) >= 29
+
+
 def test_fenwick_chains_equal_quadratic_search():
     for _ in range(40):
         n = int(RNG.integers(1, 14))
