@@ -256,7 +256,8 @@ def _common(docs: DataFrame, doc_id: str, text: str, width: int) -> tuple[np.nda
 
 
 def prefixes(docs: DataFrame, doc_id: str, text: str, width: int, similarity: float) -> DataFrame:
-    """doc_id, two hashes of the word sequence, the number n of distinct shingles, and their prefix (array<long>).
+    """doc_id, two hashes of the word sequence, the number n of distinct shingles, how many have each first byte of their
+    hash (hist, 256 bytes, 255 for more), and their prefix (array<long>).
 
     Shingles have one order in all texts, common ones last. Sets of a Jaccard similarity of `similarity` or more share
     at least that part of the larger one, so the first shingle they share is among the first
@@ -285,6 +286,8 @@ def prefixes(docs: DataFrame, doc_id: str, text: str, width: int, similarity: fl
                         each[k][some] = np.add.reduceat(x, first[some])
                 x, at = _shingles(h, first, width)
                 size = np.diff(at)
+                hist = np.bincount(np.repeat(np.arange(n), size) * 256 + (x >> np.uint64(56)).astype(np.int64), minlength=n * 256)
+                hist = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(n + 1, dtype=np.int32) * 256), pa.py_buffer(np.minimum(hist, 255).astype(np.uint8))])
                 if len(known) and len(x):
                     near = np.minimum(np.searchsorted(known, x), len(known) - 1)
                     last = np.where(known[near] == x, grade[near], np.uint8(0))
@@ -292,9 +295,9 @@ def prefixes(docs: DataFrame, doc_id: str, text: str, width: int, similarity: fl
                 lead = np.where(size > 0, size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1, 0)
                 ends = np.concatenate([[0], np.cumsum(np.minimum(lead, size))]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(x[_spread(at[:-1], np.diff(ends).astype(np.int64))].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(each[0].view(np.int64)), pa.array(each[1].view(np.int64)), pa.array(size.astype(np.int32)), lists], names=["doc_id", "h1", "h2", "n", "prefix"])
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(each[0].view(np.int64)), pa.array(each[1].view(np.int64)), pa.array(size.astype(np.int32)), hist, lists], names=["doc_id", "h1", "h2", "n", "hist", "prefix"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_t")).mapInArrow(run, "doc_id long, h1 long, h2 long, n int, prefix array<long>")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_t")).mapInArrow(run, "doc_id long, h1 long, h2 long, n int, hist binary, prefix array<long>")
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -323,6 +326,22 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
 
 
+def _possible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) that counts of shingles by first byte do not rule out: sets differ in at least as many members."""
+    marks = nodes.select("node", "n", "hist")
+    both = pairs.join(marks.toDF("a", "na", "ha"), "a").join(marks.toDF("b", "nb", "hb"), "b").select("a", "b", "na", "nb", "ha", "hb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, 256).astype(np.int16) for k in (4, 5))
+                n = np.asarray(batch.column(2)).astype(np.int64) + np.asarray(batch.column(3))
+                able = np.abs(x - y).sum(axis=1) <= n * (1 - similarity) / (1 + similarity) + 1e-6
+                yield batch.select([0, 1]).filter(pa.array(able))
+
+    return both.mapInArrow(run, "a long, b long")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, similarity: float, width: int, doc_id: str, text: str) -> DataFrame:
     """The pairs (a, b) of doc_ids whose whole shingle sets have the similarity; pairs is a written table."""
     wanted = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "pair-ids")
@@ -403,19 +422,19 @@ def near_classes(docs: DataFrame, similarity: float = 0.8, width: int = 5, doc_i
     Texts of the same words, A-Z lower-cased, are one node. Candidates share a shingle of their prefixes (see
     `prefixes`), which no pair of that similarity fails to do. Short lists of a shingle give all their pairs. In long
     ones each member meets the first; then members that this has not put into one component meet each other, so near
-    copies in any number give few pairs and none is left out. Pairs are verified on their whole shingle sets. Null and
-    empty texts are one node.
+    copies in any number give few pairs and none is left out. Pairs that counts do not rule out are verified on their
+    whole shingle sets. Null and empty texts are one node.
     """
     rows = written(prefixes(docs, doc_id, text, width, similarity).where("doc_id IS NOT NULL"), "prefixes")
-    nodes = written(rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "prefix-nodes")
+    nodes = written(rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("hist").alias("hist"), F.first("prefix").alias("prefix")), "prefix-nodes")
     found = written(_candidates(nodes, similarity), "candidates")
-    pairs = written(found.where("key IS NULL").select("a", "b").distinct(), "pairs")
+    pairs = written(_possible(found.where("key IS NULL").select("a", "b").distinct(), nodes, similarity), "pairs")
     links = written(_verified(pairs, docs, similarity, width, doc_id, text), "links")
     roots = written(components(links), "roots")
     members = found.where("key IS NOT NULL").select("key", F.col("a").alias("node"), "n")
     if not members.isEmpty():
         members = members.join(small(roots), "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
-        more = written(_across(members, similarity).distinct(), "pairs")
+        more = written(_possible(_across(members, similarity).distinct(), nodes, similarity), "pairs")
         roots = written(components(links.union(_verified(more, docs, similarity, width, doc_id, text))), "roots")
     labelled = written(nodes.select("h1", "h2", "node").join(roots, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component_id")), "near-labels")
     return rows.select("doc_id", "h1", "h2").join(labelled, ["h1", "h2"]).select("doc_id", "component_id")
