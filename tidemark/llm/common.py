@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: UTF-8 bytes that a NumPy kernel handles at a time (a longer text is a slice of its own).
 SLICE_BYTES = 4 << 20
@@ -27,14 +28,24 @@ def shared_root(spark: SparkSession) -> str:
     return (root or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared").rstrip("/")
 
 
-def written(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: a lineage cut that outlives lost executors."""
+def written(df: DataFrame, what: str, codec: str = "zstd", **options: str | int) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: a lineage cut that outlives lost executors. `options`
+    are the writer's."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    df.write.options(**options).option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Ids that are broadcast at most (16 bytes each); more are joined by a shuffle.
+SMALL = 2_000_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint if it has at most SMALL rows; df is a written table of narrow rows."""
+    return F.broadcast(df) if df.count() <= SMALL else df
+
+
 def free_name(columns: list[str], name: str) -> str:
     """name, with underscores until no column has it."""
     taken = {c.lower() for c in columns}
