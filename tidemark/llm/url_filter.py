@@ -11,14 +11,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import free_name, table, written
 
 #: (verdict, host, path): fits the host and its subdomains where the url's path starts with the path; the longest wins.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: Hosts that the list names.
-LISTED_HOSTS = ("spam-farm.example.com", "spam-farm.example.net", "spam-farm.example.org")
-#: A cascade of more bits is not broadcast: membership is then a semi-join.
-MAX_BITS = 1 << 28
+# Names that the list blocks, with their subdomains, under each of ZONES.
+LISTED_NAMES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+ZONES = ("example.com", "example.net", "example.org")
+#: The tables have no list of pages: one page of 16, by the first hexadecimal digit of its md5, stands for one.
+LISTED_DIGIT = "0"
+#: A cascade of more bits (256 MB) is not broadcast: membership is then a join on hashes.
+MAX_BITS = 1 << 31
 #: Key hashes that the driver may hold to finish a cascade (16 bytes each).
 LOCAL_KEYS = 1 << 17
 
@@ -113,16 +116,18 @@ def _hashed(key: Column) -> list[Column]:
     return [F.xxhash64(key, F.lit(1)).alias("h1"), F.xxhash64(key, F.lit(2)).alias("h2")]
 
 
-def build_cascade(universe: DataFrame, listed: DataFrame, key: str = "key") -> Cascade | None:
-    """The cascade of the keys of `listed` over those of `universe`; None if it would pass MAX_BITS.
+def build_cascade(universe: DataFrame, listed: DataFrame) -> Cascade | None:
+    """The cascade of the keys of `listed` over those of `universe`, both as two 64-bit hashes (h1, h2); None if it would
+    pass MAX_BITS.
 
     Nulls are left out of both; repeated keys count once; listed keys outside the universe are ignored, and an empty
     list or universe gives a cascade without members. Key sets beyond LOCAL_KEYS stay distributed; only the levels'
     bits come to the driver, and their number is checked before they do.
     """
-    mark = listed.select(F.col(key)).where(F.col(key).isNotNull()).distinct().withColumn("listed", F.lit(True))
-    keys = universe.select(F.col(key)).where(F.col(key).isNotNull()).distinct().join(mark, key, "left")
-    keys = written(keys.select(*_hashed(F.col(key)), F.coalesce("listed", F.lit(False)).alias("listed")), "cascade-keys")
+    both = ["h1", "h2"]
+    mark = listed.select(*both).dropna().distinct().withColumn("listed", F.lit(True))
+    keys = universe.select(*both).dropna().distinct().join(mark, both, "left")
+    keys = written(keys.select(*both, F.coalesce("listed", F.lit(False)).alias("listed")), "cascade-keys")
     count = {r["listed"]: r["n"] for r in keys.groupBy("listed").agg(F.count("*").alias("n")).collect()}
     inside, outside = count.get(True, 0), count.get(False, 0)
     levels: list[Level] = []
@@ -157,20 +162,26 @@ def build_cascade(universe: DataFrame, listed: DataFrame, key: str = "key") -> C
     return Cascade(levels)
 
 
-def is_listed(rows: DataFrame, key: str, cascade: Cascade, out: str = "listed") -> DataFrame:
-    """rows with the boolean column `out`. The key must be in the cascade's universe; a null key is not listed."""
+def is_listed(rows: DataFrame, keys: str, cascade: Cascade, out: str = "listed") -> DataFrame:
+    """rows with the boolean column `out`: whether one of the array column `keys`, all of the cascade's universe, is
+    listed. Null keys, null arrays and empty ones are not."""
     shared = rows.sparkSession.sparkContext.broadcast(cascade)
     keep = [c for c in rows.columns if c != out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h1, h2, here = (b.column(len(keep) + k) for k in range(3))
-            hashes = (np.asarray(h).astype(np.int64).view(np.uint64) for h in (h1, h2))
-            here = np.asarray(here.to_numpy(zero_copy_only=False), bool)
-            yield pa.RecordBatch.from_arrays(list(b.columns)[: len(keep)] + [pa.array(shared.value.member(*hashes) & here)], names=keep + [out])
+            lists = [b.column(len(keep) + k) for k in range(2)]
+            off = np.asarray(lists[0].offsets)
+            h1, h2 = (np.asarray(x.values).astype(np.int64).view(np.uint64)[off[0] : off[-1]] for x in lists)
+            total = np.concatenate([[0], np.cumsum(shared.value.member(h1, h2))])
+            found = total[off[1:] - off[0]] > total[off[:-1] - off[0]]
+            yield pa.RecordBatch.from_arrays(list(b.columns)[: len(keep)] + [pa.array(found)], names=keep + [out])
 
     schema = rows.select(*keep).schema.add(out, "boolean")
-    return rows.select(*keep, *_hashed(F.col(key)), F.col(key).isNotNull().alias("_here")).mapInArrow(run, schema)
+    some = F.filter(F.coalesce(F.col(keys), F.array().cast("array<string>")), lambda x: x.isNotNull())
+    h1 = F.transform(some, lambda x: F.xxhash64(x, F.lit(1))).alias(free_name(rows.columns, "_h1"))
+    h2 = F.transform(some, lambda x: F.xxhash64(x, F.lit(2))).alias(free_name(rows.columns, "_h2"))
+    return rows.select(*keep, h1, h2).mapInArrow(run, schema)
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -180,26 +191,54 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.coalesce(host, F.lit("")), F.coalesce(F.regexp_extract(url, pattern, 2), F.lit(""))
 
 
+def url_keys(host: Column, path: Column) -> Column:
+    """The keys by which a list may name a url: its host, the host's parents, and host and path together."""
+    labels = F.split(host, r"\.")
+    names = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    return F.when(host == "", F.array().cast("array<string>")).when(path == "", names).otherwise(F.array_append(names, F.concat(host, path)))
+
+
 def judge(pages: DataFrame, listed: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, page_id: str = "page_id", url: str = "url") -> DataFrame:
     """page_id, host, path, rule, verdict of each url: the longest fitting rule's verdict, else block if `listed`
-    (column key) has the host. Null urls and urls without :// have an empty host and path; rows are all kept."""
+    (column key) has the host, one of its parents, or host and path together.
+
+    Null urls and urls without :// have an empty host and path and no keys; rows are all kept, repeated ones too; null
+    and repeated list entries count for nothing more; other columns are ignored; an empty table gives none. The universe
+    of the cascade is every key of every url: hosts are made distinct before their parents are listed.
+    """
     host, path = host_and_path(F.col(url))
     rows = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"))
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
     for what, h, p in sorted(rules, key=lambda r: len(r[1] + r[2])):
         fits = ((F.col("host") == h) | F.col("host").endswith("." + h)) & F.col("path").startswith(p)
         rule, verdict = F.when(fits, h + p).otherwise(rule), F.when(fits, what).otherwise(verdict)
-    cascade = build_cascade(rows.select(F.col("host").alias("key")), listed)
+    key = F.col("key")
+    hosts = rows.select("host").distinct().select(F.explode(url_keys(F.col("host"), F.lit(""))).alias("key"))
+    whole = rows.where("host <> '' AND path <> ''").select(F.concat("host", "path").alias("key"))
+    named = listed.select("key").where(key.isNotNull()).select(*_hashed(key))
+    cascade = build_cascade(hosts.select(*_hashed(key)).union(whole.select(*_hashed(key))), named)
+    keyed = rows.withColumn("keys", url_keys(F.col("host"), F.col("path")))
     if cascade is not None:
-        marked = is_listed(rows, "host", cascade)
-    else:
-        marked = rows.join(listed.select(F.col("key").alias("host")).where("host IS NOT NULL").distinct().withColumn("listed", F.lit(True)), "host", "left")
+        marked = is_listed(keyed, "keys", cascade)
+    else:  # beyond MAX_BITS: keys with the list's hashes, then their rows
+        numbered = written(keyed.withColumn("row", F.monotonically_increasing_id()), "url-keys")
+        hit = numbered.select("row", F.explode("keys").alias("key")).select("row", *_hashed(key)).join(named.distinct(), ["h1", "h2"], "left_semi").select("row").distinct()
+        marked = numbered.join(hit.withColumn("listed", F.lit(True)), "row", "left")
     return marked.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"))
 
 
+def block_list(pages: DataFrame, url: str = "url") -> DataFrame:
+    """The list (column key): LISTED_NAMES under ZONES, and the pages whose md5 of host and path begins with LISTED_DIGIT."""
+    host, path = host_and_path(F.col(url))
+    whole = pages.select(host.alias("host"), path.alias("path")).where("host <> '' AND path <> ''").select(F.concat("host", "path").alias("key"))
+    names = pages.sparkSession.createDataFrame([(f"{name}.{zone}",) for name in LISTED_NAMES for zone in ZONES], "key string")
+    return names.union(whole.where(F.md5("key").startswith(LISTED_DIGIT)).distinct())
+
+
 def op8_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = spark.createDataFrame([(h,) for h in LISTED_HOSTS], "key string")
-    return judge(table(spark, sf_dir, "pages"), listed)
+    """Every url of pages by the rules, else by block_list. Null and odd urls, repeats and an empty table: see judge."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return judge(pages, block_list(pages))
 
 
 OP8_SQL = r"""
@@ -217,6 +256,7 @@ ruled AS (
   FROM split)
 SELECT page_id, host, path, rule, CASE
     WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
-    WHEN host IN ('spam-farm.example.com', 'spam-farm.example.net', 'spam-farm.example.org') THEN 'block' ELSE 'allow' END AS verdict
+    WHEN regexp_matches(host, '(^|\.)(ads-track|adult-x|casino-win|cheap-pills|free-bets|spam-farm)\.example\.(com|net|org)$') THEN 'block'
+    WHEN host <> '' AND path <> '' AND starts_with(md5(host || path), '0') THEN 'block' ELSE 'allow' END AS verdict
 FROM ruled
 """
