@@ -13,9 +13,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_root, shuffle_parts, table, text_slices
+from .common import shared_root, shuffle_parts, table, text_slices, written
 from .segments import SegmentCache, by_document, reach
 
+#: Files of which one row each is broadcast at most (12 bytes).
+BROADCAST_FILES = 1_000_000
 _ENCODERS: dict[str, "ByteEncoder"] = {}
 
 
@@ -128,7 +130,8 @@ def write_tokens(
     Row groups have at most `row_group_bytes`, pages at most `page_rows` rows; both carry the statistics and page
     indexes by which a reader skips to a doc_id or reads n_tokens without any ids.
 
-    Null texts are empty, null doc_ids come first, rows of equal doc_id are ordered by text and all kept. An empty
+    Null texts are empty, null doc_ids come first, rows of equal doc_id are ordered by a hash of
+    their texts and all kept, over several partitions if they are many. An empty
     table gives files without rows. A range partition holds whole rows; its ids are made slice by slice.
     """
     if encoding not in ("dictionary", "delta"):
@@ -149,8 +152,8 @@ def write_tokens(
                     names=["part", "first", "doc_id", "n_tokens", "tokens"],
                 )
 
-    narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
-    ordered = narrow.repartitionByRange(shuffle_parts(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "_t")
+    narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_t")).withColumn("_h", F.xxhash64("_t"))
+    ordered = narrow.repartitionByRange(shuffle_parts(docs.sparkSession), "doc_id", "_h").sortWithinPartitions("doc_id", "_h", "_t")
     out = ordered.mapInArrow(run, "part int, first long, doc_id long, n_tokens int, tokens array<int>").write
     options = {
         "compression": "zstd",
@@ -170,14 +173,23 @@ SCHEMA = "part int, first long, doc_id long, n_tokens int, tokens array<int>"
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """The rows of write_tokens with start, the ids of all rows before. Offsets come from the metadata columns alone: one row a file passes through one task and is joined back."""
+    """The rows of write_tokens with start, the ids of all rows before. Offsets come from the metadata columns alone: one
+    row a file passes through one task, is written, and is broadcast to the rows if a count of them is at most
+    BROADCAST_FILES; ids are not shuffled then. An empty folder gives no rows."""
     rows = spark.read.schema(SCHEMA).parquet(path)
     parts = rows.groupBy("part").agg(F.sum("n_tokens").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.join(parts.select("part", before.alias("_base")), "part").withColumn("start", F.col("_base") + F.col("first")).drop("_base")
+    bases = written(parts.select("part", before.alias("_base")), "token-bases")
+    bases = F.broadcast(bases) if bases.count() <= BROADCAST_FILES else bases
+    return rows.join(bases, "part").withColumn("start", F.col("_base") + F.col("first")).drop("_base")
 
 
 def op10_token_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text of documents, written with production parameters and read back.
+
+    Null and empty texts have the end id alone; null doc_ids come first; rows of one doc_id follow each other in the order
+    of a hash of their texts; other columns of documents are ignored, so their names cannot clash; an empty table gives none.
+    """
     import public_tokenizers
 
     path = f"{shared_root(spark)}/tokens-{uuid.uuid4().hex}"
