@@ -200,7 +200,7 @@ def _repeated_block(text: np.ndarray, key: np.ndarray, who: np.ndarray, place: n
     np.minimum.at(least, group, who)
     whole = who > least[group]
     if whole.any():
-        yield from _spans(key[whole], place[whole], place[whole] + size[whole])
+        yield _spans(key[whole], who[whole], place[whole], place[whole] + size[whole])
     left = np.flatnonzero(~whole)
     # a string of `length` bytes reaches SIDE bytes beyond its q-gram on one side at least: buckets of q-grams are
     # refined by what stands there, and pieces alone with their document on both sides are final
@@ -231,23 +231,24 @@ def _repeated_block(text: np.ndarray, key: np.ndarray, who: np.ndarray, place: n
         a, b = gone[cut], gone[np.concatenate([cut[1:], [True]])]
         p = part[owner[a]]
         off = place[p] - (np.cumsum(n) - n)[owner[a]]
-        yield from _spans(key[p], at[a] + off, at[b] + off + length)
+        yield _spans(key[p], who[p], at[a] + off, at[b] + off + length)
 
 
-def _spans(key: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[bytes]:
-    order = np.lexsort((start, key))
-    key, start, end = key[order], start[order], end[order]
-    new = np.concatenate([[True], key[1:] != key[:-1]])
-    yield _pack(key[new].astype(np.int64), np.diff(np.append(np.flatnonzero(new), len(key))).astype(np.uint32), start.astype(np.uint32), (end - start).astype(np.uint32))
+def _spans(key: np.ndarray, who: np.ndarray, start: np.ndarray, end: np.ndarray) -> bytes:
+    """Spans packed by row: its hash and doc_id, which together name it, and the number, places and sizes of its spans."""
+    order = np.lexsort((start, who, key))
+    key, who, start, end = key[order], who[order], start[order], end[order]
+    new = np.concatenate([[True], (key[1:] != key[:-1]) | (who[1:] != who[:-1])])
+    return _pack(key[new].astype(np.int64), who[new].astype(np.int64), np.diff(np.append(np.flatnonzero(new), len(key))).astype(np.uint32), start.astype(np.uint32), (end - start).astype(np.uint32))
 
 
 def _by_part(blob: bytes, parts: int) -> Iterator[tuple[int, bytes]]:
     """Packed spans dealt out by their rows' keys."""
-    key, n, start, size = _unpack(blob)
+    key, who, n, start, size = _unpack(blob)
     home = key.view(np.uint64) % np.uint64(parts)
     owner = np.repeat(home, n)
     for p in np.unique(home):
-        yield int(p), _pack(key[home == p], n[home == p], start[owner == p], size[owner == p])
+        yield int(p), _pack(key[home == p], who[home == p], n[home == p], start[owner == p], size[owner == p])
 
 
 _ROW = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
@@ -259,7 +260,7 @@ def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
 
 def deduplicate(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row, and with `with_text` kept (binary): each byte
-    covered by a `length`-byte string (32 or more) that also starts in a document of a smaller doc_id is removed.
+    covered by a `length`-byte string (16 or more) that also starts in a document of a smaller doc_id is removed.
 
     Texts are UTF-8 bytes, null is empty; strings stay within a row and are judged on the input. Rows of one doc_id
     do not remove each other's bytes; a null doc_id counts as larger than all others. Every row is kept; an empty
@@ -275,6 +276,8 @@ def deduplicate(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", text:
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_t"))
     rows = rows.select(F.xxhash64("id", "_t").alias("key"), "id", "_t")
 
+    small = np.uint8 if 2 * length - Q < 256 else np.uint32  # holds a piece's size
+
     def ids_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         return np.asarray(batch.column(0)), np.asarray(batch.column(1).fill_null(int(NO_ID)))
 
@@ -292,8 +295,7 @@ def deduplicate(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", text:
                 out = []
                 if gone.any():
                     p = place[gone] - offsets[doc[gone]]
-                    for blob in _spans(key[doc[gone]], p, p + size[gone]):
-                        out += [(home, 2, b) for home, b in _by_part(blob, parts)]
+                    out += [(home, 2, b) for home, b in _by_part(_spans(key[doc[gone]], ids[doc[gone]], p, p + size[gone]), parts)]
                 left = np.flatnonzero(~gone)
                 home = h[left] % np.uint32(parts)
                 left = left[np.argsort(home, kind="stable")]
@@ -302,7 +304,7 @@ def deduplicate(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", text:
                 for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(left)]):
                     x = left[a:b]
                     mine, back = np.unique(doc[x], return_inverse=True)
-                    out.append((int(home[a]), 0, _pack(key[mine], ids[mine].astype(np.int64), back.astype(np.uint32), (place[x] - offsets[doc[x]]).astype(np.uint32), size[x].astype(np.uint8), (gram[x] - place[x]).astype(np.uint8), raw[_spread(place[x], size[x])])))
+                    out.append((int(home[a]), 0, _pack(key[mine], ids[mine].astype(np.int64), back.astype(np.uint32), (place[x] - offsets[doc[x]]).astype(np.uint32), size[x].astype(small), (gram[x] - place[x]).astype(small), raw[_spread(place[x], size[x])])))
                 yield _batch(out)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,20 +346,22 @@ def deduplicate(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", text:
                     found = []
                 yield _removed(_unpack(blob), *spans)
 
-    def _sorted_spans(found: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _sorted_spans(found: list[list[np.ndarray]]) -> list[np.ndarray]:
         if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        key = np.concatenate([np.repeat(f[0], f[1]) for f in found])
+            return [np.zeros(0, np.int64)] * 4
+        key, who = (np.concatenate([np.repeat(f[k], f[2]) for f in found]) for k in (0, 1))
         order = np.argsort(key, kind="stable")
-        return key[order], np.concatenate([f[2] for f in found])[order], np.concatenate([f[3] for f in found])[order]
+        return [key[order], who[order], *(np.concatenate([f[k] for f in found])[order] for k in (3, 4))]
 
-    def _removed(texts: list[np.ndarray], span_key: np.ndarray, span_start: np.ndarray, span_size: np.ndarray) -> pa.RecordBatch:
+    def _removed(texts: list[np.ndarray], span_key: np.ndarray, span_who: np.ndarray, span_start: np.ndarray, span_size: np.ndarray) -> pa.RecordBatch:
         key, ids, here, size, raw = texts
         size = size.astype(np.int64)
         off = np.cumsum(size) - size
         lo, hi = np.searchsorted(span_key, key, "left"), np.searchsorted(span_key, key, "right")
-        take = _spread(lo, hi - lo)
-        a = span_start[take] + np.repeat(off, hi - lo)
+        take, row = _spread(lo, hi - lo), np.repeat(np.arange(len(key)), hi - lo)
+        own = span_who[take] == ids[row]  # hashes of two rows may be alike, then their ids are not
+        take, row = take[own], row[own]
+        a = span_start[take] + off[row]
         delta = np.bincount(a, minlength=len(raw) + 1).astype(np.int32) - np.bincount(a + span_size[take], minlength=len(raw) + 1).astype(np.int32)
         gone = np.cumsum(delta[:-1]) > 0
         run = gone.copy()
@@ -377,4 +381,10 @@ def deduplicate(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", text:
 
 
 def op9_suffix_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text of documents with strings of 50 bytes.
+
+    Null and empty texts have no bytes; a null doc_id removes nothing and loses what any other document has; rows of one
+    doc_id have a row each and leave each other alone; other columns of documents are ignored, so their names cannot
+    clash; an empty table gives none.
+    """
     return deduplicate(table(spark, sf_dir, "documents"))
