@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from .common import table, written
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rank bins of a source: the running sum of words is found over bins first, then within each bin.
-BINS = 1024
+#: Rank bins of a source, at least, and rows of all sources that a bin is meant for: the running sum of words is found over
+#: bins first, then within each bin, so bins grow with the rows.
+BINS, BIN_ROWS = 1024, 20_000
 #: Sources whose targets are broadcast at most (about 60 bytes each).
 BROADCAST_SOURCES = 500_000
 
@@ -54,17 +55,20 @@ def mix(
     text: str = "text",
     source: str = "source",
 ) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies and taken of each row.
+    """doc_id, source, size, source_size, target, copies, taken and text_hash (XXH64 of the text, null as empty) of each row.
 
     A source's target over its size is its rate: the whole part of the rate is given to every row as certain copies;
     the rest is sampled without replacement. A row's inclusion probability there is proportional to `importance` (an
-    integer column over `size`; the default 1 + floor(sqrt(size)) slightly prefers longer texts), at most 1. Rows are
-    ranked by u/(1-u) over p/(1-p) with u from a hash of seed and doc_id, and taken in rank order until the source's
-    residual words are filled as nearly as whole rows allow. No row gets more than `cap` copies.
+    integer column over `size`; the default 1 + floor(sqrt(size)) slightly prefers longer texts), at most 1; what the cap
+    at 1 takes away is not spread over the other rows, whose ranks it would not change in order. Rows are ranked by
+    u/(1-u) over p/(1-p) with u from a hash of seed and doc_id, and taken in rank order until the source's residual words
+    are filled as nearly as whole rows allow: the size that is fixed is the words, not the number of rows. No row gets
+    more than `cap` copies.
 
     Nulls: a null text has size 0, a null source is a source of its own, the last; null doc_ids share one u. Rows with
-    equal doc_id share u and are ordered by size. An empty table gives none. Other columns are ignored. The text is
-    read once; the narrow rows are written to the shared folder. A hot source is spread over BINS rank bins.
+    equal doc_id share u and are ordered by size and hash of the text. An empty table gives none. Other columns are
+    ignored. The text is read once; the narrow rows are written to the shared folder. A hot source is spread over rank
+    bins; sources, a row each, pass through one task.
     """
     importance = F.floor(F.sqrt("size")) + 1 if importance is None else importance
     u = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")))), 1, 13), 16, 10).cast("long") + 0.5) / float(1 << 52)
@@ -74,9 +78,11 @@ def mix(
             F.col(source).cast("string").alias("source"),
             F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
             u.alias("u"),
+            F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"),
         ),
         "mix-base",
     )
+    bins_ = max(BINS, base.count() // BIN_ROWS)
     base = base.withColumn("w", importance.cast("long")).withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
     sums = base.groupBy("source", "key").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("w")).alias("_mass"))
     targets = source_targets(sums, weights, cap)
@@ -100,12 +106,12 @@ def mix(
         # certain rows (p = 1) come first; they and unsampled rows are spread over bins of their own
         .withColumn(
             "_bin",
-            F.when(F.col("_p") >= 1, -1 - F.floor(F.col("u") * BINS))
-            .when(F.col("_rank").isNotNull(), F.floor(F.col("_rank") / (1 + F.col("_rank")) * BINS))
-            .otherwise(F.floor(F.col("u") * BINS)),
+            F.when(F.col("_p") >= 1, -1 - F.floor(F.col("u") * bins_))
+            .when(F.col("_rank").isNotNull(), F.floor(F.col("_rank") / (1 + F.col("_rank")) * bins_))
+            .otherwise(F.floor(F.col("u") * bins_)),
         )
     )
-    in_bin = Window.partitionBy("key", "_bin").orderBy("_rank", "u", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    in_bin = Window.partitionBy("key", "_bin").orderBy("_rank", "u", "doc_id", "size", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
     # written, so that the running sum of a source reads one row a bin
     bins = written(ranked.groupBy("key", "_bin").agg(F.sum("size").alias("_words")), "mix-bins")
     below = bins.withColumn("_below", F.coalesce(F.sum("_words").over(Window.partitionBy("key").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_words")
@@ -114,11 +120,16 @@ def mix(
         ranked.withColumn("_in", F.coalesce(F.sum("size").over(in_bin), F.lit(0)))
         .join(below, ["key", "_bin"])
         .withColumn("copies", F.least(F.col("_whole") + extra, F.lit(cap)).cast("long"))
-        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "text_hash")
     )
 
 
 def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed with weights 5, 2, 1 and a cap of 3.
+
+    Null and empty texts have size 0 and are taken as 0 words; a null source comes last; null and repeated doc_ids share
+    their random number and have a row each; other columns of documents are ignored; an empty table gives none.
+    """
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
