@@ -24,7 +24,7 @@ IDENTITY_GROUPS = (
 )
 #: Labelled rows that a classifier is fitted on, about; the rows of the least hashes.
 SAMPLE_ROWS = 20_000
-#: Features that a classifier keeps at most, by how far their rates differ between the labels.
+#: Features that a classifier keeps if nothing else is said, by how far their rates differ between the labels.
 MAX_FEATURES = 2048
 THRESHOLD = 0.7
 _WORD = re.compile(r"\w+")
@@ -64,8 +64,9 @@ class Classifier:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, rows: int) -> DataFrame:
-    """(text, toxic) of about `rows` labelled rows at most; a doc_id's labels count as toxic if one is."""
-    known = labels.where("toxic IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    """(text, toxic) of about `rows` labelled rows at most; a doc_id's labels count as toxic if one is, labels other than 0
+    and 1 are ignored, and a labelled doc_id gives a row for each of its documents."""
+    known = labels.where("toxic IN (0, 1)").groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     n = known.count()
     share = min(1.0, rows / max(n, 1))
     known = known.where(F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(1 << 30)) < int(share * (1 << 30)))
@@ -91,11 +92,11 @@ def _counted(by: tuple[Counter, Counter]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([by[0][f] for f in names], pa.int64()), pa.array([by[1][f] for f in names], pa.int64())], names=["feature", "clean", "toxic"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", rows: int = SAMPLE_ROWS, penalty: float = 1.0, ridge: float = 1e-4, least: int = 5) -> Classifier:
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", rows: int = SAMPLE_ROWS, penalty: float = 1.0, ridge: float = 1e-4, least: int = 5, most: int = MAX_FEATURES) -> Classifier:
     """Logistic regression on words and word beginnings, with a penalty on counterfactual score changes.
 
     labels: doc_id, toxic (0/1). Feature counts are made by tasks over the sample's whole texts and summed; features
-    in `least` rows or more whose rates differ most (by |z|, at least 4) are kept. Of each sentence that names an
+    in `least` rows or more whose rates differ most (by |z|, at least 4) are kept, `most` of them. Of each sentence that names an
     identity term, the swapped sentence's features are made too, and the squared change of its score is added to the
     loss; terms of a group are tied to each other even where the sample has none. Nothing but the chosen features'
     places by sampled row comes to the driver. Without labels, or with labels of one kind, only the bias is fitted.
@@ -109,7 +110,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         return Classifier({}, float(np.log((n1 + 0.5) / (n0 + 0.5))) * 1.0)
     p = (F.col("n0") + F.col("n1")) / (n0 + n1)
     z = (F.col("n1") / n1 - F.col("n0") / n0) / F.sqrt(p * (1 - p) * (1 / n0 + 1 / n1))
-    best = counts.where((F.col("feature") != "") & (F.col("n0") + F.col("n1") >= least) & (F.col("n0") + F.col("n1") < n0 + n1)).withColumn("z", F.abs(z)).where("z >= 4").orderBy(F.desc("z"), "feature").limit(MAX_FEATURES)
+    best = counts.where((F.col("feature") != "") & (F.col("n0") + F.col("n1") >= least) & (F.col("n0") + F.col("n1") < n0 + n1)).withColumn("z", F.abs(z)).where("z >= 4").orderBy(F.desc("z"), "feature").limit(most)
     names = [r["feature"] for r in best.select("feature").collect()]
     names += sorted({"=" + t for t in _NEXT} - set(names))
     place = {f: i for i, f in enumerate(names)}
@@ -172,19 +173,19 @@ def _solve(rows: list[np.ndarray], y: np.ndarray, swaps: Counter, k: int, penalt
     return w, float(b)
 
 
-def score(docs: DataFrame, model: Classifier, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
-    """docs with score (0 to 1) and predicted (1 from `threshold` on) of each whole text; null is empty, and an empty
-    text has the score of the bias. All rows and other columns stay; columns named like the outputs are replaced. The
-    model, of at most MAX_FEATURES and the identity terms, is sent to every task."""
-    keep = [c for c in docs.columns if c not in ("score", "predicted")]
-    schema = docs.select(*keep).schema.add("score", "double").add("predicted", "integer")
+def score(docs: DataFrame, model: Classifier, threshold: float = THRESHOLD, text: str = "text", out: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """docs with score (0 to 1) and predicted (1 from `threshold` on), named as in `out`, of each whole text; null is
+    empty, and an empty text has the score of the bias. All rows and other columns stay; columns named like the outputs
+    are replaced. The model, of its features' names and weights alone, is sent to every task."""
+    keep = [c for c in docs.columns if c not in out]
+    schema = docs.select(*keep).schema.add(out[0], "double").add(out[1], "integer")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, raw, off in text_slices(batch, text):
                 blob = raw.tobytes()
                 s = np.array([model.score(blob[i:j].decode()) for i, j in zip(off[:-1].tolist(), off[1:].tolist())], float)
-                yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index(c)) for c in keep] + [pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=keep + ["score", "predicted"])
+                yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index(c)) for c in keep] + [pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=keep + list(out))
 
     return docs.select(*keep).mapInArrow(run, schema)
 
@@ -194,6 +195,12 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def op2_toxicity_counterfactual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score of every whole text of documents by a classifier fitted on the labels that are not held out.
+
+    Null and empty texts have the score of the bias; a null doc_id is not held out and has no label; repeated doc_ids have
+    a row each; labels other than 0 and 1 are ignored, a doc_id with both is toxic; without labels, or with one kind
+    only, all have one score; other columns are never read; an empty table gives none.
+    """
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     labels = table(spark, sf_dir, "labels").where(~held_out())
     model = fit(docs, labels)
