@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 tokenizers = pytest.importorskip("public_tokenizers")
 
-from tidemark.llm import embedding_dedup, media_avi, mixing, passage_dedup, segments, sentencepiece_bpe, simhash, suffix_dedup, token_files, toxicity, url_filter  # noqa: E402
+from tidemark.llm import embedding_dedup, media_avi, mixing, near_copies, passage_dedup, segments, sentencepiece_bpe, simhash, suffix_dedup, token_files, toxicity, url_filter  # noqa: E402
 from tidemark.llm.common import shared_root  # noqa: E402
 from tidemark.llm.components import components  # noqa: E402
 
@@ -184,11 +184,38 @@ def test_near_classes(spark, docs, none):
     close = list(base)
     close[50] = "zz"
     rows = [(21, " ".join(base)), (22, " ".join(close)), (23, " ".join(words(200))), (24, " ".join(base).upper()), (25, None), (26, "")]
-    got = {r["doc_id"]: r["component_id"] for r in simhash.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {21: 21, 22: 21, 23: 23, 24: 21, 25: 25, 26: 25}
-    kept = simhash.keep_first(docs, simhash.near_classes(docs)).select("doc_id").collect()
-    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept) == [(False, i) for i in (1, 2, 3, 6, 7, 8, 10)] + [(True, 0)]
-    assert simhash.near_classes(none).count() == 0
+    kept = near_copies.keep_first(docs, near_copies.near_classes(docs))
+    assert sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == [1, 2, 3, 6, 7, 8, 10] and kept.columns == docs.columns
+    assert near_copies.near_classes(none).count() == 0 and near_copies.keep_first(none, near_copies.near_classes(none)).count() == 0
+
+
+def test_near_copies_of_repeated_and_null_ids(spark):
+    a, b, c = (" ".join(words(60)) for _ in range(3))
+    rows = [(7, a), (7, a), (7, b), (3, b), (None, c), (None, c), (None, c + " more"), (9, c + " more"), (7, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = near_copies.keep_first(df, near_copies.near_classes(df)).collect()
+    assert sorted((r["doc_id"], r["text"] or "") for r in kept) == sorted([(7, a), (3, b), (9, c + " more"), (7, "")])
+    alone = spark.createDataFrame([(None, c), (None, c), (None, a)], "doc_id long, text string")
+    found = near_copies.near_classes(alone).collect()
+    assert all(r["component_id"] is None for r in found) and near_copies.keep_first(alone, near_copies.near_classes(alone)).count() == 2
+
+
+def test_a_hot_group_of_near_copies_gives_few_pairs(spark, monkeypatch):
+    """3,000 near copies of one text: pairs that are verified are a few a member, not the square of the group."""
+    rng = np.random.default_rng(12)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 150)]
+    rows = []
+    for i in range(3000):
+        t = list(base)
+        t[int(rng.integers(0, 150))] = f"n{i}"
+        rows.append((i, " ".join(t)))
+    seen = []
+    true = near_copies._verified
+    monkeypatch.setattr(near_copies, "_verified", lambda pairs, *a: seen.append(pairs.count()) or true(pairs, *a))
+    got = near_copies.near_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).select("component_id", "kept").collect()
+    assert {r["component_id"] for r in got} == {0} and sum(r["kept"] for r in got) == 1 and sum(seen) <= 4 * 3000, seen
 
 
 def test_near_classes_find_added_blocks(spark):
@@ -199,7 +226,7 @@ def test_near_classes_find_added_blocks(spark):
     for i in range(0, 60, 2):
         base = text(250)
         rows += [(i, " ".join(base)), (i + 1, " ".join(base + text(50)))]
-    got = {r["doc_id"]: r["component_id"] for r in simhash.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: i - i % 2 for i in range(60)}
 
 
@@ -220,7 +247,7 @@ def test_near_classes_equal_brute_force(spark):
         for j in range(i // 30 * 30, i):
             if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
                 root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
-    got = {r["doc_id"]: r["component_id"] for r in simhash.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [got[i] for i in range(len(rows))] == root
 
 
@@ -310,19 +337,112 @@ def test_media(docs, none):
     assert (media_avi.decode_frames(media_avi.encode_frames(noise)) == noise).all()
     media = media_avi.to_media(docs)
     for r in media.collect():
-        frames, n, p = media_avi.read_avi(bytes(r["media"]))
-        body = media_avi.decode_frames(frames).tobytes()
+        avi = media_avi.read_avi(bytes(r["media"]))
+        body = media_avi.decode_frames(avi.frames).tobytes()
         t = next(text_of(t).encode() for i, t, _ in ODD if i == r["doc_id"])
-        assert n == len(t) and p == max(64, -(-n // 64) * 64) and body[:p] == t + b"\0" * (p - n) and not any(body[p:])
+        assert avi.n_bytes == len(t) and avi.payload_bytes == max(64, -(-len(t) // 64) * 64) and body.rstrip(b"\0") == t.rstrip(b"\0") and len(body) >= avi.payload_bytes
     shots = media_avi.clips(media).collect()
-    assert all(r["n_frames"] > 0 and r["end_s"] > r["start_s"] for r in shots) and len({r["doc_id"] for r in shots}) == len({i for i, _, _ in ODD})
-    assert media_avi.to_media(none).count() == 0 and media_avi.clips(media_avi.to_media(none)).count() == 0
-    with pytest.raises(ValueError):
-        media_avi.read_avi(b"RIFFxxxxWAVE")
+    assert all(r["n_frames"] > 0 and r["end_s"] > r["start_s"] and r["error"] is None for r in shots) and len({r["doc_id"] for r in shots}) == len({i for i, _, _ in ODD})
+    assert media_avi.to_media(none).count() == 0 and media_avi.clips(media_avi.to_media(none)).count() == 0 and media_avi.features(media_avi.to_media(none)).count() == 0
+
+
+def test_general_decoder_reads_own_frames():
+    noise = RNG.integers(0, 256, (2, media_avi.FRAME)).astype(np.uint8)
+    for frame, samples in zip(media_avi.encode_frames(noise), noise):
+        plane = media_avi.decode_jpeg(frame)
+        assert plane.shape == (media_avi.ROWS * 8, media_avi.UNIT * 8) and (plane == np.kron(samples.reshape(media_avi.ROWS, media_avi.UNIT), np.ones((8, 8), np.uint8))).all()
+
+
+def foreign_jpeg(planes, factors, every, quant=3):
+    """A baseline JPEG file as no code of the operator writes it: several components, sampling factors, AC coefficients, restart
+    markers, fixed-length Huffman codes of 8 bits."""
+    zigzag = sorted(((r, c) for r in range(8) for c in range(8)), key=lambda x: (x[0] + x[1], x[0] if (x[0] + x[1]) % 2 else -x[0]))
+    basis = np.array([[math.cos((2 * x + 1) * u * math.pi / 16) * (math.sqrt(1 / 8) if u == 0 else 0.5) for x in range(8)] for u in range(8)])
+    symbols = list(range(12)) + [r << 4 | s for r in range(16) for s in range(1, 11)] + [0xF0]
+    symbols = [0] + [x for x in dict.fromkeys(symbols) if x]
+
+    def code(symbol):
+        return f"{symbols.index(symbol):08b}"
+
+    def amplitude(v):
+        n = abs(v).bit_length()
+        return n, f"{v if v > 0 else v + (1 << n) - 1:0{n}b}" if n else ""
+
+    def block(p, r, c, prior):
+        f = np.rint(basis @ (p[8 * r : 8 * r + 8, 8 * c : 8 * c + 8].astype(float) - 128) @ basis.T / quant).astype(int)
+        z = [int(f[x]) for x in zigzag]
+        n, bits = amplitude(z[0] - prior)
+        out, run = code(n) + bits, 0
+        for v in z[1:]:
+            if not v:
+                run += 1
+                continue
+            while run > 15:
+                out, run = out + code(0xF0), run - 16
+            n, bits = amplitude(v)
+            out, run = out + code(run << 4 | n) + bits, 0
+        return out + (code(0) if run else ""), z[0]
+
+    seg = lambda m, b: bytes([0xFF, m]) + (len(b) + 2).to_bytes(2, "big") + b
+    down, across = planes[0].shape[0] // (8 * factors[0][1]), planes[0].shape[1] // (8 * factors[0][0])
+    scan, bits, prior, n, marks = b"", "", [0] * len(planes), 0, 0
+
+    def flush(bits):
+        bits += "1" * (-len(bits) % 8)
+        return int(bits or "0", 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\0")
+
+    for r in range(down):
+        for c in range(across):
+            if every and n and n % every == 0:
+                scan, bits, prior, marks = scan + flush(bits) + bytes([0xFF, 0xD0 + marks % 8]), "", [0] * len(planes), marks + 1
+            for k, (p, (h, v)) in enumerate(zip(planes, factors)):
+                for y in range(v):
+                    for x in range(h):
+                        got, prior[k] = block(p, r * v + y, c * h + x, prior[k])
+                        bits += got
+            n += 1
+    scan += flush(bits)
+    height, width = planes[0].shape
+    table = bytes([0] * 7 + [len(symbols)] + [0] * 8) + bytes(symbols)
+    frame = bytes([8]) + height.to_bytes(2, "big") + width.to_bytes(2, "big") + bytes([len(planes)]) + b"".join(bytes([k + 1, h << 4 | v, 0]) for k, (h, v) in enumerate(factors))
+    head = b"\xff\xd8" + seg(0xE0, b"JFIF\0") + seg(0xDB, bytes([0] + [quant] * 64)) + seg(0xC0, frame) + (seg(0xDD, every.to_bytes(2, "big")) if every else b"")
+    head += seg(0xC4, b"\x00" + table + b"\x10" + table) + seg(0xDA, bytes([len(planes)]) + b"".join(bytes([k + 1, 0]) for k in range(len(planes))) + bytes([0, 63, 0]))
+    return head + scan + b"\xff\xd9"
+
+
+def smooth(height, width, level):
+    y, x = np.mgrid[:height, :width]
+    return np.clip(level + 30 * np.sin(x / 7) + 25 * np.cos(y / 5), 0, 255).astype(np.uint8)
+
+
+@pytest.mark.parametrize("every", [0, 3])
+def test_foreign_frames_are_decoded(every):
+    luma = smooth(32, 48, 120)
+    for planes, factors in [([luma], [(1, 1)]), ([luma, luma[::2, ::2], luma[::2, ::2]], [(2, 2), (1, 1), (1, 1)]), ([luma, luma[:, ::2], luma[:, ::2]], [(2, 1), (1, 1), (1, 1)])]:
+        got = media_avi.decode_jpeg(foreign_jpeg(planes, factors, every))
+        assert got.shape == luma.shape and np.abs(got.astype(int) - luma).max() <= 8
+    whole = foreign_jpeg([luma], [(1, 1)], every)
+    for bad in (b"", b"\xff\xd8", whole[: len(whole) // 2], whole.replace(b"\xff\xc0", b"\xff\xc2"), whole[:2] + whole[40:]):
+        with pytest.raises(ValueError):
+            media_avi.decode_jpeg(bad)
+
+
+def test_clips_of_foreign_and_broken_files(spark):
+    dark, light = (foreign_jpeg([smooth(16, 16, v)], [(1, 1)], 0) for v in (60, 190))
+    film = media_avi.write_avi([dark] * 5 + [light] * 4, 0, 0)
+    no_index = film[: film.index(b"idx1")]
+    no_index = no_index[:4] + (len(no_index) - 8).to_bytes(4, "little") + no_index[8:]
+    rows = [(1, film), (2, no_index), (3, film[:300]), (4, b""), (5, None), (6, film.replace(b"\xff\xc0", b"\xff\xc2"))]
+    df = spark.createDataFrame(rows, "doc_id long, media binary")
+    got = sorted((r["doc_id"], r["clip"], r["first_frame"], r["n_frames"], r["end_s"], r["error"] is None) for r in media_avi.clips(df).collect())
+    two = lambda i: [(i, 0, 0, 5, 0.2, True), (i, 1, 5, 4, 0.36, True)]
+    assert got == two(1) + two(2) + [(i, None, None, None, None, False) for i in (3, 4, 6)]
+    said = {r["doc_id"]: r["feature"] for r in media_avi.features(df).collect()}
+    assert said[1] == "not written by to_media" and len(said) == 6 and all(said.values())
 
 
 def test_shots():
-    a, b = np.full((4, media_avi.FRAME), 10, np.uint8), np.full((4, media_avi.FRAME), 200, np.uint8)
+    a, b = np.eye(media_avi.HIST)[[0] * 4], np.eye(media_avi.HIST)[[12] * 4]
     first = np.zeros(8, bool)
     first[0] = True
     assert media_avi.shot_cuts(np.concatenate([a, b]), first).tolist() == [True, False, False, False, True, False, False, False]
@@ -333,7 +453,7 @@ def test_embeddings(spark):
     x = np.concatenate([base + RNG.standard_normal((30, 16)) * 0.02 for _ in range(6)] + [RNG.standard_normal((100, 16)), base[:5]])
     rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(900, None), (901, [0.0] * 16), (902, [1.0, None]), (903, [float("nan")] * 16), (904, [1.0, 2.0]), (905, []), (906, [1e300] * 16)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("block", F.lit("x"))
-    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(df, passes=4, block=64).collect()}
+    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(df, block=64).collect()}
     u = x / np.linalg.norm(x, axis=1)[:, None]
     near = u @ u.T >= 0.95
     np.fill_diagonal(near, False)
@@ -342,39 +462,98 @@ def test_embeddings(spark):
     assert (found <= links).all() and found.sum() >= 0.99 * links.sum() and len(got) == len(rows)
     assert all(got[i]["n_links"] == 0 and got[i]["component_id"] == i and got[i]["kept"] for i in range(900, 907))
     assert all(got[i]["component_id"] == i % 30 for i in range(180) if found[i] == links[i])
-    assert embedding_dedup.near_duplicates(df.limit(0), passes=1).count() == 0
+    assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
 def test_window_goes_on_through_a_large_group(spark):
     center = RNG.standard_normal(16)
     x = center + RNG.standard_normal((120, 16)) * 0.005
     df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
-    got = embedding_dedup.near_duplicates(df, passes=2, block=16).collect()
+    got = embedding_dedup.near_duplicates(df, block=16).collect()
     assert all(r["n_links"] == 119 and r["component_id"] == 0 for r in got)
 
 
+def test_repeated_vec_ids_are_vectors_of_their_own(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (None, [1.0, 0.0]), (5, [2.0, 0.0]), (5, [2.0, 0.0])]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert sorted((r["vec_id"] or 0, r["n_links"], r["component_id"] or 0, r["kept"]) for r in got) == [(0, 0, 0, True), (1, 0, 1, True), (1, 3, 1, True), (2, 3, 1, False), (5, 3, 1, False), (5, 3, 1, False)]
+
+
+def test_recall_of_pairs_just_above_the_threshold(spark):
+    """20,000 vectors in pairs of cosine 0.95 to 0.96, a third of them in one crowded region, in blocks of 256."""
+    rng = np.random.default_rng(21)
+    base = rng.standard_normal((10_000, 24))
+    base[:3300] = rng.standard_normal(24) * 1.6 + base[:3300] * 0.9
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    other = rng.standard_normal(base.shape)
+    other -= (other * base).sum(1)[:, None] * base
+    other /= np.linalg.norm(other, axis=1)[:, None]
+    c = rng.uniform(0.95, 0.96, (len(base), 1))
+    x = np.concatenate([base, c * base + np.sqrt(1 - c * c) * other])
+    frame = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_duplicates(frame, block=256).collect()}
+    links = np.concatenate([(x[i : i + 2000] @ x.T >= 0.95 * np.linalg.norm(x[i : i + 2000], axis=1)[:, None] * np.linalg.norm(x, axis=1)).sum(1) - 1 for i in range(0, len(x), 2000)])
+    found = np.array([got[i] for i in range(len(x))])
+    assert (found <= links).all() and found.sum() >= 0.95 * links.sum()
+
+
+def test_passes_grow_with_the_rows():
+    some = [embedding_dedup.least_passes(10**k, 0.95, 1024, 0.97) for k in (3, 5, 7, 9, 10)]
+    assert some[0] == 1 and some == sorted(some) and some[-1] > 3 * some[1]
+
+
 def test_url_rules_and_cascade(spark):
-    urls = ["http://A.net/x", "https://m.example.net/en/1?q#f", "http://example.net", "x", None, "https://b.example.com/de/1", "http://ring.org/fr/", "ftp://spam-farm.example.org#z", "http://u.org?x://y/z", "http://notnet/"]
-    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
-    listed = spark.createDataFrame([(h,) for h in (*url_filter.LISTED_HOSTS, None)], "key string")
+    urls = ["http://A.net/x", "https://m.example.net/en/1?q#f", "http://example.net", "x", None, "https://b.example.com/de/1", "http://ring.org/fr/", "ftp://m.Spam-farm.example.org#z", "http://u.org?x://y/z", "http://notnet/", "http://a.co/p?q", "http://a.co/p2"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("key", F.lit("k")).withColumn("listed", F.lit(1))
+    listed = spark.createDataFrame([("spam-farm.example.org",), ("a.co/p",), ("a.co/p",), (None,), ("elsewhere.com",)], "key string")
     got = {r["page_id"]: tuple(r)[1:] for r in url_filter.judge(pages, listed).collect()}
     assert got[0] == ("a.net", "/x", "net/", "block") and got[1] == ("m.example.net", "/en/1", "example.net/en/", "allow") and got[2] == ("example.net", "", None, "allow")
     assert got[3] == got[4] == ("", "", None, "allow") and got[5][2:] == ("example.com/de/", "block") and got[6][2:] == ("org/fr/", "allow")
-    assert got[7] == ("spam-farm.example.org", "", None, "block") and got[8] == ("u.org", "", None, "allow") and got[9][2] is None
-    assert url_filter.judge(pages.limit(0), listed).count() == 0
+    assert got[7] == ("m.spam-farm.example.org", "", None, "block") and got[8] == ("u.org", "", None, "allow") and got[9][2] is None
+    assert got[10][2:] == (None, "block") and got[11][2:] == (None, "allow")
+    assert url_filter.judge(pages.limit(0), listed).count() == 0 and url_filter.judge(pages, listed.limit(0)).where("verdict = 'block'").count() == 2
+    assert url_filter.judge(pages.limit(0), url_filter.block_list(pages.limit(0))).count() == 0
 
 
 @pytest.mark.parametrize("local", [1 << 17, 50])
 def test_cascade_is_exact(spark, monkeypatch, local):
     monkeypatch.setattr(url_filter, "LOCAL_KEYS", local)
-    universe, listed = spark.range(3000).selectExpr("'k' || id AS key"), spark.range(0, 4000, 17).selectExpr("'k' || id AS key")
+    hashed = lambda df: df.select("key", *url_filter._hashed(F.col("key")))
+    universe, listed = hashed(spark.range(3000).selectExpr("'k' || id AS key")), hashed(spark.range(0, 4000, 17).selectExpr("'k' || id AS key"))
     cascade = url_filter.build_cascade(universe, listed)
-    got = {r["key"]: r["listed"] for r in url_filter.is_listed(universe, "key", cascade).collect()}
+    assert len(cascade.levels) >= 3
+    got = {r["key"]: r["listed"] for r in url_filter.is_listed(universe.select("key", F.array("key").alias("keys")), "keys", cascade).collect()}
     assert all(v == (int(k[1:]) % 17 == 0) for k, v in got.items())
     monkeypatch.setattr(url_filter, "MAX_BITS", 1)
     assert local > 50 or url_filter.build_cascade(universe, listed) is None
 
 
+@pytest.mark.parametrize("limits", [(1 << 17, 1 << 31), (50, 1 << 31), (50, 1)])
+def test_op8_judges_as_set_membership(spark, monkeypatch, limits):
+    """Every url by sets of names instead of the cascade, which has several levels; also without one, beyond its limit."""
+    monkeypatch.setattr(url_filter, "LOCAL_KEYS", limits[0])
+    monkeypatch.setattr(url_filter, "MAX_BITS", limits[1])
+    built = []
+    true = url_filter.build_cascade
+    monkeypatch.setattr(url_filter, "build_cascade", lambda *a: built.append(true(*a)) or built[-1])
+    sf = "/root/testdata/sf0.01"
+    got = {r["page_id"]: r for r in url_filter.op8_url_cascade(spark, sf).collect()}
+    names = {f"{n}.{z}" for n in url_filter.LISTED_NAMES for z in url_filter.ZONES}
+    blocked = 0
+    for p in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        rest = p["url"].split("://", 1)[1] if "://" in p["url"] else ""
+        host = re.split("[/?#]", rest, maxsplit=1)[0].lower()
+        path = re.split("[?#]", rest[len(host) :], maxsplit=1)[0]
+        fits = [(w, h + q) for w, h, q in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(q)]
+        rule = max(fits, key=lambda x: len(x[1]), default=(None, None))
+        parents = {".".join(host.split(".")[k:]) for k in range(host.count(".") + 1)}
+        listed = bool(parents & names) or bool(host and path) and hashlib.md5((host + path).encode()).hexdigest()[0] == url_filter.LISTED_DIGIT
+        blocked += listed
+        r = got[p["page_id"]]
+        assert (r["host"], r["path"], r["rule"], r["verdict"]) == (host, path, rule[1], rule[0] or ("block" if listed else "allow"))
+    assert blocked > 10 and (built[0] is None if limits[1] == 1 else len(built[0].levels) >= 2)
+
+
 def labelled(spark):
     rng = np.random.default_rng(8)
     rows, marks = [], []

@@ -1,4 +1,4 @@
-"""SimHash near-duplicates by deletion-variant signatures, and near copies by shingle prefixes."""
+"""SimHash near-duplicates by deletion-variant signatures."""
 
 from __future__ import annotations
 
@@ -199,248 +199,11 @@ def classes(fps: DataFrame, limit: int = 3) -> DataFrame:
 
 
 def op4_simhash_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = classes(fingerprints(table(spark, sf_dir, "documents")))
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-#: Ids that are broadcast at most (8 bytes each); more are joined by a shuffle.
-SMALL = 2_000_000
-#: One text of so many is read for the common shingles; those it has so often come last in all prefixes, this many at
-#: most. They only order the shingles: any order finds the same copies.
-COMMON_OF, COMMON_AT, COMMON = 16, 3, 500_000
-
-
-def small(df: DataFrame) -> DataFrame:
-    """df with a broadcast hint if it has at most SMALL rows; df is a written table of narrow rows."""
-    return F.broadcast(df) if df.count() <= SMALL else df
-
-
-def _shingles(h: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hashes of each document's distinct `width`-word shingles in ascending order, first by document)."""
-    head, tail, at = shingle_spans(np.arange(len(h)), np.arange(1, len(h) + 1), first, width)
-    x = np.zeros(len(head), np.uint64)
-    for j in range(width if len(h) else 0):
-        x = np.where(head + j < tail, x * np.uint64(0x9E3779B97F4A7C15) + h[np.minimum(head + j, len(h) - 1)], x)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(32)
-    doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    order = np.lexsort((x, doc))
-    x = x[order]  # doc is in order already
-    new = np.ones(len(x), bool)
-    new[1:] = (x[1:] != x[:-1]) | (doc[1:] != doc[:-1])
-    return x[new], np.searchsorted(doc[new], np.arange(len(at)))
-
-
-def shingle_sets(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
-    """doc_id and the set (array<long>) of hashes of each text's distinct `width`-word shingles."""
-    from .passage_dedup import word_hashes
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows, raw, offsets in text_slices(batch, "_t"):
-                h, _, _, first = word_hashes(raw, offsets)
-                x, at = _shingles(h, first, width)
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(x.view(np.int64)))], names=["doc_id", "shingles"])
-
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_t")).mapInArrow(run, "doc_id long, shingles array<long>")
-
-
-def _common(docs: DataFrame, doc_id: str, text: str, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes in ascending order, class) of shingles that many texts have, by a part of the texts."""
-    some = docs.where(F.pmod(F.xxhash64(doc_id), F.lit(COMMON_OF)) == 0)
-    counts = shingle_sets(some, doc_id, text, width).select(F.explode("shingles").alias("x")).groupBy("x").count().where(F.col("count") >= COMMON_AT)
-    got = counts.orderBy(F.desc("count"), "x").limit(COMMON).toArrow()
-    x, n = got.column(0).to_numpy().view(np.uint64), got.column(1).to_numpy()
-    order = np.argsort(x)
-    return x[order], np.log2(n[order]).astype(np.uint8) + np.uint8(1)
+    """Fingerprint and component of every whole text of documents.
 
-
-def prefixes(docs: DataFrame, doc_id: str, text: str, width: int, similarity: float) -> DataFrame:
-    """doc_id, two hashes of the word sequence, the number n of distinct shingles, how many have each first byte of their
-    hash (hist, 256 bytes, 255 for more), and their prefix (array<long>).
-
-    Shingles have one order in all texts, common ones last. Sets of a Jaccard similarity of `similarity` or more share
-    at least that part of the larger one, so the first shingle they share is among the first
-    n - ceil(similarity x n) + 1 of each: texts whose prefixes share nothing are no near copies.
+    Null texts and texts without words have the fingerprint zero and are linked like any others; a null doc_id has a row
+    and its fingerprint's component, but names none; rows of one doc_id have a row each and are one node where their
+    texts' fingerprints are one; other columns are ignored; an empty table gives none.
     """
-    from .passage_dedup import word_hashes
-    from .suffix_dedup import _spread
-
-    seeds = np.random.default_rng(42).integers(1, 1 << 63, 2, dtype=np.uint64)
-    known, grade = _common(docs, doc_id, text, width)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows, raw, offsets in text_slices(batch, "_t"):
-                h, _, _, first = word_hashes(raw, offsets)
-                n = len(first) - 1
-                doc = np.repeat(np.arange(n), np.diff(first))
-                place = np.arange(len(h), dtype=np.uint64) - first[doc].astype(np.uint64)
-                each = [np.zeros(n, np.uint64), np.zeros(n, np.uint64)]
-                for k in (0, 1):
-                    x = h ^ seeds[k] ^ ((place + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
-                    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-                    x ^= x >> np.uint64(27)
-                    some = np.flatnonzero(np.diff(first))
-                    if len(some):
-                        each[k][some] = np.add.reduceat(x, first[some])
-                x, at = _shingles(h, first, width)
-                size = np.diff(at)
-                hist = np.bincount(np.repeat(np.arange(n), size) * 256 + (x >> np.uint64(56)).astype(np.int64), minlength=n * 256)
-                hist = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(n + 1, dtype=np.int32) * 256), pa.py_buffer(np.minimum(hist, 255).astype(np.uint8))])
-                if len(known) and len(x):
-                    near = np.minimum(np.searchsorted(known, x), len(known) - 1)
-                    last = np.where(known[near] == x, grade[near], np.uint8(0))
-                    x = x[np.argsort(np.repeat(np.arange(n), size) * 256 + last, kind="stable")]
-                lead = np.where(size > 0, size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1, 0)
-                ends = np.concatenate([[0], np.cumsum(np.minimum(lead, size))]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(x[_spread(at[:-1], np.diff(ends).astype(np.int64))].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(each[0].view(np.int64)), pa.array(each[1].view(np.int64)), pa.array(size.astype(np.int32)), hist, lists], names=["doc_id", "h1", "h2", "n", "hist", "prefix"])
-
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_t")).mapInArrow(run, "doc_id long, h1 long, h2 long, n int, hist binary, prefix array<long>")
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = x.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
-
-
-def _whole_groups(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[list[np.ndarray]]:
-    """The columns of batches ordered by the first column, in runs of about `least` rows or more of whole groups."""
-    held: list[list[np.ndarray]] = []
-    rows = 0
-    for batch in batches:
-        held.append([np.asarray(c) for c in batch.columns])
-        rows += batch.num_rows
-        if rows < least or held[0][0][0] == held[-1][0][-1]:
-            continue
-        cols = [np.concatenate(c) for c in zip(*held)]
-        last = int(np.flatnonzero(cols[0] != cols[0][-1])[-1]) + 1  # the last group may go on
-        yield [c[:last] for c in cols]
-        held, rows = [[c[last:] for c in cols]], len(cols[0]) - last
-    if rows:
-        yield [np.concatenate(c) for c in zip(*held)]
-
-
-def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-
-
-def _possible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) that counts of shingles by first byte do not rule out: sets differ in at least as many members."""
-    marks = nodes.select("node", "n", "hist")
-    both = pairs.join(marks.toDF("a", "na", "ha"), "a").join(marks.toDF("b", "nb", "hb"), "b").select("a", "b", "na", "nb", "ha", "hb")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, 256).astype(np.int16) for k in (4, 5))
-                n = np.asarray(batch.column(2)).astype(np.int64) + np.asarray(batch.column(3))
-                able = np.abs(x - y).sum(axis=1) <= n * (1 - similarity) / (1 + similarity) + 1e-6
-                yield batch.select([0, 1]).filter(pa.array(able))
-
-    return both.mapInArrow(run, "a long, b long")
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, similarity: float, width: int, doc_id: str, text: str) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose whole shingle sets have the similarity; pairs is a written table."""
-    wanted = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "pair-ids")
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(small(wanted), "doc_id", "left_semi")
-    sets = written(shingle_sets(texts, "doc_id", "text", width).dropDuplicates(["doc_id"]), "shingle-sets")
-    both = pairs.join(sets.toDF("a", "xa"), "a").join(sets.toDF("b", "xb"), "b").withColumn("n", F.size(F.array_intersect("xa", "xb")))
-    return both.where(F.col("n") >= similarity * (F.size("xa") + F.size("xb") - F.col("n"))).select("a", "b")
-
-
-#: Members of a shingle's list that are all paired with each other at once.
-TOGETHER = 16
-
-
-def _candidates(nodes: DataFrame, similarity: float) -> DataFrame:
-    """Rows of two kinds from lists of nodes whose prefixes share a shingle.
-
-    Pairs (a, b), with a null key: all pairs of a list of up to TOGETHER members; of a longer one each member with the
-    first. And the members (node a, n) of longer lists with their key. Pairs whose sizes rule the similarity out go.
-    """
-    parts = shuffle_parts(nodes.sparkSession)
-    lists = nodes.select(F.explode("prefix").alias("key"), "node", "n").repartition(parts, "key").sortWithinPartitions("key")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, node, n in _whole_groups(batches, 400_000):
-            order = np.lexsort((_mixed(node), key))
-            key, node, n = key[order], node[order], n[order]
-            start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            size = np.diff(np.append(start, len(key)))
-            many = np.repeat(size > TOGETHER, size)
-            place = np.arange(len(key)) - np.repeat(start, size)
-            left = [np.repeat(start, size)[many & (place > 0)]]
-            right = [np.flatnonzero(many & (place > 0))]
-            for step in range(1, TOGETHER):
-                at = np.flatnonzero(~many & (place >= step))
-                left.append(at - step)
-                right.append(at)
-            a, b = np.concatenate(left), np.concatenate(right)
-            able = np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b]) - 1e-9
-            got = _pairs(node[a[able]], node[b[able]])
-            some = np.zeros(len(got), np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([some, key[many]]), mask=np.arange(len(got) + many.sum()) < len(got)), pa.array(np.concatenate([got[:, 0], node[many]])), pa.array(np.concatenate([got[:, 1], some[:0], np.zeros(many.sum(), np.int64)])), pa.array(np.concatenate([some.astype(np.int32), n[many].astype(np.int32)]))],
-                names=["key", "a", "b", "n"],
-            )
-
-    return lists.mapInArrow(run, "key long, a long, b long, n int")
-
-
-def _across(members: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of members (key, node, n, component) of one list and two components, except those that their sizes rule out."""
-    parts = shuffle_parts(members.sparkSession)
-    lists = members.repartition(parts, "key").sortWithinPartitions("key")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, node, n, component in _whole_groups(batches, 400_000):
-            start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            mixed = np.minimum.reduceat(component, start) != np.maximum.reduceat(component, start)
-            ends = np.append(start[1:], len(key))
-            for s, e in zip(start[mixed].tolist(), ends[mixed].tolist()):
-                order = s + np.argsort(n[s:e], kind="stable")
-                x, size, of = node[order], n[order], component[order]
-                stop = np.searchsorted(size, size / similarity + 1e-6, "right")  # larger ones cannot be alike
-                for i in range(0, e - s, 256):
-                    j = min(i + 256, e - s)
-                    far = int(stop[j - 1])
-                    place = np.arange(i, far)
-                    p, q = np.nonzero((of[i:j, None] != of[None, i:far]) & (place[None, :] > place[: j - i, None]) & (place[None, :] < stop[i:j, None]))
-                    got = _pairs(x[i + p], x[i + q])
-                    yield pa.RecordBatch.from_arrays([pa.array(got[:, 0].copy()), pa.array(got[:, 1].copy())], names=["a", "b"])
-
-    return lists.mapInArrow(run, "a long, b long")
-
-
-def near_classes(docs: DataFrame, similarity: float = 0.8, width: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and component_id, the smallest doc_id of the texts joined by a Jaccard similarity of `similarity` or more
-    of their sets of `width`-word shingles, for every row with a doc_id.
-
-    Texts of the same words, A-Z lower-cased, are one node. Candidates share a shingle of their prefixes (see
-    `prefixes`), which no pair of that similarity fails to do. Short lists of a shingle give all their pairs. In long
-    ones each member meets the first; then members that this has not put into one component meet each other, so near
-    copies in any number give few pairs and none is left out. Pairs that counts do not rule out are verified on their
-    whole shingle sets. Null and empty texts are one node.
-    """
-    rows = written(prefixes(docs, doc_id, text, width, similarity).where("doc_id IS NOT NULL"), "prefixes")
-    nodes = written(rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("hist").alias("hist"), F.first("prefix").alias("prefix")), "prefix-nodes")
-    found = written(_candidates(nodes, similarity), "candidates")
-    pairs = written(_possible(found.where("key IS NULL").select("a", "b").distinct(), nodes, similarity), "pairs")
-    links = written(_verified(pairs, docs, similarity, width, doc_id, text), "links")
-    roots = written(components(links), "roots")
-    members = found.where("key IS NOT NULL").select("key", F.col("a").alias("node"), "n")
-    if not members.isEmpty():
-        members = members.join(small(roots), "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
-        more = written(_possible(_across(members, similarity).distinct(), nodes, similarity), "pairs")
-        roots = written(components(links.union(_verified(more, docs, similarity, width, doc_id, text))), "roots")
-    labelled = written(nodes.select("h1", "h2", "node").join(roots, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component_id")), "near-labels")
-    return rows.select("doc_id", "h1", "h2").join(labelled, ["h1", "h2"]).select("doc_id", "component_id")
-
-
-def keep_first(docs: DataFrame, classes_: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """docs less the rows whose class has a smaller doc_id; rows without a class stay."""
-    gone = written(classes_.where("doc_id <> component_id").select(F.col("doc_id").alias(doc_id)).distinct(), "near-copies")
-    return docs.join(small(gone), doc_id, "left_anti")
+    found = classes(fingerprints(table(spark, sf_dir, "documents")))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
