@@ -10,7 +10,13 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BASE = "https://shironet.mako.co.il"
+from .text import HEADER_BACK, HEADER_FRONT
+
+# The pages' format. Classes of a search hit, a song's title and lyrics and an artist's name, and the parts of a song's link.
+HIT_CLASS, SONG_CLASS, LYRICS_CLASS = "search_link_name_big", "artist_song_name_txt", "artist_lyrics_text"
+NAME_CLASSES = ("artist_singer_title", "artist_name_txt")
+SONG_LINK, NOT_LINK, ARTIST_KEY, SONG_KEY = ("type=lyrics", "wrkid="), "play=true", "prfid", "wrkid"
+_FRONT, _BOTH = re.compile(HEADER_FRONT), re.compile(f"{HEADER_FRONT}|{HEADER_BACK}")
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _record = lambda **kinds: T.StructType([T.StructField(k, t) for k, t in kinds.items()])
 HIT = _record(**dict.fromkeys(("title", "artist", "prfid", "wrkid", "url"), T.StringType()))
@@ -83,58 +89,63 @@ def _ids(href: str) -> dict[str, str]:
 
 def _song_link(node: Node) -> bool:
     href = node.attrs.get("href", "")
-    return node.tag == "a" and "type=lyrics" in href and "wrkid=" in href and "play=true" not in href
+    return node.tag == "a" and all(x in href for x in SONG_LINK) and NOT_LINK not in href
+
+
+def _names_artist(node: Node) -> bool:
+    href = node.attrs.get("href", "")
+    return node.tag == "a" and node.has_class(HIT_CLASS) and f"{ARTIST_KEY}=" in href and SONG_KEY not in href
 
 
-def search_hits(html: str) -> list[dict]:
-    """The songs of a search page in order, once for each artist and work."""
+def search_hits(html: str, base: str = "") -> list[dict]:
+    """The songs of a search page in order, once for each artist and work; their links are resolved against `base`."""
     found: dict[tuple, dict] = {}
     for a in tree(html).walk():
-        if not (_song_link(a) and a.has_class("search_link_name_big")):
+        if not (_song_link(a) and a.has_class(HIT_CLASS)):
             continue
-        ids = _ids(a.attrs["href"])
-        cell = a.parent
+        ids, cell = _ids(a.attrs["href"]), a.parent
         while cell is not None and cell.tag != "td":
             cell = cell.parent
-        names = (x for x in cell.walk() if x.tag == "a" and x.has_class("search_link_name_big") and "prfid=" in x.attrs.get("href", "") and "wrkid" not in x.attrs["href"]) if cell else ()
-        artist = next((x.words() for x in names), "")
-        row = {"title": re.sub(r"\s+", " ", a.words()), "artist": artist, "prfid": ids.get("prfid"), "wrkid": ids.get("wrkid"), "url": urljoin(BASE, a.attrs["href"])}
-        found.setdefault((row["prfid"], row["wrkid"]), row)
+        artist = next((x.words() for x in cell.walk() if _names_artist(x)), "") if cell else ""
+        key = ids.get(ARTIST_KEY), ids.get(SONG_KEY)
+        row = {"title": re.sub(r"\s+", " ", a.words()), "artist": artist, "prfid": key[0], "wrkid": key[1], "url": urljoin(base, a.attrs["href"])}
+        found.setdefault(key, row)
     return list(found.values())
 
 
-def artist_works(html: str, prfid: str) -> list[dict]:
+def artist_works(html: str, prfid: str, base: str = "") -> list[dict]:
     """The songs of an artist's page in order, once for each work; links without words do not count."""
     page = list(tree(html).walk())
-    name = next((x.words() for cls in ("artist_singer_title", "artist_name_txt") for x in page if x.has_class(cls)), "")
-    name = re.sub(r'^שירים שבוצעו ע"י\s*', "", name)
-    if not name:
-        name = next((re.sub(r'^שירים שבוצעו ע"י\s*|\s*-\s*שירונט\s*$', "", "".join(x.strip() for x in n.strings())) for n in page if n.tag == "title"), "")
+    name = next((x.words() for cls in NAME_CLASSES for x in page if x.has_class(cls)), "")
+    name = _FRONT.sub("", name) or next((_BOTH.sub("", "".join(x.strip() for x in n.strings())) for n in page if n.tag == "title"), "")
     found: dict[str | None, dict] = {}
     for a in page:
-        if _song_link(a) and f"prfid={prfid}" in a.attrs["href"] and (title := a.words()):
-            work = _ids(a.attrs["href"]).get("wrkid")
-            found.setdefault(work, {"title": title, "artist": name, "prfid": prfid, "wrkid": work, "url": urljoin(BASE, a.attrs["href"])})
+        if _song_link(a) and f"{ARTIST_KEY}={prfid}" in a.attrs["href"] and (title := a.words()):
+            work = _ids(a.attrs["href"]).get(SONG_KEY)
+            found.setdefault(work, {"title": title, "artist": name, "prfid": prfid, "wrkid": work, "url": urljoin(base, a.attrs["href"])})
     return list(found.values())
 
 
 def lyrics_page(html: str) -> dict | None:
+    """A song's lyrics, title and artist; None without lyrics."""
     page = list(tree(html).walk())
-    body = next((x for x in page if x.tag == "span" and x.has_class("artist_lyrics_text")), None)
+    body = next((x for x in page if x.tag == "span" and x.has_class(LYRICS_CLASS)), None)
     if body is None:
         return None
     first = lambda cls: next((x.words() for x in page if x.has_class(cls)), "")
-    return {"lyrics": re.sub(r"\n{3,}", "\n\n", "".join(body.strings())).strip(), "page_title": first("artist_song_name_txt"), "page_artist": first("artist_singer_title")}
+    return {"lyrics": re.sub(r"\n{3,}", "\n\n", "".join(body.strings())).strip(), "page_title": first(SONG_CLASS), "page_artist": first(NAME_CLASSES[0])}
 
 
 @F.pandas_udf(T.ArrayType(HIT))
-def parse_search(html: pd.Series) -> pd.Series:
-    return html.map(lambda h: search_hits(h or ""))
+def parse_search(html: pd.Series, base: pd.Series) -> pd.Series:
+    """search_hits of pages, links resolved against the column base; a null page has no hits."""
+    return pd.Series([search_hits(h or "", b or "") for h, b in zip(html, base)])
 
 
 @F.pandas_udf(T.ArrayType(HIT))
-def parse_works(html: pd.Series, prfid: pd.Series) -> pd.Series:
-    return pd.Series([artist_works(h or "", p or "") for h, p in zip(html, prfid)])
+def parse_works(html: pd.Series, prfid: pd.Series, base: pd.Series) -> pd.Series:
+    """artist_works of pages, links resolved against the column base; a null page has none."""
+    return pd.Series([artist_works(h or "", p or "", b or "") for h, p, b in zip(html, prfid, base)])
 
 
 @F.pandas_udf(_record(found=T.BooleanType(), lyrics=T.StringType(), page_title=T.StringType(), page_artist=T.StringType()))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from urllib.parse import urlsplit
 
 import pandas as pd
 from pyspark.sql import Column
@@ -18,6 +19,10 @@ QUOTES, PLAIN = "׳’`״“”", "'''\"\"\""
 VERSIONS = ("live", "לייב", "אקוסטי", "גרסה.*", "גרסת.*", "רמיקס", "remix.*", "radio edit", "acoustic.*", "bonus.*", "מתוך.*", "sped up", "slowed.*", "ביצוע.*", "קאבר", "cover")
 # Credited names that are shows or labels.
 NON_PERFORMERS = ("הכוכב הבא", "כאן - תאגיד השידור הישראלי", "Participants of Festigal", "Kids Choir")
+# What stands before an artist's name in a works page's header, and behind it in the page's title.
+HEADER_FRONT, HEADER_BACK = r'^שירים שבוצעו ע"י\s*', r"\s*-\s*שירונט\s*$"
+# Repeat marks in lyrics, and bracketed notes.
+REPEATS, NOTES = r"\(?\s*[xX×]\s*\d+\s*\)?|\(?\s*\d+\s*[xX×]\s*\)?", r"\[[^\]]*\]"
 # Labels of sections in lyrics.
 SECTIONS = ("פזמון", "בית", "גשר", "מעבר", "chorus", "verse", "bridge", "intro", "outro")
 
@@ -47,15 +52,18 @@ def squash(c: Column, compose: bool = True) -> Column:
     return F.replace(clean(c, compose), F.lit(" "), F.lit(""))
 
 
-def base_title(c: Column, rounds: int = 4) -> Column:
-    """A title without version endings and brackets, removed up to `rounds` deep; of two sides of a bar, the first with Hebrew letters, else the first."""
+def base_title(c: Column) -> Column:
+    """A title without version endings and brackets, however many; of two sides of a bar, the first with Hebrew letters, else
+    the first.
+
+    One pass is a fixpoint: a bracket goes from its first opening sign to the next closing one, so what is left has no
+    opening sign before a closing one, and all endings in a row go together.
+    """
     sides = F.transform(F.split(F.trim(strip_bidi(c)), r"\|"), lambda x: F.trim(x))
     hebrew = F.filter(sides, lambda x: x.rlike(HEBREW))
     t = F.coalesce(F.get(hebrew, F.lit(0)), F.get(sides, F.lit(0)))
-    ending = r"(?i)\s*[-–—]\s*(?:" + "|".join(VERSIONS) + r")\s*$"
-    for _ in range(rounds):
-        t = F.trim(F.regexp_replace(F.regexp_replace(t, r"\s*[(\[][^)\]]*[)\]]", ""), ending, ""))
-    return t
+    endings = r"(?i)(?:\s*[-–—]\s*(?:" + "|".join(VERSIONS) + r")\s*)+$"
+    return F.trim(F.regexp_replace(F.trim(F.regexp_replace(t, r"\s*[(\[][^)\]]*[)\]]", "")), endings, ""))
 
 
 def title_parts(c: Column) -> Column:
@@ -77,8 +85,8 @@ def performers(names: Column) -> Column:
 def clean_lyrics(c: Column) -> Column:
     """Lyrics without section labels, repeat marks and bracketed notes; at most one blank line in a row."""
     c = F.regexp_replace(c, r"(?im)^\s*(?:" + "|".join(SECTIONS) + r")\s*\d*\s*:?\s*$", "")
-    c = F.regexp_replace(c, r"\(?\s*[xX×]\s*\d+\s*\)?|\(?\s*\d+\s*[xX×]\s*\)?", "")
-    c = F.regexp_replace(F.regexp_replace(c, r"\[[^\]]*\]", ""), r"\n{3,}", "\n\n")
+    c = F.regexp_replace(F.regexp_replace(c, REPEATS, ""), NOTES, "")
+    c = F.regexp_replace(c, r"\n{3,}", "\n\n")
     return F.regexp_replace(c, r"^[\p{Z}\s]+|[\p{Z}\s]+$", "")
 
 
@@ -102,13 +110,36 @@ def query_value(url: Column, name: str) -> Column:
     return F.try_url_decode(F.try_parse_url(url, F.lit("QUERY"), F.lit(name)))
 
 
+def _dotless(path: Column) -> Column:
+    """An absolute path without its . and .. segments."""
+    empty = F.array().cast("array<string>")
+    parts = F.split(F.substring(path, 2, 1 << 30), "/")
+    kept = F.aggregate(parts, empty, lambda acc, x: F.when(x == ".", acc).when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.array_append(acc, x)))
+    tail = F.when(F.element_at(parts, -1).isin(".", ".."), "/").otherwise("")
+    return F.regexp_replace(F.concat(F.lit("/"), F.array_join(kept, "/"), tail), "^//+$", "/")
+
+
 def absolute(url: Column, base: str) -> Column:
-    return F.when(url.rlike("^[a-z]+://"), url).when(url.startswith("/"), F.concat(F.lit(base), url)).otherwise(F.concat(F.lit(base + "/"), url))
+    """A url reference resolved against an absolute http base, as RFC 3986 has it; an empty one is the base."""
+    parts = urlsplit(base)
+    origin, path = f"{parts.scheme}://{parts.netloc}", parts.path or "/"
+    folder = path[: path.rfind("/") + 1]
+    whole = origin + parts.path + (f"?{parts.query}" if parts.query else "")
+    head, tail = F.regexp_extract(url, r"(?s)^([^?#]*)", 1), F.regexp_extract(url, r"(?s)^[^?#]*(.*)$", 1)
+    return (
+        F.when(url == "", base)
+        .when(url.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), url)
+        .when(url.startswith("//"), F.concat(F.lit(parts.scheme + ":"), url))
+        .when(url.startswith("?"), F.concat(F.lit(origin + parts.path), url))
+        .when(url.startswith("#"), F.concat(F.lit(whole), url))
+        .when(url.startswith("/"), F.concat(F.lit(origin), _dotless(head), tail))
+        .otherwise(F.concat(F.lit(origin), _dotless(F.concat(F.lit(folder), head)), tail))
+    )
 
 
 def without_header(c: Column) -> Column:
     """A works page's artist: without the words before the name and the site's name behind it."""
-    return F.regexp_replace(c, r'^שירים שבוצעו ע"י\s*|\s*-\s*שירונט\s*$', "")
+    return F.regexp_replace(c, f"{HEADER_FRONT}|{HEADER_BACK}", "")
 
 
 def last_segment(uri: Column) -> Column:
@@ -120,7 +151,8 @@ def is_real_page(html: Column) -> Column:
 
 
 def word_count(html: Column) -> Column:
-    plain = F.trim(F.regexp_replace(F.regexp_replace(html, "<[^>]+>", " "), r"\s+", " "))
+    """Words of a page outside its tags."""
+    plain = F.trim(F.regexp_replace(F.regexp_replace(html, "<[^>]+>", " "), r"[\p{Z}\s]+", " "))
     return F.when(plain == "", 0).otherwise(F.size(F.split(plain, " ")))
 
 
@@ -130,6 +162,14 @@ def windows(ids: Column, size: int = 510, stride: int = 255) -> Column:
     return F.transform(F.sequence(F.lit(0), last, F.lit(stride)), lambda s: F.slice(ids, s + 1, F.lit(size)))
 
 
+def in_windows(ids: Column, size: int = 510, stride: int = 255) -> Column:
+    """For each token, in how many of `windows` it lies, without making them."""
+    n = F.size(ids)
+    last = F.ceil(F.greatest(F.lit(0), n - size) / stride)
+    low = lambda i: F.greatest(F.lit(0), F.ceil((i - (size - 1)) / stride))
+    return F.transform(ids, lambda x, i: (F.least(last, F.floor(i / stride)) - low(i) + 1).cast("long"))
+
+
 def percent(c: Column, digits: int = 1) -> Column:
     return F.concat(F.format_number(c * 100, digits), F.lit("%"))
 

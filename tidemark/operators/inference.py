@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions import stats
 
@@ -44,9 +45,24 @@ def average_rank(value: str, within: str = "series") -> Column:
     return F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(within, value)) - 1) / 2
 
 
+@F.pandas_udf(T.DoubleType())
+def t_p(t: pd.Series, df: pd.Series) -> pd.Series:
+    """Two-sided p value of a t statistic; null stays null. One row a series or group."""
+    return pd.Series([None if pd.isna(a) or pd.isna(b) else stats.t_tail(a, b) for a, b in zip(t, df)], dtype=float)
+
+
+@F.pandas_udf(T.DoubleType())
+def normal_p(z: pd.Series) -> pd.Series:
+    """Two-sided p value of a normal statistic; null stays null."""
+    return pd.Series([None if pd.isna(a) else stats.normal_tail(a) for a in z], dtype=float)
+
+
 def spearman_trend(series: DataFrame) -> DataFrame:
+    """The rank correlation of a series with time, and its naive p value."""
     ranked = series.where("value IS NOT NULL").withColumn("r", average_rank("value"))
-    return ranked.groupBy("series").agg(F.count("*").alias("n"), safe_corr("t", "r").alias("rho"))
+    got = ranked.groupBy("series").agg(F.count("*").alias("n"), safe_corr("t", "r").alias("rho"))
+    t = F.try_divide(F.col("rho") * F.sqrt((F.col("n") - 2).cast("double")), F.sqrt(F.greatest(1 - F.col("rho") ** 2, F.lit(0.0))))
+    return got.withColumn("p", F.when(F.abs("rho") >= 1, 0.0).otherwise(t_p(t, (F.col("n") - 2).cast("double"))))
 
 
 def lag_correlations(series: DataFrame) -> DataFrame:
@@ -58,10 +74,28 @@ def lag_correlations(series: DataFrame) -> DataFrame:
 
 
 def ols_trend(series: DataFrame) -> DataFrame:
-    """Slope and its t value in closed form; the tail is a kernel's (trend_table)."""
+    """Slope, its t value in closed form, and p."""
     got = series.groupBy("series").agg(F.count("value").alias("n"), F.regr_slope("value", "t").alias("slope"), F.regr_sxx("value", "t").alias("sxx"), F.regr_syy("value", "t").alias("syy"), F.regr_sxy("value", "t").alias("sxy"))
     rest = F.col("syy") - F.col("sxy") ** 2 / F.col("sxx")
-    return got.select("series", "n", "slope", F.try_divide("slope", F.sqrt(F.greatest(rest, F.lit(0.0)) / (F.col("n") - 2) / F.col("sxx"))).alias("t_value"))
+    got = got.select("series", "n", "slope", F.try_divide("slope", F.sqrt(F.greatest(rest, F.lit(0.0)) / (F.col("n") - 2) / F.col("sxx"))).alias("t_value"))
+    return got.withColumn("p", t_p("t_value", (F.col("n") - 2).cast("double")))
+
+
+def hac_trend(series: DataFrame, lags: int = 12) -> DataFrame:
+    """Slope with Newey-West errors of Bartlett weights, no small-sample correction, and the normal tail, as grouped sums.
+
+    With time centred, the slope's variance is the sum over lags of weighted products of (t - mean) x residual, over sxx
+    squared, so a series needs one pass for the line and one for its lagged products. Values must not be null.
+    """
+    line = series.groupBy("series").agg(F.count("value").alias("n"), F.regr_slope("value", "t").alias("slope"), F.regr_intercept("value", "t").alias("start"), F.regr_sxx("value", "t").alias("sxx"), F.avg("t").alias("mt"))
+    x = series.join(line, "series").withColumn("s", (F.col("t") - F.col("mt")) * (F.col("value") - F.col("start") - F.col("slope") * F.col("t")))
+    x = x.withColumns({f"s{k}": F.lag("s", k).over(in_time()) for k in range(1, lags + 1)})
+    meat = F.sum(F.col("s") ** 2)
+    for k in range(1, lags + 1):
+        meat = meat + 2 * (1 - k / (lags + 1)) * F.coalesce(F.sum(F.col("s") * F.col(f"s{k}")), F.lit(0.0))
+    got = x.groupBy("series", "n", "slope", "sxx").agg(meat.alias("meat"))
+    z = F.try_divide(F.col("slope") * F.col("sxx"), F.sqrt(F.greatest("meat", F.lit(0.0))))
+    return got.select("series", "n", "slope", z.alias("z")).withColumn("p", normal_p("z"))
 
 
 def chow(series: DataFrame, margin: int = 15) -> DataFrame:
@@ -79,13 +113,14 @@ def chow(series: DataFrame, margin: int = 15) -> DataFrame:
 
 
 def chow_anywhere(series: DataFrame, margin: int = 15, level: float = 0.001) -> DataFrame:
-    """The share of break points whose Chow test is below `level`."""
-    tail = F.pandas_udf(lambda f, n: pd.Series([stats.f_tail(a, 2, b - 4) for a, b in zip(f, n)]), "double")
-    return chow(series, margin).withColumn("p", tail("f", F.col("n").cast("double"))).groupBy("series").agg(F.avg(F.when(F.col("p") < level, 1.0).otherwise(0.0)).alias("share"))
+    """The share of break points whose Chow test is below `level`: with two numerator degrees F's tail has a closed form."""
+    rest = F.col("n") - 4
+    p = F.pow(1 + 2 * F.greatest("f", F.lit(0.0)) / rest, -rest / 2)
+    return chow(series, margin).groupBy("series").agg(F.avg(F.when(p < level, 1.0).otherwise(0.0)).alias("share"))
 
 
 def ar1_unrolled(series: DataFrame, rounds: int = 10) -> DataFrame:
-    """The AR(1) trend's slope and rho by `rounds` - 1 regressions of whitened values on whitened time, each a grouped aggregate.
+    """The AR(1) trend's slope, rho, t value and p by `rounds` - 1 regressions of whitened values on whitened time, each a grouped aggregate.
 
     A round that finds the coefficients changed by less than 1e-4 keeps rho, as the iterated estimator does.
     """
@@ -101,7 +136,11 @@ def ar1_unrolled(series: DataFrame, rounds: int = 10) -> DataFrame:
         x = x.withColumn("u", F.col("u") - F.avg("u").over(by())).withColumn("bu", F.lag("u").over(in_time()))
         new = (F.sum(F.col("u") * F.col("bu")).over(by()) / (F.col("n") - 1)) / (F.sum(F.col("u") * F.col("u")).over(by()) / F.col("n"))
         x = x.withColumn("rho", F.when(F.col("stop"), F.col("rho")).otherwise(new)).withColumn("b", F.col("nb")).withColumn("a", F.col("na"))
-    return x.withColumn("wv", v).withColumn("wt", t).groupBy("series").agg(F.regr_slope("wv", "wt").alias("slope"), F.first("rho").alias("rho"))
+    sums = {f: F.expr(f"{f}(wv, wt)") for f in ("regr_slope", "regr_sxx", "regr_syy", "regr_sxy")}
+    got = x.withColumn("wv", v).withColumn("wt", t).groupBy("series").agg(F.first("rho").alias("rho"), F.first("n").alias("n"), *(c.alias(f) for f, c in sums.items()))
+    rest = F.greatest(F.col("regr_syy") - F.col("regr_sxy") ** 2 / F.col("regr_sxx"), F.lit(0.0))
+    value = F.try_divide("regr_slope", F.sqrt(rest / (F.col("n") - 3) / F.col("regr_sxx")))
+    return got.select("series", F.col("regr_slope").alias("slope"), "rho", value.alias("t_value"), t_p(value, (F.col("n") - 3).cast("double")).alias("p"))
 
 
 def trend_table(series: DataFrame, edge: int = 26, year: int = 52) -> DataFrame:
@@ -145,12 +184,14 @@ def rank_sum(rows: DataFrame, flag: str, value: str, group: str) -> DataFrame:
 
 
 def rank_sum_test(rows: DataFrame, flag: str, value: str, group: str, least: int = 5) -> DataFrame:
-    """rank_sum with means and the two-sided p value, for groups with `least` flagged rows."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf.loc[pdf[flag] == 1, value].to_numpy(float), pdf.loc[pdf[flag] != 1, value].to_numpy(float)
-        if len(a) < least or not len(b):
-            return pd.DataFrame(columns=[group, "n1", "mean1", "mean0", "p"])
-        return pd.DataFrame([{group: pdf[group].iloc[0], "n1": len(a), "mean1": a.mean(), "mean0": b.mean(), "p": stats.mann_whitney(a, b)[1]}])
-
-    return rows.select(F.col(group).cast("string"), flag, value).dropna().groupBy(group).applyInPandas(one, f"{group} string, n1 long, mean1 double, mean0 double, p double")
+    """rank_sum with means, the normal statistic (tie and continuity corrections) and the two-sided p value, for groups with
+    `least` flagged rows and any others. A group whose values are all alike has a p of 1."""
+    x = rows.where(F.col(value).isNotNull() & F.col(flag).isNotNull())
+    on = F.col(flag) == 1
+    means = x.groupBy(group).agg(F.avg(F.when(on, F.col(value))).alias("mean1"), F.avg(F.when(~on, F.col(value))).alias("mean0"))
+    ties = x.groupBy(group, value).agg(F.count("*").cast("double").alias("c")).groupBy(group).agg(F.sum(F.col("c") ** 3 - F.col("c")).alias("ties"))
+    got = rank_sum(rows, flag, value, group).join(means, group).join(ties, group).where((F.col("n1") >= least) & (F.col("n0") > 0))
+    n = F.col("n1") + F.col("n0")
+    sd = F.sqrt(F.col("n1") * F.col("n0") / 12 * ((n + 1) - F.col("ties") / (n * (n - 1))))
+    z = F.when(sd > 0, F.greatest(F.lit(0.0), F.abs(F.col("u") - F.col("n1") * F.col("n0") / 2) - 0.5) / sd).otherwise(0.0)
+    return got.select(group, "n1", "n0", "mean1", "mean0", "u", z.alias("z")).withColumn("p", normal_p("z"))

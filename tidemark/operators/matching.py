@@ -53,20 +53,73 @@ def old_rule(title: Column, artist: Column) -> Column:
     return 0.8 * title + 0.2 * artist > 70
 
 
+def prepared_parts(parts: DataFrame) -> DataFrame:
+    """parts (part, variants) with their cleaned forms, made once a part and not once a candidate."""
+    return parts.withColumn("part_clean", X.clean(F.col("part"))).withColumn("variants_clean", F.transform("variants", lambda v: X.clean(v, compose=False)))
+
+
+def prepared_pages(pages: DataFrame) -> DataFrame:
+    """pages (title, artist) with their cleaned forms."""
+    return pages.withColumn("title_clean", X.clean(F.col("title"))).withColumn("artist_clean", X.clean(F.coalesce("artist", F.lit(""))))
+
+
 def score_candidates(rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """rows (part, variants, title, artist, prfid, credited) with scores, prfid_known and decision.
 
-    known: (credited, prfid) pairs; credited is the array of the song's artists. A null prfid is never known.
+    known: (credited, prfid) pairs; credited is the array of the song's artists. A null prfid is never known. Cleaned
+    columns of prepared_parts and prepared_pages are used where rows have them.
     """
     if known is not None and "credited" in rows.columns:
         pairs = known.where("prfid IS NOT NULL").groupBy("prfid").agg(F.collect_set("credited").alias("_of"))
         rows = rows.join(pairs, "prfid", "left").withColumn("prfid_known", F.coalesce(F.arrays_overlap("_of", "credited"), F.lit(False))).drop("_of")
     else:
         rows = rows.withColumn("prfid_known", F.lit(False)) if "prfid_known" not in rows.columns else rows
-    names = F.transform("variants", lambda v: X.clean(v, compose=False))
-    x = rows.withColumn("_t", S.title_score(X.clean(F.col("part")), X.clean(F.col("title")))).withColumn("_a", S.artist_score(names, X.clean(F.coalesce("artist", F.lit("")))))
+    x = rows if "part_clean" in rows.columns else prepared_parts(rows)
+    x = x if "title_clean" in x.columns else prepared_pages(x)
+    x = x.withColumn("_t", S.title_score("part_clean", "title_clean")).withColumn("_a", S.artist_score("variants_clean", "artist_clean"))
     x = x.withColumn("decision", decision(F.col("_t"), F.col("_a"), F.col("prfid_known")))
-    return x.withColumn("title_score", F.bround("_t", 1)).withColumn("artist_score", F.bround("_a", 1)).drop("_t", "_a")
+    x = x.withColumn("title_score", F.bround("_t", 1)).withColumn("artist_score", F.bround("_a", 1))
+    return x.drop("_t", "_a", "part_clean", "variants_clean", "title_clean", "artist_clean")
+
+
+def search_queries(parts: DataFrame, more: int = 2) -> DataFrame:
+    """(uri, part_no, tier, query): a part is searched by its title, then with each of its first `more` variants that have
+    Hebrew letters. Tier 0 is for artists' song lists; searches are tiers 1, 2 and so on."""
+    hebrew = F.slice(F.filter("variants", lambda v: X.has_hebrew(v)), 1, more)
+    queries = F.concat(F.array("part"), F.transform(hebrew, lambda v: F.concat_ws(" ", "part", v)))
+    return parts.select("uri", "part_no", F.posexplode(queries).alias("tier", "query")).withColumn("tier", F.col("tier") + 1)
+
+
+def candidates_by_tier(parts: DataFrame, known: DataFrame, works: DataFrame, searches: DataFrame) -> DataFrame:
+    """The candidates of each part in the order in which they are tried: uri, part_no, tier, ord and the pages' columns.
+
+    parts: uri, part_no, part, variants, credited. known: (credited, prfid). works: prfid, ord and the songs of an artist's
+    list; searches: query, ord and a search's hits. Tier 0 has the lists of all known ids of the credited artists, by id;
+    then come the searches of search_queries. The columns of both are the same but for the key.
+    """
+    cols = [c for c in works.columns if c not in ("prfid", "ord")]
+    ids = parts.select("uri", "part_no", F.explode("credited").alias("credited")).join(known.where("prfid IS NOT NULL").distinct(), "credited").select("uri", "part_no", "prfid").distinct()
+    by_id = Window.partitionBy("uri", "part_no").orderBy("prfid", "ord")
+    listed = ids.join(works, "prfid").select("uri", "part_no", F.lit(0).alias("tier"), F.row_number().over(by_id).cast("long").alias("ord"), "prfid", *cols)
+    found = search_queries(parts).join(searches, "query").select("uri", "part_no", "tier", F.col("ord").cast("long").alias("ord"), "prfid", *cols)
+    return listed.unionByName(found)
+
+
+def seeded(old: DataFrame, mapping: DataFrame, same: float = 90) -> tuple[DataFrame, DataFrame]:
+    """What an earlier run's matches are worth under the artist gate: (lyrics by url, known (credited, prfid) pairs).
+
+    old: uri, track_name, artist_names, title, artist, url, lyrics. Rows without lyrics or url are left out. The first part
+    of a title decides, and no id is known beforehand. Of accepted rows the lyrics are kept by url, one row a url, and each
+    credited performer whose own names score `same` or more against the page's artist learns the id in the url.
+    """
+    rows = old.where("lyrics IS NOT NULL AND url IS NOT NULL").withColumn("prfid", X.query_value(F.col("url"), "prfid"))
+    rows = artist_variants(rows.withColumn("_row", F.monotonically_increasing_id()), mapping, key="_row").withColumn("part", F.element_at(X.title_parts(F.col("track_name")), 1))
+    taken = score_candidates(rows).where("decision = 'accept'")
+    lyrics = taken.groupBy("url").agg(F.max_by("lyrics", "uri").alias("lyrics"))
+    single = taken.select(F.explode(X.performers(X.split_artists(F.col("artist_names")))).alias("credited"), "artist", "prfid").distinct()
+    own = artist_variants(single.select("credited").distinct().withColumn("names", F.col("credited")), mapping, key="credited", names="names").select("credited", F.transform("variants", lambda v: X.clean(v, compose=False)).alias("own"))
+    known = single.join(own, "credited").where(S.artist_score("own", X.clean(F.coalesce("artist", F.lit("")))) >= same)
+    return lyrics, known.where("prfid IS NOT NULL").select("credited", "prfid").distinct()
 
 
 def best(decided: DataFrame, by: list[str], order: str) -> DataFrame:
@@ -88,15 +141,23 @@ def learn_ids(hits: DataFrame, least: int = 2) -> DataFrame:
     return hits.where("prfid IS NOT NULL").groupBy("credited", "prfid").agg(F.countDistinct("song").alias("songs")).where(F.col("songs") >= least).select("credited", "prfid")
 
 
-def resolve(songs: DataFrame, candidates: DataFrame, mapping: DataFrame, known: DataFrame, overrides: DataFrame) -> DataFrame:
+def overridden(rows: DataFrame, overrides: DataFrame, status: Column, key: str = "uri") -> DataFrame:
+    """rows with status and manual_url: a person's decision of action none or url wins over `status`; other actions and all
+    but the first row of a key count for nothing."""
+    manual = overrides.where(F.col("action").isin("none", "url")).groupBy(F.col("spotify_uri").alias(key)).agg(F.first("action").alias("_action"), F.first("shironet_url").alias("manual_url"))
+    return rows.join(manual, key, "left").withColumn("status", F.coalesce(F.concat(F.lit("manual_"), "_action"), status)).drop("_action")
+
+
+def resolve(songs: DataFrame, candidates: DataFrame, mapping: DataFrame, known: DataFrame, overrides: DataFrame, uncached: DataFrame | None = None) -> DataFrame:
     """Songs with status, part count and the chosen pages, in two passes over one set of candidates.
 
     songs: uri, track_name, artist_names. candidates: uri, part_no, tier, ord, title, artist, prfid, wrkid, url,
     lyrics. The ids that pass 1 learns from title hits are known in pass 2, as a snapshot. Overrides (spotify_uri,
-    action, shironet_url) of action none or url win over any match.
+    action, shironet_url) of action none or url win over any match. uncached (uri): songs of which a page that was to be
+    read is not in the cache; they have no pages and the status not_cached.
     """
     parts = artist_variants(songs, mapping).withColumn("credited", X.split_artists(F.col("artist_names"))).select("uri", "variants", "credited", F.posexplode(X.title_parts(F.col("track_name"))).alias("part_no", "part"))
-    rows = parts.join(candidates, ["uri", "part_no"])
+    rows = prepared_parts(parts).join(prepared_pages(candidates), ["uri", "part_no"])
     hits = score_candidates(rows, known).where(F.col("title_score") >= TITLE_ACCEPT)
     learned = learn_ids(hits.select(F.explode("credited").alias("credited"), F.concat_ws("|", "uri", "part").alias("song"), "prfid"))
     decided = score_candidates(rows, known.select("credited", "prfid").union(learned).distinct())
@@ -116,11 +177,22 @@ def resolve(songs: DataFrame, candidates: DataFrame, mapping: DataFrame, known:
         F.min("artist_score").alias("artist_score"),
         F.array_join(ordered("lyrics"), "\n\n").alias("lyrics"),
     )
-    manual = overrides.where(F.col("action").isin("none", "url")).groupBy(F.col("spotify_uri").alias("uri")).agg(F.first("action").alias("action"), F.first("shironet_url").alias("manual_url"))
-    x = songs.join(song, "uri", "left").join(manual, "uri", "left")
-    automatic = F.when(F.coalesce("missing", F.lit(1)) > 0, "not_found").when(F.col("reviews") > 0, "review").when(F.col("unread") > 0, "lyrics_not_fetched").when(F.col("blank") > 0, "page_without_lyrics").otherwise("accepted")
-    status = F.when(F.col("action") == "none", "manual_none").when(F.col("action") == "url", "manual_url").otherwise(automatic)
-    return x.withColumn("status", status).withColumn("lyrics", F.when(status == "accepted", F.col("lyrics"))).drop("missing", "reviews", "unread", "blank", "action")
+    x = songs.join(song, "uri", "left")
+    if uncached is not None:
+        x = x.join(uncached.select("uri").distinct().withColumn("_miss", F.lit(True)), "uri", "left")
+        x = x.withColumns({c: F.when(F.col("_miss").isNull(), F.col(c)) for c in ("shironet_urls", "shironet_titles", "title_score", "artist_score", "lyrics")})
+    else:
+        x = x.withColumn("_miss", F.lit(None).cast("boolean"))
+    automatic = (
+        F.when(F.col("_miss"), "not_cached")
+        .when(F.coalesce("missing", F.lit(1)) > 0, "not_found")
+        .when(F.col("reviews") > 0, "review")
+        .when(F.col("unread") > 0, "lyrics_not_fetched")
+        .when(F.col("blank") > 0, "page_without_lyrics")
+        .otherwise("accepted")
+    )
+    x = overridden(x, overrides, automatic)
+    return x.withColumn("lyrics", F.when(F.col("status") == "accepted", F.col("lyrics"))).drop("missing", "reviews", "unread", "blank", "_miss")
 
 
 def review_queue(matches: DataFrame) -> DataFrame:

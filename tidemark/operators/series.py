@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from .inference import by, in_time
 
+#: Events that are sent to all tasks at most.
+SMALL = 100_000
+
 
 def weighted_means(charts: DataFrame, scores: DataFrame, values: Sequence[str], key: str = "uri", week: str = "week_date", weight: str = "streams") -> DataFrame:
     """Each week's weighted means over its scored entries, and the share of the week's weight that they hold.
@@ -67,6 +70,22 @@ def month_contrast(series: DataFrame, month: int = 12) -> DataFrame:
     return series.groupBy("series").agg((F.avg(F.when(here, F.col("value"))) - F.avg(F.when(~here, F.col("value")))).alias("difference"))
 
 
+def first_weeks(series: DataFrame, events: DataFrame) -> DataFrame:
+    """(series, code, t): each event's first week on or after its date; series without one have no row.
+
+    An as-of join by union: weeks and events of a series in one order, and for each event the next week. The result has a
+    row for each series and event, so events are repeated by series, whose names are few against their weeks.
+    """
+    names = series.select("series").distinct()
+    asked = names.join(F.broadcast(events.select("code", "date")) if events.limit(SMALL + 1).count() <= SMALL else events.select("code", "date"), how="cross")
+    weeks = series.select("series", F.col("week_date").alias("date"), F.col("t").alias("week"), F.lit(None).cast("string").alias("code"))
+    both = weeks.unionByName(asked.select("series", F.col("date").cast("date").alias("date"), F.lit(None).cast("int").alias("week"), F.col("code").cast("string").alias("code")))
+    # an event stands before the weeks of its day
+    ahead = Window.partitionBy("series").orderBy("date", F.col("code").isNull()).rowsBetween(0, Window.unboundedFollowing)
+    found = both.withColumn("t", F.first("week", ignorenulls=True).over(ahead))
+    return found.where(F.col("code").isNotNull() & F.col("t").isNotNull()).select("series", "code", "t")
+
+
 def event_windows(series: DataFrame, events: DataFrame, k: int = 3) -> DataFrame:
     """Change of the mean of k weeks from an event against the k before, its permutation p and the level after it.
 
@@ -78,9 +97,7 @@ def event_windows(series: DataFrame, events: DataFrame, k: int = 3) -> DataFrame
     full = (F.col("t") >= k) & (F.col("t") <= F.col("n") - k)
     x = x.withColumn("change", F.when(full, F.avg("value").over(after) - F.avg("value").over(before)))
     x = x.withColumn("level_z", F.try_divide(F.avg("value").over(after) - F.col("mean"), "sd"))
-    # the first week on or after each event; events are a short constant table
-    at = x.join(F.broadcast(events), F.col("week_date") >= F.col("date")).groupBy("series", "code").agg(F.min("t").alias("t"))
-    hit = at.join(x.select("series", "t", "week_date", "change", "level_z", "sd"), ["series", "t"])
+    hit = first_weeks(series, events).join(x.select("series", "t", "week_date", "change", "level_z", "sd"), ["series", "t"])
     null = x.where("change IS NOT NULL").select("series", F.abs("change").alias("size"))
     p = hit.select("series", "code", F.abs("change").alias("mine")).join(null, "series").groupBy("series", "code").agg(F.avg(F.when(F.col("size") >= F.col("mine"), 1.0).when(F.col("mine").isNotNull(), 0.0)).alias("p_perm"))
     return hit.join(p, ["series", "code"], "left").select("series", "code", F.col("week_date").alias("week"), "change", F.try_divide("change", "sd").alias("change_sd"), "p_perm", "level_z")
@@ -102,6 +119,31 @@ def drivers(charts: DataFrame, scores: DataFrame, value: str, before: Sequence[s
     return best.crossJoin(total).select(key, "contribution", F.try_divide("contribution", "total").alias("share"))  # one row on the right
 
 
+def event_drivers(charts: DataFrame, scores: DataFrame, hits: DataFrame, k: int = 3, top: int = 2, key: str = "uri") -> DataFrame:
+    """(series, code, place, key, contribution, share): the keys that moved a series most from the k weeks before to the k
+    weeks from an event, with their share of the whole change.
+
+    scores: key, series, value. hits: series, code, t and the series' weeks (series, t, week_date) around them as `weeks`
+    of (week_date, side), side -1 before and 1 from the event on. Contributions are as in `drivers`.
+    """
+    inside = hits.select("series", "code", F.explode("weeks").alias("w")).select("series", "code", "w.week_date", "w.side")
+    entries = charts.join(inside.select("week_date").distinct(), "week_date", "left_semi").join(scores, key)
+    share = F.col("streams") / F.sum("streams").over(Window.partitionBy("week_date", "series"))
+    part = entries.withColumn("_c", share * F.col("value")).select("week_date", "series", key, "_c")
+    d = inside.join(part, ["series", "week_date"]).groupBy("series", "code", key).agg((F.sum(F.col("side") * F.col("_c")) / k).alias("contribution"))
+    of = Window.partitionBy("series", "code")
+    d = d.withColumn("share", F.try_divide("contribution", F.sum("contribution").over(of))).withColumn("place", F.row_number().over(of.orderBy(F.abs("contribution").desc(), key)))
+    return d.where(F.col("place") <= top).select("series", "code", "place", key, "contribution", "share")
+
+
+def weeks_around(series: DataFrame, hits: DataFrame, k: int = 3) -> DataFrame:
+    """hits (series, code, t, more) with weeks: the k weeks before t (side -1) and the k from t on (side 1)."""
+    near = series.select("series", F.col("t").alias("_t"), "week_date")
+    places = hits.select(*hits.columns, F.explode(F.sequence(F.col("t") - k, F.col("t") + k - 1)).alias("_t")).join(near, ["series", "_t"])
+    side = F.when(F.col("_t") < F.col("t"), -1).otherwise(1)
+    return places.groupBy(*hits.columns).agg(F.collect_list(F.struct("week_date", side.alias("side"))).alias("weeks"))
+
+
 def decomposition(charts: DataFrame, scores: DataFrame, value: str, early: str, late: str, key: str = "uri") -> DataFrame:
     """Each key's change of pooled weight share from before `early` to `late` on, times its value."""
     x = charts.join(scores.select(key, value), key)

@@ -44,7 +44,13 @@ def charts(spark: SparkSession, path: str, dates_as_text: bool = False) -> DataF
 
 def texts(spark: SparkSession, folder: str) -> DataFrame:
     """(file, text) of each text file of a folder, whole."""
-    return spark.read.text(folder, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.col("value").alias("text"))
+    return spark.read.text(folder, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
+
+
+def named_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """(name, text) of the files that sinks.write_texts wrote; the line end that it puts behind a text goes."""
+    found = spark.read.schema("value string, name string").text(folder, wholetext=True)
+    return found.select("name", F.regexp_replace("value", "\n$", "").alias("text"))
 
 
 def json_document(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
