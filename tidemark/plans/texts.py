@@ -10,6 +10,7 @@ from tidemark.functions import similarity as Y
 from tidemark.functions import text as X
 from tidemark.operators import lexicon as L
 from tidemark.operators import matching as M
+from tidemark.operators import scoring
 from tidemark.operators import series as S
 from tidemark.sources import readers, sinks
 
@@ -57,9 +58,32 @@ def text_windows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def window_weighted_mean(spark: SparkSession, d: str) -> DataFrame:
-    w = _windows(spark, d).select(F.col("doc_id").alias("uri"), F.explode("wins").alias("win"))
-    p = w.select("uri", F.size("win").alias("n_tokens"), (F.size(F.filter("win", lambda x: F.length(x) > 5)) / F.size("win")).alias("p"))
-    return rounded(S.window_scores(p, ["p"]), "p")
+    """Of each text, the mean over its windows of their share of long words, weighted by their lengths.
+
+    A word counts once for each window it lies in, so the sums are taken over words and no window is made.
+    """
+    words = table(spark, d, "documents").select(F.col("doc_id").alias("uri"), F.split("text", "[ \n]+").alias("w"))
+    n = F.size("w")
+    x = words.select("uri", n.alias("n"), F.transform("w", lambda x: F.length(x) > 5).alias("long"), X.in_windows(F.col("w"), WIN, STEP).alias("c"))
+    pairs = F.zip_with("long", "c", lambda l, c: F.when(l, c).otherwise(0))
+    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda acc, v: acc + F.coalesce(v, F.lit(0)))
+    wins = (F.ceil(F.greatest(F.lit(0), F.col("n") - WIN) / STEP) + 1).cast("long")
+    return rounded(x.select("uri", wins.alias("n_windows"), F.try_divide(total(pairs).cast("double"), total("c").cast("double")).alias("p")), "p")
+
+
+def _share_of(n: int):
+    """A stand-in model: the share of a window's words with more than n letters."""
+
+    def make():
+        return lambda windows: [[sum(len(w) > n for w in x) / len(x)] for x in windows]
+
+    return make
+
+
+def batch_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Texts scored window by window in batches by a model given as a function, here a count of long words."""
+    words = table(spark, d, "documents").select(F.col("doc_id").alias("uri"), F.split("text", "[ \n]+").alias("tokens"))
+    return rounded(scoring.score_texts(words, _share_of(5), ["p"], size=WIN, stride=STEP), "p")
 
 
 def split_artists(spark: SparkSession, d: str) -> DataFrame:
@@ -69,7 +93,8 @@ def split_artists(spark: SparkSession, d: str) -> DataFrame:
 
 
 def title_normalise(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 60).alias("t"))
+    """Whole texts as titles are normalised."""
+    t = table(spark, d, "documents").select("doc_id", F.col("text").alias("t"))
     return t.select("doc_id", X.clean(F.col("t")).alias("clean"), X.squash(F.col("t")).alias("squashed"))
 
 
@@ -156,11 +181,9 @@ def labels_joins(spark: SparkSession, d: str) -> DataFrame:
 
 def manual_overrides(spark: SparkSession, d: str) -> DataFrame:
     """Statuses after hand-made decisions: those of two actions win, others are ignored, the first row of a key counts."""
-    o = table(spark, d, "orders")
-    acts = o.where("o_orderkey % 5 = 0").select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, "none").when(F.col("o_orderkey") % 3 == 1, "url").otherwise("ask").alias("action"))
-    x = o.join(acts.where(F.col("action").isin("none", "url")), "o_orderkey", "left")
-    status = F.when(F.col("action") == "none", "manual_none").when(F.col("action") == "url", "manual_url").otherwise(F.col("o_orderstatus"))
-    return x.groupBy(status.alias("status")).agg(F.count("*").alias("n"))
+    o = table(spark, d, "orders").withColumnRenamed("o_orderkey", "uri")
+    acts = o.where("uri % 5 = 0").select(F.col("uri").alias("spotify_uri"), F.when(F.col("uri") % 3 == 0, "none").when(F.col("uri") % 3 == 1, "url").otherwise("ask").alias("action"), F.lit("").alias("shironet_url"))
+    return M.overridden(o, acts, F.col("o_orderstatus")).groupBy("status").agg(F.count("*").alias("n"))
 
 
 def formatted(spark: SparkSession, d: str) -> DataFrame:
@@ -170,29 +193,48 @@ def formatted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fuzzy_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Similarities of part types within a brand and size, each pair of keys once."""
-    p = table(spark, d, "part").select("p_brand", "p_size", "p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("t"))
-    q = p.toDF("p_brand", "p_size", "other", "u")
-    pairs = p.join(q, ["p_brand", "p_size"]).where("p_partkey < other")
-    a, b = X.clean(F.col("t")), X.clean(F.col("u"))
-    return pairs.select("p_partkey", "other", a.alias("a"), b.alias("b")).select("p_partkey", "other", Y.title_score("a", "b").alias("title"), Y.artist_score(F.array("a"), "b").alias("artist"), Y.indel_ratio("a", "b").alias("ratio"))
+    """Similarities of the titles that stand side by side in a brand and size, and how many pairs of parts have them.
+
+    Parts are counted by title first, so the join grows with the titles of a brand and size and not with the square of
+    its parts; each pair of titles is cleaned and scored once.
+    """
+    p = table(spark, d, "part").groupBy("p_brand", "p_size", F.concat_ws(" ", "p_name", "p_type").alias("a")).agg(F.count("*").alias("n"))
+    pairs = p.join(p.toDF("p_brand", "p_size", "b", "m"), ["p_brand", "p_size"]).where("a <= b")
+    met = pairs.groupBy("a", "b").agg(F.sum(F.when(F.col("a") == F.col("b"), (F.col("n") * (F.col("n") - 1) / 2).cast("long")).otherwise(F.col("n") * F.col("m"))).alias("pairs")).where("pairs > 0")
+    scored = met.select("a", "b", "pairs", Y.all_scores(X.clean(F.col("a")), X.clean(F.col("b"))).alias("s"))
+    return scored.select("a", "b", "pairs", "s.title", "s.artist", "s.ratio")
+
+
+def title_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The title score of part names that have a word in common: glued or in order of words, whichever is better."""
+    names = table(spark, d, "part").select(F.col("p_name").alias("a")).distinct()
+    words = names.select("a", F.explode(F.array_distinct(F.split("a", " "))).alias("word"))
+    pairs = words.join(words.withColumnRenamed("a", "b"), "word").where("a < b").select("a", "b").distinct()
+    return rounded(pairs.select("a", "b", Y.title_score(X.clean(F.col("a")), X.clean(F.col("b"))).alias("score")), "score")
 
 
 def resolved_songs(spark: SparkSession, d: str) -> DataFrame:
-    """Two-pass resolution of parts as songs against parts of the same type and size as pages."""
+    """Two-pass resolution of parts as songs. The pages are the distinct names of a brand: an artist's list has all of a
+    brand's, a search all of a name's. Some songs are decided by hand and some have pages that are not in the cache."""
     p = table(spark, d, "part")
-    songs = p.select(F.col("p_partkey").cast("string").alias("uri"), F.col("p_name").alias("track_name"), F.col("p_brand").alias("artist_names"), "p_type", "p_size", F.col("p_retailprice").alias("total_streams"))
-    pages = p.select("p_type", "p_size", (F.col("p_partkey") % 3).cast("int").alias("tier"), F.col("p_partkey").alias("ord"), F.col("p_name").alias("title"), F.col("p_brand").alias("artist"), F.col("p_brand").alias("prfid"), F.col("p_partkey").cast("string").alias("wrkid"), F.col("p_partkey").cast("string").alias("url"), F.col("p_type").alias("lyrics"))
-    candidates = songs.select("uri", "p_type", "p_size").join(pages, ["p_type", "p_size"]).withColumn("part_no", F.lit(0)).drop("p_type", "p_size")
-    none = spark.createDataFrame([], "credited string, prfid string")
-    empty = spark.createDataFrame([], readers.MAPPING)
-    return M.resolve(songs.drop("p_type", "p_size"), candidates, empty, none, spark.createDataFrame([], readers.OVERRIDES)).select("uri", "status", "n_parts", "title_score", "artist_score", "shironet_urls")
+    uri = F.col("p_partkey").cast("string")
+    songs = p.select(uri.alias("uri"), F.concat("p_name", F.lit(" - Live")).alias("track_name"), F.col("p_brand").alias("artist_names"), F.col("p_retailprice").alias("total_streams"), "p_name", "p_brand", "p_partkey")
+    page = p.groupBy("p_name", "p_brand").agg(F.min("p_partkey").alias("ord"), F.min_by("p_type", "p_partkey").alias("lyrics"))
+    page = page.select(F.col("p_name").alias("title"), F.col("p_brand").alias("artist"), F.col("p_brand").alias("prfid"), "ord", F.col("ord").cast("string").alias("wrkid"), F.col("ord").cast("string").alias("url"), "lyrics")
+    works = songs.select("uri", F.col("p_brand").alias("artist")).join(page, "artist").withColumn("tier", F.lit(0))
+    found = songs.select("uri", F.col("p_name").alias("title")).join(page, "title").withColumn("tier", F.lit(1))
+    candidates = works.unionByName(found).withColumn("part_no", F.lit(0))
+    known = p.where("p_size > 25").select(F.col("p_brand").alias("credited"), F.col("p_brand").alias("prfid")).distinct()
+    mapping = spark.createDataFrame([("Brand#3", "מותג שלוש"), ("Brand#5", "Brand five, מותג חמש")], readers.MAPPING)
+    manual = songs.where("p_partkey % 40 = 1").select(F.col("uri").alias("spotify_uri"), F.when(F.col("p_partkey") % 3 == 0, "none").otherwise("url").alias("action"), F.lit("by hand").alias("shironet_url"))
+    got = M.resolve(songs, candidates, mapping, known, manual, uncached=songs.where("p_partkey % 50 = 7").select("uri"))
+    return got.select("uri", "status", "n_parts", "title_score", "artist_score", "shironet_urls", "lyrics", "manual_url")
 
 
 def audit_suspects(spark: SparkSession, d: str) -> DataFrame:
     """Matched songs whose page's artist is unlike every credited name, not cleared by hand."""
     p = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("uri"), F.col("p_name").alias("artist_names"), F.lead("p_name").over(Window.partitionBy("p_brand").orderBy("p_partkey")).alias("matched_artist"))
-    return M.audit(p, spark.createDataFrame([], readers.MAPPING), ["1", "2"]).select("uri", "artist_names", "matched_artist", "similarity")
+    return M.audit(p, spark.createDataFrame([("hot bolt", "cold bolt")], readers.MAPPING), ["1", "2"]).select("uri", "artist_names", "matched_artist", "similarity")
 
 
 def html_parse(spark: SparkSession, d: str) -> DataFrame:
@@ -233,6 +275,11 @@ s AS (SELECT doc_id, w, unnest(generate_series(0, (ceil(greatest(0, len(w) - {WI
 p AS (SELECT doc_id, list_slice(w, a + 1, a + {WIN}) AS win FROM s),
 q AS (SELECT doc_id, len(win) AS n, len(list_filter(win, lambda x: length(x) > 5))::DOUBLE / len(win) AS p FROM p)
 SELECT doc_id AS uri, count(*) AS n_windows, {R('sum(p * n) / sum(n) AS p')} FROM q GROUP BY 1""",
+    "resolved_songs": """WITH pg AS (SELECT p_name, p_brand, min(p_partkey) AS ord, arg_min(p_type, p_partkey) AS lyrics FROM part GROUP BY 1, 2),
+s AS (SELECT p.*, p_partkey % 40 = 1 AS manual, p_partkey % 50 = 7 AS miss, ord, lyrics FROM part p JOIN pg USING (p_name, p_brand))
+SELECT p_partkey::VARCHAR AS uri, CASE WHEN manual AND p_partkey % 3 = 0 THEN 'manual_none' WHEN manual THEN 'manual_url' WHEN miss THEN 'not_cached' ELSE 'accepted' END AS status, 1::BIGINT AS n_parts,
+  CASE WHEN NOT miss THEN 100.0::DOUBLE END AS title_score, CASE WHEN NOT miss THEN 100.0::DOUBLE END AS artist_score, CASE WHEN NOT miss THEN ord::VARCHAR END AS shironet_urls,
+  CASE WHEN NOT manual AND NOT miss THEN lyrics END AS lyrics, CASE WHEN manual THEN 'by hand' END AS manual_url FROM s""",
     "split_artists": "SELECT c_custkey, 3 AS n, c_name || '|' || c_mktsegment AS names FROM customer",
     "url_params": r"SELECT page_id, nullif(regexp_extract(url, '[?&]page=([^&#]*)', 1), '') AS page, nullif(regexp_extract(url, '[?&]utm_source=([^&#]*)', 1), '') AS utm_source FROM pages",
     "sha1_key": "SELECT page_id, sha1(url) AS key FROM pages",
@@ -261,15 +308,26 @@ SELECT uri, reason, streams, row_number() OVER (ORDER BY streams DESC, uri) AS p
 SELECT 'share' AS series, CASE {CASES_SQL} END AS period, {R('avg(value) AS mean')} FROM w GROUP BY 2 HAVING period IS NOT NULL""",
     "top_candidates": "WITH r AS (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber, l_partkey) AS rn FROM lineitem) SELECT l_orderkey, string_agg(l_partkey::VARCHAR, ',' ORDER BY rn) AS parts FROM r WHERE rn <= 3 GROUP BY 1",
 }
+ORACLES["batch_scores"] = ORACLES["window_weighted_mean"]
+# the longest common subsequence, a row of its table for each letter of the left string
+ORACLES["title_scores"] = """WITH RECURSIVE n AS (SELECT DISTINCT p_name AS x FROM part),
+p AS (SELECT a.x AS a, b.x AS b FROM n a JOIN n b ON a.x < b.x WHERE list_has_any(string_split(a.x, ' '), string_split(b.x, ' '))),
+forms AS (SELECT a, b, replace(a, ' ', '') AS l, replace(b, ' ', '') AS r FROM p
+  UNION ALL SELECT a, b, list_aggregate(list_sort(string_split(a, ' ')), 'string_agg', ' '), list_aggregate(list_sort(string_split(b, ' ')), 'string_agg', ' ') FROM p),
+dp AS (SELECT a, b, l, r, 0 AS i, list_transform(range(length(r) + 1), lambda k: 0) AS row FROM forms
+  UNION ALL SELECT a, b, l, r, i + 1,
+    list_transform(range(length(r) + 1), lambda k: list_max(list_transform(range(k + 1), lambda j: greatest(row[j + 1], CASE WHEN j > 0 AND substr(r, j, 1) = substr(l, i + 1, 1) THEN row[j] + 1 ELSE 0 END))))
+  FROM dp WHERE i < length(l))
+SELECT a, b, round(max(200.0::DOUBLE * row[length(r) + 1] / (length(l) + length(r))), 6) + 0.0 AS score FROM dp WHERE i = length(l) GROUP BY 1, 2"""
 TRANSLATED = "translate(x, '׳’`״“”', chr(39) || chr(39) || chr(39) || '\"\"\"')"
 ORACLES["title_normalise"] = (
-    r"WITH a AS (SELECT doc_id, regexp_replace(regexp_replace(nfc_normalize(substr(text, 1, 60)), '[\x{0591}-\x{05C7}]', '', 'g'), '[\x{200E}\x{200F}\x{202A}-\x{202E}\x{2066}-\x{2069}]', '', 'g') AS x FROM documents), b AS (SELECT doc_id, "
+    r"WITH a AS (SELECT doc_id, regexp_replace(regexp_replace(nfc_normalize(text), '[\x{0591}-\x{05C7}]', '', 'g'), '[\x{200E}\x{200F}\x{202A}-\x{202E}\x{2066}-\x{2069}]', '', 'g') AS x FROM documents), b AS (SELECT doc_id, "
     + TRANSLATED
     + r" AS x FROM a), c AS (SELECT doc_id, lower(trim(regexp_replace(regexp_replace(x, '[^\p{L}\p{N}_\p{Z}\s'']', ' ', 'g'), '[\p{Z}\s]+', ' ', 'g'))) AS clean FROM b) SELECT doc_id, clean, replace(clean, ' ', '') AS squashed FROM c"
 )
 
 QUERIES = {f.__name__: f for f in (
-    theme_hits, theme_flags, weekly_theme_share, script_share, text_windows, window_weighted_mean, split_artists, title_normalise, title_parts, url_params, sha1_key,
+    theme_hits, theme_flags, weekly_theme_share, script_share, text_windows, window_weighted_mean, batch_scores, split_artists, title_normalise, title_parts, url_params, sha1_key,
     page_cache, medley_concat, decide_cases, learn_ids_having, best_candidate, first_accepting_tier, duplicate_pages, keep_first_dedup, last_wins_mapping, union_queue,
-    labels_joins, manual_overrides, formatted, fuzzy_scores, resolved_songs, audit_suspects, html_parse, israeli_share_months, top_candidates,
+    labels_joins, manual_overrides, formatted, fuzzy_scores, title_scores, resolved_songs, audit_suspects, html_parse, israeli_share_months, top_candidates,
 )}
