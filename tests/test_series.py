@@ -12,6 +12,7 @@ from tidemark.operators import series as S
 from tidemark.sources import readers, sinks
 from tidemark.streaming.weekly import weekly_means
 
+# The published weekly means in fixtures/weekly.csv, and the published statistics that tests below ask for.
 ROWS = list(csv.DictReader((Path(__file__).parent / "fixtures/weekly.csv").open()))
 FEAR = np.array([float(r["fear"]) for r in ROWS])
 JOY = np.array([float(r["joy"]) for r in ROWS])
@@ -43,6 +44,45 @@ def test_unrolled_ar1_equals_the_kernel(weekly):
         assert math.isclose(got[name]["slope"], b[1], rel_tol=1e-8) and math.isclose(got[name]["rho"], rho, rel_tol=1e-8)
 
 
+def test_hac_in_sums_equals_the_kernel(weekly):
+    got = {r["series"]: r["p"] for r in I.hac_trend(weekly).collect()}
+    assert all(math.isclose(got[n], stats.hac_p(y), rel_tol=1e-6) for n, y in (("joy", JOY), ("fear", FEAR)))
+    t = {r["series"]: r for r in I.trend_table(weekly).collect()}
+    p, rho = ({r["series"]: r["p"] for r in f(weekly).collect()} for f in (I.ar1_unrolled, I.spearman_trend))
+    assert all(math.isclose(p[n], t[n]["p_ar1"], rel_tol=1e-6) and math.isclose(rho[n], t[n]["p_naive"], rel_tol=1e-6) for n in ("joy", "fear"))
+
+
+def test_lowess_equals_weighted_lines():
+    """Local lines by least squares with weights, and bisquare weights of the residuals, in plain loops."""
+    rng = np.random.default_rng(2)
+    y = np.sin(np.arange(40) / 6) + rng.normal(0, 0.3, 40)
+    y[11] = 9
+    k, trust = int(0.2 * 40), np.ones(40)
+    for turn in range(4):
+        fit = []
+        for i in range(40):
+            near = sorted(range(40), key=lambda j: (abs(j - i), j))[:k]
+            h = max(abs(j - i) for j in near)
+            w = np.array([(1 if abs(j - i) <= 0.001 * h else 0 if abs(j - i) >= 0.999 * h else (1 - (abs(j - i) / h) ** 3) ** 3) * trust[j] for j in near])
+            X = np.column_stack([np.ones(k), np.array(near) - i])
+            fit.append(np.linalg.lstsq(X * np.sqrt(w)[:, None], y[near] * np.sqrt(w), rcond=None)[0][0])
+        fit = np.array(fit)
+        r = np.abs(y - fit)
+        s = 6 * np.median(r)
+        trust = np.where(r <= 0.001 * s, 1, np.where(r >= 0.999 * s, 0, (1 - (r / s) ** 2) ** 2))
+    assert np.allclose(stats.lowess(y), fit, atol=1e-8)
+
+
+def test_breaks_equal_the_search_of_all_splits():
+    rng = np.random.default_rng(6)
+    for _ in range(5):
+        y = np.concatenate([rng.normal(0, 0.1, 20), rng.normal(3, 0.1, 25), np.arange(15) / 4])
+        z = (y - y.mean()) / y.std(ddof=1)
+        rest = lambda a, b: float(np.polyfit(np.arange(b - a), z[a:b], 1, full=True)[1].sum()) if b - a > 2 else 0.0
+        best = min((k for k in range(5, 60, 5) if k >= 2 and 60 - k >= 2), key=lambda k: rest(0, k) + rest(k, 60))
+        assert stats.binseg(y, 1) == [best]
+
+
 def test_shapes_match_published_values(weekly):
     got = {r["series"]: r for r in I.trajectory_shapes(weekly).collect()}
     assert math.isclose(got["joy"]["f_nonlinear"], 0.9383414532269964, rel_tol=1e-8) and math.isclose(got["joy"]["p_nonlinear"], 0.3941517449702145, rel_tol=1e-8)
@@ -94,7 +134,7 @@ def test_breaks_rank_sum_placebo():
     assert set(stats.binseg(y, 2)) == {40, 80}
     u, p = stats.mann_whitney(np.array([1.0, 2, 3]), np.array([4.0, 5, 6]))
     assert u == 0 and 0.05 < p < 0.1
-    assert stats.placebo_share(50) == pytest.approx(stats.placebo_share(50))
+    assert stats.placebo_share(2000) == 0.338  # the published share
 
 
 def test_cumulative_share(spark):
@@ -121,6 +161,31 @@ def test_sources_and_sinks(spark, tmp_path):
     assert '"u1"' in sinks.json_report(got)
 
 
+def test_growing_tables_and_reports(spark, tmp_path):
+    path, rows = str(tmp_path / "cache"), [("u1", "a"), ("u2", "b"), ("u2", "b")]
+    df = lambda x: spark.createDataFrame(x, "url string, html string")
+    assert sinks.append_pages(df(rows[:1]), path) == 1 and sinks.append_pages(df(rows), path) == 1 and sinks.append_pages(df(rows), path) == 0
+    got = spark.read.parquet(path)
+    assert sorted((r["url"], r["html"]) for r in got.collect()) == [("u1", "a"), ("u2", "b")] and "key" in got.columns
+    assert sinks.append_pages(df([]), str(tmp_path / "none")) == 0 and spark.read.parquet(str(tmp_path / "none")).count() == 0
+    shown = sinks.printed(spark.createDataFrame([("שם", 1.23456, None), ("b", 2.0, 3)], "name string, x double, n int"))
+    assert shown.split("\n") == ["name     x n", "  שם 1.235  ", "   b 2.000 3"]
+    with pytest.raises(ValueError):
+        sinks.json_report(spark.range(sinks.REPORT_ROWS + 1))
+
+
+def test_drivers_of_an_event(spark):
+    """Shares of two songs before and after: each song's move, and the share of the whole that the top one has."""
+    week = lambda k: f"2024-01-{4 + 7 * k:02d}"
+    charts = spark.createDataFrame([(week(k), u, s) for k in range(2) for u, s in ((("a", 3), ("b", 1)) if k == 0 else (("a", 1), ("b", 3)))], "week_date string, uri string, streams long").withColumn("week_date", F.col("week_date").cast("date"))
+    values = spark.createDataFrame([("a", "joy", 1.0), ("b", "joy", 0.2)], "uri string, series string, value double")
+    series = spark.createDataFrame([("joy", k, week(k), 0.0) for k in range(2)], "series string, t int, week_date string, value double").withColumn("week_date", F.col("week_date").cast("date"))
+    hits = S.first_weeks(series, spark.createDataFrame([("e", "2024-01-05"), ("late", "2025-01-01")], "code string, date string").withColumn("date", F.col("date").cast("date")))
+    assert [tuple(r) for r in hits.collect()] == [("joy", "e", 1)]
+    got = S.event_drivers(charts, values, S.weeks_around(series, hits, k=1), k=1).collect()
+    assert [(r["uri"], r["place"], round(r["contribution"], 9)) for r in got] == [("a", 1, -0.5), ("b", 2, 0.1)] and math.isclose(got[0]["share"], 1.25)
+
+
 def test_weekly_stream(spark, tmp_path):
     src = tmp_path / "in"
     rows = spark.createDataFrame([("2024-01-04 10:00:00", 1.0, 2.0), ("2024-01-10 10:00:00", 4.0, 1.0), ("2024-01-11 01:00:00", 5.0, 1.0)], "ts string, v double, w double").withColumn("ts", F.col("ts").cast("timestamp"))
