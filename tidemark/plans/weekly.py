@@ -258,7 +258,22 @@ def trajectory_shapes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lowess_smooth(spark: SparkSession, d: str) -> DataFrame:
-    return I.smoothed(long(spark, d))
+    return rounded(I.smoothed(long(spark, d)))
+
+
+def trajectory_extremes(spark: SparkSession, d: str) -> DataFrame:
+    """The highest and lowest weeks of the smoothed curves, and where they start and end."""
+    x = I.smoothed(long(spark, d))
+    high, low = F.max_by("week_date", F.struct("smooth", -F.unix_date("week_date"))), F.min_by("week_date", F.struct("smooth", "week_date"))
+    ends = [F.min_by("smooth", "week_date").alias("at_start"), F.max_by("smooth", "week_date").alias("at_end")]
+    return rounded(x.groupBy("series").agg(high.alias("peak_week"), F.max("smooth").alias("peak"), low.alias("trough_week"), F.min("smooth").alias("trough"), *ends))
+
+
+def z_panels(spark: SparkSession, d: str) -> DataFrame:
+    """Each series standardised, with its smoothed curve: the points and lines of a panel."""
+    w = long(spark, d)
+    z = w.withColumn("value", F.try_divide(F.col("value") - F.avg("value").over(I.by()), F.stddev_samp("value").over(I.by())))
+    return rounded(z.select("series", "week_date", F.col("value").alias("z")).join(I.smoothed(z), ["series", "week_date"]))
 
 
 def change_points(spark: SparkSession, d: str) -> DataFrame:
@@ -496,6 +511,49 @@ tp AS (SELECT 'tool' AS series, week_date, tool AS value FROM tw UNION ALL SELEC
 long AS (SELECT series, row_number() OVER (PARTITION BY series ORDER BY week_date) - 1 AS t, week_date, value FROM tp)"""
 
 
+def _lowess(robust: int = 3) -> str:
+    """Local lines over the nearest fifth with tricube weights, reweighted by bisquares of the residuals; ends in `smoothed`."""
+    out = [
+        "lm AS (SELECT *, greatest(2, floor(0.2 * count(*) OVER (PARTITION BY series) + 1e-10)) AS k FROM long)",
+        "lnb AS (SELECT a.series, a.t AS i, b.t AS j, b.value AS y, abs(b.t - a.t) AS d FROM lm a JOIN lm b USING (series) QUALIFY row_number() OVER (PARTITION BY a.series, a.t ORDER BY abs(b.t - a.t), b.t) <= a.k)",
+        "lh AS (SELECT *, max(d) OVER (PARTITION BY series, i) AS h FROM lnb)",
+        "lw AS (SELECT series, i, j, y, CASE WHEN d <= 0.001 * h THEN 1.0::DOUBLE WHEN d >= 0.999 * h THEN 0.0::DOUBLE ELSE pow(1 - pow(d / h::DOUBLE, 3), 3) END AS w FROM lh)",
+        "lt0 AS (SELECT series, t, week_date, value, 1.0::DOUBLE AS tr FROM long)",
+    ]
+    for r in range(robust + 1):
+        out += [
+            f"ls{r} AS (SELECT w.series, i, sum(w * tr) AS s, sum(w * tr * j) / sum(w * tr) AS m, sum(w * tr * y) / sum(w * tr) AS my, sum(w * tr * j * j) / sum(w * tr) AS mjj, sum(w * tr * j * y) / sum(w * tr) AS mjy FROM lw w JOIN lt{r} q ON q.series = w.series AND q.t = w.j GROUP BY 1, 2)",
+            f"lf{r} AS (SELECT q.*, CASE WHEN s > 0 THEN my + CASE WHEN mjj - m * m > 1e-12 THEN (mjy - m * my) / (mjj - m * m) ELSE 0 END * (t - m) ELSE value END AS fit FROM lt{r} q JOIN ls{r} l ON l.series = q.series AND l.i = q.t)",
+            f"lr{r} AS (SELECT *, abs(value - fit) AS r, 6 * median(abs(value - fit)) OVER (PARTITION BY series) AS sc FROM lf{r})",
+            f"lt{r + 1} AS (SELECT series, t, week_date, value, CASE WHEN NOT sc > 0 OR r <= 0.001 * sc THEN 1.0::DOUBLE WHEN r >= 0.999 * sc THEN 0.0::DOUBLE ELSE pow(1 - pow(r / sc, 2), 2) END AS tr FROM lr{r})",
+        ]
+    return ",\n".join([*out, f"smoothed AS (SELECT series, t, week_date, value, fit AS smooth FROM lf{robust})"])
+
+
+LOWESS = _lowess()
+
+
+def _binseg(breaks: int = 3) -> str:
+    """The split of the best gain in squared residuals of lines, again and again, at multiples of five."""
+    out = [
+        "bz AS (SELECT series, t, week_date, (value - avg(value) OVER p) / stddev_samp(value) OVER p AS z, count(*) OVER p AS n FROM long WINDOW p AS (PARTITION BY series))",
+        "be AS (SELECT DISTINCT series, t AS e FROM bz WHERE t % 5 = 0 UNION SELECT DISTINCT series, n FROM bz)",
+        "bc AS (SELECT x.series, x.e AS a, y.e AS b, regr_syy(z, t) - coalesce(pow(regr_sxy(z, t), 2) / nullif(regr_sxx(z, t), 0), 0) AS c FROM be x JOIN be y ON x.series = y.series AND x.e < y.e JOIN bz ON bz.series = x.series AND t >= x.e AND t < y.e GROUP BY 1, 2, 3)",
+        "b0 AS (SELECT series, list_sort([0, any_value(n)]) AS cuts FROM bz GROUP BY 1)",
+    ]
+    for k in range(breaks):
+        out += [
+            f"bs{k} AS (SELECT series, cuts, unnest(list_slice(cuts, 1, -2)) AS a, unnest(list_slice(cuts, 2, -1)) AS b FROM b{k})",
+            f"bg{k} AS (SELECT s.series, any_value(s.cuts) AS cuts, arg_max(l.b, (w.c - l.c - r.c, -l.b)) AS best FROM bs{k} s JOIN bc w ON w.series = s.series AND w.a = s.a AND w.b = s.b JOIN bc l ON l.series = s.series AND l.a = s.a AND l.b >= s.a + 2 AND l.b <= s.b - 2 JOIN bc r ON r.series = s.series AND r.a = l.b AND r.b = s.b GROUP BY 1)",
+            f"b{k + 1} AS (SELECT series, list_sort(list_append(cuts, best)) AS cuts FROM bg{k})",
+        ]
+    last = f"bl AS (SELECT series, unnest(list_slice(cuts, 2, -2)) AS t FROM b{breaks})"
+    return ",\n".join([*out, last]) + " SELECT bl.series, bl.t::INT AS t, week_date FROM bl JOIN bz ON bz.series = bl.series AND bz.t = bl.t"
+
+
+BINSEG = _binseg()
+
+
 def _rank_sum(rows: str, group: str, value: str) -> str:
     """The rank sum test over common tables `rows` that end in x (group, flag, value)."""
     z = "CASE WHEN sd > 0 THEN greatest(0.0::DOUBLE, abs(u - n1 * n0 / 2.0::DOUBLE) - 0.5) / sd ELSE 0.0::DOUBLE END"
@@ -533,6 +591,13 @@ SELECT series, n, round(slope, 8) + 0.0 AS slope, round(t_value, 8) + 0.0 AS t_v
     "chow_anywhere": ORACLES["chow_stat"].replace("SELECT series, t, n, round(((s - s1 - s2) / 2) / ((s1 + s2) / (n - 4)), 5) + 0.0 AS f FROM x WHERE", "SELECT series, round(avg((pow(1 + 2 * greatest(((s - s1 - s2) / 2) / ((s1 + s2) / (n - 4)), 0) / (n - 4), -(n - 4) / 2.0::DOUBLE) < 0.001)::INT), 6) + 0.0 AS share FROM x WHERE") + " GROUP BY 1",
     "trend_table": f"WITH {TWO_CORPORA}, {TRENDS} SELECT split_part(series, ':', 1) AS corpus, split_part(series, ':', 2) AS series, {R('mean', 'spearman', 'p_naive', 'p_hac', 'p_ar1', 'slope_per_year', 'rho_ar1', 'acf1')}, round(first_mean, 6) + 0.0 AS \"first\", round(last_mean, 6) + 0.0 AS \"last\" FROM trends",
     "theme_trends": f"WITH {THEME_LONG}, {TRENDS} SELECT series AS theme, {R('mean AS mean_share', 'first_mean AS first_6mo', 'last_mean AS last_6mo', 'slope_per_year AS change_per_year', 'p_ar1', 'spearman AS rho')} FROM trends",
+    "lowess_smooth": f"WITH {LONG_SQL}, {LOWESS} SELECT series, week_date, {R('smooth')} FROM smoothed",
+    "trajectory_extremes": f"""WITH {LONG_SQL}, {LOWESS} SELECT series, arg_max(week_date, (smooth, -t)) AS peak_week, arg_min(week_date, (smooth, t)) AS trough_week,
+{R('max(smooth) AS peak', 'min(smooth) AS trough', 'arg_min(smooth, t) AS at_start', 'arg_max(smooth, t) AS at_end')} FROM smoothed GROUP BY 1""",
+    "z_panels": f"""WITH {LONG_SQL.replace("long AS (", "base AS (")},
+long AS (SELECT series, t, week_date, (value - avg(value) OVER (PARTITION BY series)) / stddev_samp(value) OVER (PARTITION BY series) AS value FROM base),
+{LOWESS} SELECT series, week_date, {R('value AS z', 'smooth')} FROM smoothed""",
+    "change_points": f"""WITH {LONG_SQL}, {BINSEG}""",
     "theme_validity": _rank_sum(f"{CHARTS_SQL}, {THEMES_SQL}, x AS (SELECT 'tool' AS theme, tool AS flag, fear AS value FROM themes JOIN scores USING (uri) UNION ALL SELECT 'look', look, fear FROM themes JOIN scores USING (uri))", "theme", "value"),
     "mann_whitney_test": _rank_sum("x AS (SELECT p_brand, (p_type LIKE '%ECONOMY%')::INT AS flag, p_size::DOUBLE AS value FROM part)", "p_brand", "value"),
     "event_summary": f"""WITH {LONG_SQL}, {EVENTS_SQL},
@@ -565,6 +630,6 @@ QUERIES = {f.__name__: f for f in (
     weekly_weighted_mean, weekly_coverage, weekly_topk, song_universe, song_totals, dedup_scores_join, full_outer_scores, version_comparison, anti_join_impact, semi_join_share, status_share,
     value_counts, saturation, first_last_means, monthly_mean, half_year_means, december_effect, cumulative_share, fiftieth_share, asof_events, event_windows, event_drivers,
     early_late_decomposition, top5_concentration, leave_top_out_peak, rolling3_z, rolling8_min4, pearson, spearman_trend, acf_two_ways, ols_trend, chow_stat,
-    chow_anywhere, ar1_trend_unrolled, hac_trend, trend_table, theme_trends, theme_validity, trajectory_shapes, lowess_smooth, change_points, placebo, mann_whitney_u, mann_whitney_test, numbers_report,
+    chow_anywhere, ar1_trend_unrolled, hac_trend, trend_table, theme_trends, theme_validity, trajectory_shapes, trajectory_extremes, lowess_smooth, z_panels, change_points, placebo, mann_whitney_u, mann_whitney_test, numbers_report,
     monthly_z, event_summary, hourly_users, weekly_stream_batch,
 )}
