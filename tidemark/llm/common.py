@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: UTF-8 bytes that a NumPy kernel handles at a time (a longer text is a slice of its own).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +48,23 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SMALL else df
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run` over batches, after which the memory that it has freed goes back to the system: Python workers are used again
+    by later tasks and stages, and would keep the largest slice that any of them held."""
+
+    @functools.wraps(run)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+            if trim:
+                trim(0)
+
+    return whole
+
+
 def free_name(columns: list[str], name: str) -> str:
     """name, with underscores until no column has it."""
     taken = {c.lower() for c in columns}
@@ -72,3 +91,22 @@ def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) ->
         j = min(j, n)
         yield batch.slice(i, j - i), raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         i = j
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[list[np.ndarray]]:
+    """The columns of batches ordered by the first column, in runs of about `least` rows or more of whole groups."""
+    held: list[list[np.ndarray]] = []
+    rows = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append([np.asarray(c) if not pa.types.is_binary(c.type) else np.array(c.to_pylist(), object) for c in batch.columns])
+        rows += batch.num_rows
+        if rows < least or held[0][0][0] == held[-1][0][-1]:
+            continue
+        cols = [np.concatenate(c) for c in zip(*held)]
+        last = int(np.flatnonzero(cols[0] != cols[0][-1])[-1]) + 1  # the last group may go on
+        yield [c[:last] for c in cols]
+        held, rows = [[c[last:] for c in cols]], len(cols[0]) - last
+    if rows:
+        yield [np.concatenate(c) for c in zip(*held)]

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_parts, table, written
+from .common import shuffle_parts, table, tidy, written
 from .components import components
 
 BITS = 63
@@ -50,6 +50,7 @@ def _orders(nodes: DataFrame, numbers: range, block: int, seed: int) -> DataFram
     one task to turn places within partitions into places of the pass."""
     parts = shuffle_parts(nodes.sparkSession)
 
+    @tidy
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[tuple[int, int], np.ndarray] = {}
         for b in batches:
@@ -65,6 +66,7 @@ def _orders(nodes: DataFrame, numbers: range, block: int, seed: int) -> DataFram
                     key[at] = up.astype(np.int64) @ (np.int64(1) << np.arange(BITS - 1, -1, -1, dtype=np.int64))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(b.num_rows, number, np.int32)), pa.array(key)], names=["node", "number", "key"])
 
+    @tidy
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, done = TaskContext.get().partitionId(), {}
         for b in batches:
@@ -74,16 +76,22 @@ def _orders(nodes: DataFrame, numbers: range, block: int, seed: int) -> DataFram
                 at = np.flatnonzero(number == k)
                 idx[at] = done.get(k, 0) + np.arange(len(at))
                 done[k] = done.get(k, 0) + len(at)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.full(b.num_rows, part, np.int32)), pa.array(idx)], names=["node", "number", "part", "idx"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array(np.full(b.num_rows, part, np.int32)), pa.array(idx)], names=["node", "number", "part", "idx"],
+            )
 
     keys = written(nodes.select("node", "embedding").mapInArrow(sign, "node long, number int, key long"), "pass-keys")
     order = ["number", "key", "node"]
-    placed = written(keys.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(place, "node long, number int, part int, idx long"), "pass-order")
+    placed = written(
+        keys.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(place, "node long, number int, part int, idx long"), "pass-order",
+    )
     counts = placed.groupBy("number", "part").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("number").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     first = counts.select("number", "part", F.coalesce(before, F.lit(0)).alias("first"))
     # TOGETHER rows a partition at most, so of a known small size
-    return placed.join(F.broadcast(first), ["number", "part"]).select("node", "number", F.floor((F.col("first") + F.col("idx")) / block).cast("long").alias("block"))
+    return placed.join(F.broadcast(first), ["number", "part"]).select(
+        "node", "number", F.floor((F.col("first") + F.col("idx")) / block).cast("long").alias("block"),
+    )
 
 
 class _Rows:
@@ -177,7 +185,10 @@ def _found(number: int, node: np.ndarray, links: np.ndarray, root: np.ndarray, f
     none = np.arange(n + m) < n
     cols = [np.concatenate([x, np.zeros(m, np.int64)]) for x in (node, links, root)]
     at = np.concatenate([np.zeros(n, np.int64), np.array(full, np.int64)])
-    return pa.RecordBatch.from_arrays([*(pa.array(c, mask=~none) for c in cols), pa.array(np.full(n + m, number, np.int32)), pa.array(at, mask=none)], names=["node", "links", "root", "number", "full"])
+    return pa.RecordBatch.from_arrays(
+        [*(pa.array(c, mask=~none) for c in cols), pa.array(np.full(n + m, number, np.int32)), pa.array(at, mask=none)],
+        names=["node", "links", "root", "number", "full"],
+    )
 
 
 def _windows(state: DataFrame, numbers: range, threshold: float, parts: int) -> DataFrame:
@@ -186,6 +197,7 @@ def _windows(state: DataFrame, numbers: range, threshold: float, parts: int) ->
     with half of the next."""
     done = numbers.start
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _units(batches, 2):
             number, window = t.column("number")[0].as_py(), t.column("window")[0].as_py()
@@ -220,9 +232,13 @@ def _runs(found: DataFrame) -> DataFrame:
     """(number, run, low, high) of the runs of blocks to be compared throughout: full blocks at most two apart, and the two
     behind the last. There is at most one for three blocks."""
     order = Window.partitionBy("number").orderBy("full")
-    marked = found.where("full IS NOT NULL").select("number", "full").distinct().withColumn("new", F.coalesce(F.col("full") - F.lag("full").over(order) > 2, F.lit(True)).cast("int"))
+    marked = found.where("full IS NOT NULL").select("number", "full").distinct().withColumn(
+        "new", F.coalesce(F.col("full") - F.lag("full").over(order) > 2, F.lit(True)).cast("int"),
+    )
     islands = marked.withColumn("island", F.sum("new").over(order))
-    return islands.groupBy("number", "island").agg(F.min("full").alias("low"), (F.max("full") + 2).alias("high")).select("number", F.col("low").alias("run"), "low", "high")
+    return islands.groupBy("number", "island").agg(
+        F.min("full").alias("low"), (F.max("full") + 2).alias("high"),
+    ).select("number", F.col("low").alias("run"), "low", "high")
 
 
 def _throughout(state: DataFrame, runs: DataFrame, numbers: range, threshold: float, parts: int) -> DataFrame:
@@ -230,6 +246,7 @@ def _throughout(state: DataFrame, runs: DataFrame, numbers: range, threshold: fl
     in pairs, so all of a run goes on in one job whatever its length; runs of state include those of `numbers`."""
     last = numbers.stop
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _units(batches, 4):
             number = t.column("number")[0].as_py()
@@ -245,12 +262,18 @@ def _throughout(state: DataFrame, runs: DataFrame, numbers: range, threshold: fl
             if rows.some.any():
                 yield _found(number, *rows.result(), [])
 
-    spread = state.select("node", "copies", "embedding", "blocks", "runs", F.posexplode(F.slice("blocks", numbers.start + 1, len(numbers))).alias("pos", "at")).withColumn("number", (F.col("pos") + numbers.start).cast("int"))
-    tiles = runs.select("number", "run", F.floor((F.col("high") - F.col("low")) / WINDOW).cast("int").alias("last"), F.explode(F.sequence("low", "high")).alias("at"))
+    spread = state.select(
+        "node", "copies", "embedding", "blocks", "runs", F.posexplode(F.slice("blocks", numbers.start + 1, len(numbers))).alias("pos", "at"),
+    ).withColumn("number", (F.col("pos") + numbers.start).cast("int"))
+    tiles = runs.select(
+        "number", "run", F.floor((F.col("high") - F.col("low")) / WINDOW).cast("int").alias("last"), F.explode(F.sequence("low", "high")).alias("at"),
+    )
     members = spread.join(tiles, ["number", "at"]).withColumn("tile", F.floor((F.col("at") - F.col("run")) / WINDOW).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("last"))).alias("other")
     sent = members.select("number", "run", "tile", other, "node", "copies", "embedding", "blocks", "runs")
-    sent = sent.select("number", "run", F.least("tile", "other").alias("ta"), F.greatest("tile", "other").alias("tb"), "node", "copies", "embedding", "blocks", "runs")
+    sent = sent.select(
+        "number", "run", F.least("tile", "other").alias("ta"), F.greatest("tile", "other").alias("tb"), "node", "copies", "embedding", "blocks", "runs",
+    )
     return sent.repartition(parts, "number", "run", "ta", "tb").sortWithinPartitions("number", "run", "ta", "tb", "node").mapInArrow(run, _FOUND)
 
 
@@ -274,6 +297,7 @@ class _Probes:
         vectors = _unit(_matrix(got.column(2).combine_chunks()))
         shared = spark.sparkContext.broadcast((ids, vectors))
 
+        @tidy
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, vectors = shared.value
             dims = np.array([len(v) for v in vectors])
@@ -330,8 +354,12 @@ def near_duplicates(
     kind = vectors.select(F.col(embedding)).schema[0].dataType.simpleString()
     kind = kind if kind in ("array<float>", "array<double>") else "array<double>"
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast(kind).alias("embedding"))
-    fit = F.coalesce(F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0), F.lit(False)) & F.col("vec_id").isNotNull()
-    rows = rows.withColumn("fit", fit).withColumn("k1", F.when(F.col("fit"), F.xxhash64("embedding", F.lit(1)))).withColumn("k2", F.when(F.col("fit"), F.xxhash64("embedding", F.lit(2))))
+    fit = F.coalesce(
+        F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0), F.lit(False),
+    ) & F.col("vec_id").isNotNull()
+    rows = rows.withColumn("fit", fit).withColumn(
+        "k1", F.when(F.col("fit"), F.xxhash64("embedding", F.lit(1))),
+    ).withColumn("k2", F.when(F.col("fit"), F.xxhash64("embedding", F.lit(2))))
     rows = written(rows, "vectors")
     nodes = rows.where("fit").groupBy("k1", "k2").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
     # ids of their own: vec_ids may repeat; written once, so they stay as they are
@@ -355,7 +383,9 @@ def near_duplicates(
         if runs.isEmpty():
             state = state.withColumn("runs", F.concat("runs", alone))
         else:
-            inside = state.select("node", F.posexplode(F.slice("blocks", done + 1, len(numbers))).alias("pos", "at")).select("node", (F.col("pos") + done).cast("int").alias("number"), "at")
+            inside = state.select(
+                "node", F.posexplode(F.slice("blocks", done + 1, len(numbers))).alias("pos", "at"),
+            ).select("node", (F.col("pos") + done).cast("int").alias("number"), "at")
             inside = inside.join(runs.select("number", "run", F.explode(F.sequence("low", "high")).alias("at")), ["number", "at"], "left")
             inside = inside.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("number", F.coalesce("run", -1 - F.col("at")).alias("run")))), lambda x: x["run"]).alias("now"))
             state = written(state.join(inside, "node").select("node", "copies", "embedding", "blocks", F.concat("runs", "now").alias("runs")), "passes")
@@ -376,7 +406,10 @@ def near_duplicates(
     known = known.join(names, "component").select("k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     joined = rows.select("vec_id", "k1", "k2").join(known, ["k1", "k2"], "left")
     component = F.coalesce("component_id", "vec_id")
-    return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    return joined.select(
+        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
+        F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"),
+    )
 
 
 def _united(found: list[DataFrame]) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, table, text_slices, written
+from .common import free_name, table, text_slices, tidy, written
 
 UNIT = 64  # samples of a row of blocks; payloads are padded to a multiple
 ROWS = 16  # rows of blocks in a frame
@@ -363,6 +363,7 @@ def to_media(docs: DataFrame, text: str = "text", media: str = "media") -> DataF
     schema = docs.select(*keep).schema.add(media, "binary")
     body = free_name(docs.columns, "_t")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, raw, off in text_slices(batch, body, SLICE):
@@ -381,7 +382,9 @@ def to_media(docs: DataFrame, text: str = "text", media: str = "media") -> DataF
                 for n, p, k in zip(size, payload, frames):
                     files.append(write_avi(jpeg[at : at + k], n, p))
                     at += k
-                yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index(c)) for c in keep] + [pa.array(files, pa.binary())], names=keep + [media])
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column(rows.schema.get_field_index(c)) for c in keep] + [pa.array(files, pa.binary())], names=keep + [media],
+                )
 
     return docs.select(*keep, F.col(text).alias(body)).mapInArrow(run, schema)
 
@@ -444,6 +447,7 @@ def clips(media: DataFrame, key: str = "doc_id", column: str = "media") -> DataF
     """
     schema = media.select(key).schema.add("clips", _CLIPS).add("error", "string")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, files in _files(batch, column):
@@ -452,7 +456,9 @@ def clips(media: DataFrame, key: str = "doc_id", column: str = "media") -> DataF
                     d = decode_avi(f)
                     shots.append([None] if d.error else _shots(d))
                     errors.append(d.error)
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(shots, pa.list_(_CLIP)), pa.array(errors, pa.string())], names=[key, "clips", "error"])
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column(0), pa.array(shots, pa.list_(_CLIP)), pa.array(errors, pa.string())], names=[key, "clips", "error"],
+                )
 
     found = media.where(F.col(column).isNotNull()).select(key, column).mapInArrow(run, schema)
     return found.select(key, F.explode("clips").alias("_c"), "error").select(key, "_c.*", "error")
@@ -463,7 +469,10 @@ def features(media: DataFrame, key: str = "doc_id", column: str = "media") -> Da
     (unsigned, last 64 bytes) of the samples read back, media_bytes and media_sha256 of the file, a feature text and the
     array of its clips. Files that cannot be read, were not written so, or are null have nulls and their error as the feature."""
     schema = media.select(key).schema
-    for name, kind in (("n_bytes", "long"), ("payload_bytes", "long"), ("payload_sha256", "string"), ("tail_crc32", "long"), ("media_bytes", "long"), ("media_sha256", "string"), ("feature", "string"), ("clips", _CLIPS)):
+    for name, kind in (
+        ("n_bytes", "long"), ("payload_bytes", "long"), ("payload_sha256", "string"), ("tail_crc32", "long"), ("media_bytes", "long"),
+        ("media_sha256", "string"), ("feature", "string"), ("clips", _CLIPS),
+    ):
         schema = schema.add(name, kind)
     types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(_CLIP)]
 
@@ -475,6 +484,7 @@ def features(media: DataFrame, key: str = "doc_id", column: str = "media") -> Da
         said = f"frames={len(d.bins)} shots={len(shots)} mean={np.frombuffer(d.samples, np.uint8).mean():.3f}"
         return (d.avi.n_bytes, len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-64:]), len(f), hashlib.sha256(f).hexdigest(), said, shots)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, files in _files(batch, column):

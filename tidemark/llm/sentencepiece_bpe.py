@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, text_slices
+from .common import table, text_slices, tidy
 from .segments import SegmentCache, by_document, reach
 
 _SPACE = "▁"
@@ -219,6 +219,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", de
     for name, kind in zip(outs, (T.ArrayType(T.IntegerType()), T.StringType())):
         schema = schema.add(name, kind)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(model)
         for batch in batches:
@@ -235,6 +236,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", de
 def digests(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row's encoding, without the ids themselves."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(model)
         digits = np.array([str(i) for i in range(c.sp.get_piece_size())], object)
@@ -246,9 +248,13 @@ def digests(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
                     x = got[i:j]
                     a.append(hashlib.sha256(",".join(digits[x].tolist()).encode()).hexdigest())
                     b.append(hashlib.sha256(c.sp.decode(x.tolist()).encode() if j > i else b"").hexdigest())
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column(0), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("_t")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("_t")).mapInArrow(
+        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string",
+    )
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

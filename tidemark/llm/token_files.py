@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_root, shuffle_parts, table, text_slices, written
+from .common import shared_root, shuffle_parts, table, text_slices, tidy, written
 from .segments import SegmentCache, by_document, reach
 
 #: Files of which one row each is broadcast at most (12 bytes).
@@ -137,6 +137,7 @@ def write_tokens(
     if encoding not in ("dictionary", "delta"):
         raise ValueError(f"unknown encoding {encoding!r}")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, done, enc = TaskContext.get().partitionId(), 0, encoder(vocabulary)
         for batch in batches:
@@ -195,12 +196,15 @@ def op10_token_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_root(spark)}/tokens-{uuid.uuid4().hex}"
     write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lists = b.column(3)
             off = np.asarray(lists.offsets)
             flat = np.ascontiguousarray(np.asarray(lists.values), "<u4")
             crc = [zlib.crc32(flat[i:j]) for i, j in zip(off[:-1], off[1:])]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2).cast(pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), b.column(2).cast(pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"],
+            )
 
     return read_tokens(spark, path).select("doc_id", "start", "n_tokens", "tokens").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

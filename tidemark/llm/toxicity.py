@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_slices, written
+from .common import table, text_slices, tidy, written
 
 # Groups of identity terms whose members are swapped for each other.
 IDENTITY_GROUPS = (
@@ -89,10 +89,16 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _counted(by: tuple[Counter, Counter]) -> pa.RecordBatch:
     names = list(by[0] | by[1])
-    return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([by[0][f] for f in names], pa.int64()), pa.array([by[1][f] for f in names], pa.int64())], names=["feature", "clean", "toxic"])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(names, pa.string()), pa.array([by[0][f] for f in names], pa.int64()), pa.array([by[1][f] for f in names], pa.int64())],
+        names=["feature", "clean", "toxic"],
+    )
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", rows: int = SAMPLE_ROWS, penalty: float = 1.0, ridge: float = 1e-4, least: int = 5, most: int = MAX_FEATURES) -> Classifier:
+def fit(
+    docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", rows: int = SAMPLE_ROWS, penalty: float = 1.0, ridge: float = 1e-4,
+    least: int = 5, most: int = MAX_FEATURES,
+) -> Classifier:
     """Logistic regression on words and word beginnings, with a penalty on counterfactual score changes.
 
     labels: doc_id, toxic (0/1). Feature counts are made by tasks over the sample's whole texts and summed; features
@@ -115,6 +121,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     names += sorted({"=" + t for t in _NEXT} - set(names))
     place = {f: i for i, f in enumerate(names)}
 
+    @tidy
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads = {f[1:4] for f in place}
 
@@ -180,12 +187,16 @@ def score(docs: DataFrame, model: Classifier, threshold: float = THRESHOLD, text
     keep = [c for c in docs.columns if c not in out]
     schema = docs.select(*keep).schema.add(out[0], "double").add(out[1], "integer")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, raw, off in text_slices(batch, text):
                 blob = raw.tobytes()
                 s = np.array([model.score(blob[i:j].decode()) for i, j in zip(off[:-1].tolist(), off[1:].tolist())], float)
-                yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index(c)) for c in keep] + [pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=keep + list(out))
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column(rows.schema.get_field_index(c)) for c in keep] + [pa.array(s), pa.array((s >= threshold).astype(np.int32))],
+                    names=keep + list(out),
+                )
 
     return docs.select(*keep).mapInArrow(run, schema)
 
