@@ -10,12 +10,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shuffle_parts, table, text_slices, written
+from .common import shuffle_parts, small, table, text_slices, tidy, whole_groups, written
 from .components import components
 
 SEGMENT = 32
 #: Members of a group that are compared with each other as one block; larger groups are split by the other bits first.
 BLOCK = 2048
+#: Fingerprints that share a 32-bit segment from which its signatures are dealt to many tasks.
+HOT = 100_000
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -75,6 +77,7 @@ def _majority(h: np.ndarray, at: np.ndarray) -> np.ndarray:
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
     """doc_id and the 64-bit SimHash (long) of each whole text: XXH64 with seed 42 of every shingle, repeats included."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh64_intdigest
         for batch in batches:
@@ -112,31 +115,53 @@ def _labels(x: np.ndarray, apart: np.ndarray | None, limit: int) -> np.ndarray:
         lab = new
 
 
+def _forest(x: np.ndarray, apart: np.ndarray | None, limit: int, free: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links that join x, alike but in its `free` bits, as all its pairs within `limit` bits would. More than BLOCK members
+    are parted again and again: of limit + 1 parts of the free bits one is alike in any such pair."""
+    if len(x) < 2 or (apart is not None and (apart[0] == apart).all()):
+        return
+    if len(x) <= BLOCK or len(free) <= limit + 1:
+        lab = _labels(x, apart, limit)
+        own = lab != np.arange(len(x))
+        yield x[own], x[lab[own]]
+        return
+    for part in np.array_split(np.array(free), limit + 1):
+        value = sum(((x >> np.uint64(b)) & np.uint64(1)) << np.uint64(k) for k, b in enumerate(part))
+        order = np.argsort(value, kind="stable")
+        rest = [b for b in free if b not in set(part.tolist())]
+        for members in np.split(order, np.flatnonzero(np.diff(value[order].view(np.int64))) + 1):
+            yield from _forest(x[members], None if apart is None else apart[members], limit, rest)
+
+
 def _group_edges(x: np.ndarray, key: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
     """Links that join the members of one signature as all their pairs within `limit` bits would."""
-    bit, segment = (key >> 32) & 0xFF, key >> 40
+    bit, segment = (key >> 32) & 0xFF, (key >> 40) & 1
     apart = (x >> np.uint64(32 * segment + bit - 1)) & np.uint64(1) if bit else None
-    if apart is not None and (apart[0] == apart).all():
-        return x[:0], x[:0]
-    if len(x) <= BLOCK:
-        lab = _labels(x, apart, limit)
-        own = lab != np.arange(len(x))
-        return x[own], x[lab[own]]
-    # at most `limit` bits differ in all: one of limit + 1 parts of the other segment is equal
-    other = (x >> np.uint64(32 * (1 - segment))) & np.uint64(0xFFFFFFFF)
-    cut = np.linspace(0, 32, limit + 2).astype(int)
-    a, b = [], []
-    for lo, hi in zip(cut[:-1], cut[1:]):
-        part = (other >> np.uint64(lo)) & np.uint64((1 << int(hi - lo)) - 1)
-        order = np.argsort(part, kind="stable")
-        for members in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
-            if len(members) > 1:
-                y = x[members]
-                lab = _labels(y, None if apart is None else apart[members], limit)
-                own = lab != np.arange(len(y))
-                a.append(y[own])
-                b.append(y[lab[own]])
-    return np.concatenate(a or [x[:0]]), np.concatenate(b or [x[:0]])
+    found = list(_forest(x, apart, limit, list(range(32 * (1 - segment), 32 * (2 - segment)))))
+    return tuple(np.concatenate([f[k] for f in found] or [x[:0]]) for k in (0, 1))
+
+
+def _parted(fp: Column, key: Column) -> Column:
+    """The signature `key` once for each eighth of the fingerprint, in the other segment, with that byte beside it."""
+    segment = F.shiftrightunsigned(key, 40).bitwiseAND(F.lit(1))
+    other = F.when(segment == 1, fp.bitwiseAND(F.lit(0xFFFFFFFF))).otherwise(F.shiftrightunsigned(fp, 32))
+    parts = [F.lit(p + 1 << 49).bitwiseOR(F.shiftleft(F.shiftrightunsigned(other, 8 * p).bitwiseAND(F.lit(255)), 41)).bitwiseOR(key) for p in range(4)]
+    return F.array(*parts)
+
+
+def _signatures(fps: DataFrame) -> DataFrame:
+    """(key, fp): every signature of each fingerprint. Of a segment that more than HOT fingerprints share, signatures are
+    parted by each byte of the other segment: in a pair within 3 bits one of its four bytes is alike."""
+    keys = fps.select(F.explode(F.concat(variants(F.col("fp"), 0), variants(F.col("fp"), 1))).alias("key"), "fp")
+    low, high = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("fp", 32)
+    whole = fps.select(F.explode(F.array(F.struct(F.lit(0).alias("s"), low.alias("v")), F.struct(F.lit(1).alias("s"), high.alias("v")))).alias("x")).select("x.s", "x.v")
+    hot = written(whole.groupBy("s", "v").count().where(F.col("count") > HOT).select("s", "v"), "hot-segments")
+    if hot.isEmpty():
+        return keys
+    of = F.when(F.col("s") == 0, variants(F.col("v"), 0)).otherwise(variants(F.shiftleft("v", 32), 1))
+    # 33 signatures of each segment that more than HOT fingerprints share: 66 rows for HOT fingerprints at most
+    marked = keys.join(small(written(hot.select(F.explode(of).alias("key")).distinct().withColumn("hot", F.lit(True)), "hot-signatures")), "key", "left")
+    return marked.select(F.explode(F.when(F.col("hot"), _parted(F.col("fp"), F.col("key"))).otherwise(F.array("key"))).alias("key"), "fp")
 
 
 def near_pairs(fps: DataFrame, limit: int = 3) -> DataFrame:
@@ -144,17 +169,16 @@ def near_pairs(fps: DataFrame, limit: int = 3) -> DataFrame:
 
     Of two segments one differs by at most one bit, so two such fingerprints share a signature: the segment, or the
     segment without that bit. Members of a signature are compared in the task that holds it, and a spanning forest of
-    their verified links leaves it, never all pairs.
+    their verified links leaves it, never all pairs; a hot segment's signatures are dealt to many tasks.
     """
     if not 0 <= limit <= 3:
         raise ValueError("two segments find at most 3 bits")
-    keys = fps.select(F.explode(F.concat(variants(F.col("fp"), 0), variants(F.col("fp"), 1))).alias("key"), "fp")
-    grouped = keys.repartition(shuffle_parts(fps.sparkSession), "key").sortWithinPartitions("key")
+    keys = _signatures(fps).repartition(shuffle_parts(fps.sparkSession), "key").sortWithinPartitions("key")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_k, held_x = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-
-        def links(k: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+        for k, x in whole_groups(batches, 200_000):
+            x = x.view(np.uint64)
             start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
             size = np.diff(np.append(start, len(k)))
             two = start[size == 2]
@@ -166,20 +190,9 @@ def near_pairs(fps: DataFrame, limit: int = 3) -> DataFrame:
                 b.append(q)
             a, b = np.concatenate(a), np.concatenate(b)
             pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy().view(np.int64)), pa.array(pairs[:, 1].copy().view(np.int64))], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy().view(np.int64)), pa.array(pairs[:, 1].copy().view(np.int64))], names=["a", "b"])
 
-        for batch in batches:
-            held_k = np.concatenate([held_k, np.asarray(batch.column(0))])
-            held_x = np.concatenate([held_x, np.asarray(batch.column(1)).view(np.uint64)])
-            if len(held_k) < 200_000 or held_k[0] == held_k[-1]:
-                continue
-            last = int(np.searchsorted(held_k, held_k[-1]))  # the last group may go on
-            yield links(held_k[:last], held_x[:last])
-            held_k, held_x = held_k[last:], held_x[last:]
-        if len(held_k):
-            yield links(held_k, held_x)
-
-    return grouped.mapInArrow(run, "a long, b long")
+    return keys.mapInArrow(run, "a long, b long")
 
 
 def classes(fps: DataFrame, limit: int = 3) -> DataFrame:
