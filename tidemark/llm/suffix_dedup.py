@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shuffle_parts, table, text_slices
+from .common import shuffle_parts, table, text_slices, tidy, written
 
 #: Bytes of a q-gram: it picks the task of a string, and its buckets are the first ones.
 Q = 8
@@ -20,6 +20,7 @@ Q = 8
 REFINE_BYTES = 3 << 20
 SLICE = 4 << 20  # text bytes cut into pieces together
 LEVEL = 6  # of zstd in blobs
+SAMPLED = 16  # one row of so many is read for hot q-grams
 NO_ID = np.int64(2**63 - 1)  # stands for a null doc_id, which removes nothing
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -95,6 +96,21 @@ def pieces(raw: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarra
     return np.searchsorted(offsets, first, "right") - 1, first, n + length - 1, at[new], (c[at[new]] >> np.uint64(32)).astype(np.uint32)
 
 
+def _sided(place: np.ndarray, size: np.ndarray, mark: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces parted by whether a string has `side` bytes behind its q-gram: (piece, place, size, q-gram's offset, where the
+    side + Q bytes begin, from the part's place, that all strings of the part hold around their q-gram)."""
+    side = (length - Q) // 2
+    last = size - length  # the last string's place
+    first = np.maximum(mark - (length - Q - side), 0)  # from here on strings have the room behind
+    behind = np.flatnonzero(first <= last)
+    before = np.flatnonzero(first > 0)
+    piece = np.concatenate([behind, before])
+    shift = np.concatenate([first[behind], np.zeros(len(before), np.int64)])
+    n = np.concatenate([(size - first)[behind], np.minimum(last, first - 1)[before] + length])
+    at = mark[piece] - shift
+    return piece, place[piece] + shift, n, at, at - np.where(np.arange(len(piece)) < len(behind), 0, side)
+
+
 def _alike(raw: np.ndarray, place: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The number of a piece with the same bytes, the same for all of these."""
     n = len(raw)
@@ -239,7 +255,10 @@ def _spans(key: np.ndarray, who: np.ndarray, start: np.ndarray, end: np.ndarray)
     order = np.lexsort((start, who, key))
     key, who, start, end = key[order], who[order], start[order], end[order]
     new = np.concatenate([[True], (key[1:] != key[:-1]) | (who[1:] != who[:-1])])
-    return _pack(key[new].astype(np.int64), who[new].astype(np.int64), np.diff(np.append(np.flatnonzero(new), len(key))).astype(np.uint32), start.astype(np.uint32), (end - start).astype(np.uint32))
+    return _pack(
+        key[new].astype(np.int64), who[new].astype(np.int64), np.diff(np.append(np.flatnonzero(new), len(key))).astype(np.uint32), start.astype(np.uint32),
+        (end - start).astype(np.uint32),
+    )
 
 
 def _by_part(blob: bytes, parts: int) -> Iterator[tuple[int, bytes]]:
@@ -258,6 +277,30 @@ def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_ROW)], schema=_ROW)
 
 
+def hot_grams(rows: DataFrame, length: int, parts: int) -> np.ndarray:
+    """Hashes of q-grams, in order, that hold over a quarter of a partition's mean share of all pieces, by one row in
+    SAMPLED: at most 4 x parts. They only say how pieces are dealt out; any choice finds the same strings."""
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, raw, offsets in text_slices(batch, "_t", SLICE):
+                _, place, size, _, h = pieces(raw, offsets, length)
+                if len(h):
+                    own = _alike(raw, place, size) == np.arange(len(h))  # as pieces alike leave a slice once
+                    gram, n = np.unique(h[own], return_counts=True)
+                    cols = [np.append(gram.astype(np.int64), -1), np.append(n, n.sum())]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["gram", "n"])
+
+    counts = rows.where(F.pmod("key", F.lit(SAMPLED)) == 0).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    counts = written(counts.where(F.col("n") > 1), "gram-counts")
+    total = counts.where("gram = -1").first()
+    if total is None:
+        return np.zeros(0, np.uint32)
+    found = counts.where((F.col("gram") >= 0) & (F.col("n") > total["n"] / (4 * parts))).select("gram").toArrow().column(0).to_numpy()
+    return np.sort(found).astype(np.uint32)
+
+
 def deduplicate(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row, and with `with_text` kept (binary): each byte
     covered by a `length`-byte string (16 or more) that also starts in a document of a smaller doc_id is removed.
@@ -266,7 +309,8 @@ def deduplicate(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", text:
     do not remove each other's bytes; a null doc_id counts as larger than all others. Every row is kept; an empty
     table gives none.
 
-    Pieces of texts are dealt out by their q-grams in compressed blobs. Pieces alike within a slice of texts leave it
+    Pieces of texts are dealt out by their q-grams in compressed blobs; those of hot q-grams by what stands on one side of
+    them too, which all equal strings share. Pieces alike within a slice of texts leave it
     once, with the smallest doc_id, so a passage that a third of all rows share is one piece a slice. Buckets are
     refined within a task in blocks of REFINE_BYTES; spans and texts then meet by row.
     """
@@ -276,11 +320,13 @@ def deduplicate(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", text:
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_t"))
     rows = rows.select(F.xxhash64("id", "_t").alias("key"), "id", "_t")
 
+    hot = hot_grams(rows, length, parts)
     small = np.uint8 if 2 * length - Q < 256 else np.uint32  # holds a piece's size
 
     def ids_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         return np.asarray(batch.column(0)), np.asarray(batch.column(1).fill_null(int(NO_ID)))
 
+    @tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some, raw, offsets in text_slices(batch, "_t", SLICE):
@@ -297,16 +343,24 @@ def deduplicate(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", text:
                     p = place[gone] - offsets[doc[gone]]
                     out += [(home, 2, b) for home, b in _by_part(_spans(key[doc[gone]], ids[doc[gone]], p, p + size[gone]), parts)]
                 left = np.flatnonzero(~gone)
-                home = h[left] % np.uint32(parts)
-                left = left[np.argsort(home, kind="stable")]
-                home = np.sort(home, kind="stable")
+                doc, place, size, mark, h = doc[left], place[left], size[left], (gram - place)[left], h[left]
+                wide = np.isin(h, hot)
+                if wide.any():
+                    piece, at, n, m, begin = _sided(place[wide], size[wide], mark[wide], length)
+                    context = _context(raw, at + begin, Q + (length - Q) // 2)
+                    doc, place, size, mark = (np.concatenate([x[~wide], y]) for x, y in ((doc, doc[wide][piece]), (place, at), (size, n), (mark, m)))
+                    h = np.concatenate([h[~wide], (context >> np.uint64(32)).astype(np.uint32)])
+                home = h % np.uint32(parts)
+                left = np.argsort(home, kind="stable")
+                home = home[left]
                 heads = np.flatnonzero(np.concatenate([[True], np.diff(home) != 0]))
                 for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(left)]):
                     x = left[a:b]
                     mine, back = np.unique(doc[x], return_inverse=True)
-                    out.append((int(home[a]), 0, _pack(key[mine], ids[mine].astype(np.int64), back.astype(np.uint32), (place[x] - offsets[doc[x]]).astype(np.uint32), size[x].astype(small), (gram[x] - place[x]).astype(small), raw[_spread(place[x], size[x])])))
+                    out.append((int(home[a]), 0, _pack(key[mine], ids[mine].astype(np.int64), back.astype(np.uint32), (place[x] - offsets[doc[x]]).astype(np.uint32), size[x].astype(small), mark[x].astype(small), raw[_spread(place[x], size[x])])))
                 yield _batch(out)
 
+    @tidy
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs: list[bytes] = []
         for batch in batches:
@@ -318,6 +372,7 @@ def deduplicate(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", text:
         for blob in _repeated(blobs, length):
             yield _batch([(home, 2, b) for home, b in _by_part(blob, parts)])
 
+    @tidy
     def pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some, raw, offsets in text_slices(batch, "_t", SLICE):
@@ -333,6 +388,7 @@ def deduplicate(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", text:
 
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text
 
+    @tidy
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[list[np.ndarray]] = []
         spans = None
@@ -371,7 +427,10 @@ def deduplicate(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", text:
         kept = raw[~gone].tobytes()
         ends = np.cumsum(size - n_gone)
         texts = [kept[e - n : e] for e, n in zip(ends.tolist(), (size - n_gone).tolist())]
-        cols = [pa.array(ids, mask=here == 0), pa.array(size), pa.array(n_gone, pa.int64()), pa.array(n_run, pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts])]
+        cols = [
+            pa.array(ids, mask=here == 0), pa.array(size), pa.array(n_gone, pa.int64()), pa.array(n_run, pa.int64()),
+            pa.array([hashlib.sha256(t).hexdigest() for t in texts]),
+        ]
         return pa.RecordBatch.from_arrays(cols + [pa.array(texts, pa.binary())] * with_text, names=names)
 
     row = "part int, kind int, blob binary"
