@@ -151,7 +151,10 @@ def parse_works(html: pd.Series, prfid: pd.Series, base: pd.Series) -> pd.Series
 @F.pandas_udf(_record(found=T.BooleanType(), lyrics=T.StringType(), page_title=T.StringType(), page_artist=T.StringType()))
 def parse_lyrics(html: pd.Series) -> pd.DataFrame:
     rows = [lyrics_page(h or "") for h in html]
-    return pd.DataFrame([{"found": r is not None} | (r or {"lyrics": None, "page_title": None, "page_artist": None}) for r in rows], columns=["found", "lyrics", "page_title", "page_artist"])
+    return pd.DataFrame(
+        [{"found": r is not None} | (r or {"lyrics": None, "page_title": None, "page_artist": None}) for r in rows],
+        columns=["found", "lyrics", "page_title", "page_artist"],
+    )
 
 
 @F.pandas_udf(_record(title=T.StringType(), n_links=T.IntegerType(), n_words=T.IntegerType()))

@@ -161,7 +161,10 @@ def binseg(y: np.ndarray, breaks: int = 3, jump: int = 5, least: int = 2) -> lis
 
     cuts = [0, len(y)]
     for _ in range(breaks):
-        best = max(((cost(a, b) - cost(a, k) - cost(k, b), -k) for a, b in zip(cuts, cuts[1:]) for k in range(-(-(a + least) // jump) * jump, b - least + 1, jump)), default=None)
+        best = max(
+            ((cost(a, b) - cost(a, k) - cost(k, b), -k) for a, b in zip(cuts, cuts[1:]) for k in range(-(-(a + least) // jump) * jump, b - least + 1, jump)),
+            default=None,
+        )
         if best is None:
             break
         cuts = sorted([*cuts, -best[1]])

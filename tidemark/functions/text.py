@@ -16,7 +16,10 @@ POINTS = "[\\u0591-\\u05C7]"
 BIDI = "[\\u200E\\u200F\\u202A-\\u202E\\u2066-\\u2069]"
 QUOTES, PLAIN = "׳’`״“”", "'''\"\"\""
 # Endings that name another recording of the same words.
-VERSIONS = ("live", "לייב", "אקוסטי", "גרסה.*", "גרסת.*", "רמיקס", "remix.*", "radio edit", "acoustic.*", "bonus.*", "מתוך.*", "sped up", "slowed.*", "ביצוע.*", "קאבר", "cover")
+VERSIONS = (
+    "live", "לייב", "אקוסטי", "גרסה.*", "גרסת.*", "רמיקס", "remix.*", "radio edit", "acoustic.*", "bonus.*", "מתוך.*", "sped up", "slowed.*", "ביצוע.*", "קאבר",
+    "cover",
+)
 # Credited names that are shows or labels.
 NON_PERFORMERS = ("הכוכב הבא", "כאן - תאגיד השידור הישראלי", "Participants of Festigal", "Kids Choir")
 # What stands before an artist's name in a works page's header, and behind it in the page's title.

@@ -36,7 +36,10 @@ def grouped(series: DataFrame, schema: str, kernel) -> DataFrame:
 def safe_corr(x: str | Column, y: str | Column) -> Column:
     """corr, null where either side does not vary."""
     x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
-    return F.when((F.coalesce(F.stddev_samp(x), F.lit(0.0)) > 0) & (F.coalesce(F.stddev_samp(y), F.lit(0.0)) > 0), F.regr_sxy(x, y) / F.sqrt(F.regr_sxx(x, y) * F.regr_syy(x, y)))
+    return F.when(
+        (F.coalesce(F.stddev_samp(x), F.lit(0.0)) > 0) & (F.coalesce(F.stddev_samp(y), F.lit(0.0)) > 0),
+        F.regr_sxy(x, y) / F.sqrt(F.regr_sxx(x, y) * F.regr_syy(x, y)),
+    )
 
 
 def average_rank(value: str, within: str = "series") -> Column:
@@ -69,13 +72,18 @@ def lag_correlations(series: DataFrame) -> DataFrame:
     """Lag-1 autocorrelation twice: the correlation of neighbours, and the biased form over one mean; n_eff of the latter."""
     x = series.withColumn("before", F.lag("value").over(in_time())).withColumn("m", F.avg("value").over(by()))
     acf = F.try_divide(F.sum((F.col("value") - F.col("m")) * (F.col("before") - F.col("m"))), F.sum((F.col("value") - F.col("m")) ** 2))
-    got = x.groupBy("series").agg(F.count("value").alias("n"), safe_corr(F.when(F.col("before").isNotNull(), F.col("value")), "before").alias("pearson_lag1"), acf.alias("acf1"))
+    got = x.groupBy("series").agg(
+        F.count("value").alias("n"), safe_corr(F.when(F.col("before").isNotNull(), F.col("value")), "before").alias("pearson_lag1"), acf.alias("acf1"),
+    )
     return got.withColumn("n_eff", F.try_divide(F.col("n") * (1 - F.col("acf1")), 1 + F.col("acf1")))
 
 
 def ols_trend(series: DataFrame) -> DataFrame:
     """Slope, its t value in closed form, and p."""
-    got = series.groupBy("series").agg(F.count("value").alias("n"), F.regr_slope("value", "t").alias("slope"), F.regr_sxx("value", "t").alias("sxx"), F.regr_syy("value", "t").alias("syy"), F.regr_sxy("value", "t").alias("sxy"))
+    got = series.groupBy("series").agg(
+        F.count("value").alias("n"), F.regr_slope("value", "t").alias("slope"), F.regr_sxx("value", "t").alias("sxx"), F.regr_syy("value", "t").alias("syy"),
+        F.regr_sxy("value", "t").alias("sxy"),
+    )
     rest = F.col("syy") - F.col("sxy") ** 2 / F.col("sxx")
     got = got.select("series", "n", "slope", F.try_divide("slope", F.sqrt(F.greatest(rest, F.lit(0.0)) / (F.col("n") - 2) / F.col("sxx"))).alias("t_value"))
     return got.withColumn("p", t_p("t_value", (F.col("n") - 2).cast("double")))
@@ -87,7 +95,10 @@ def hac_trend(series: DataFrame, lags: int = 12) -> DataFrame:
     With time centred, the slope's variance is the sum over lags of weighted products of (t - mean) x residual, over sxx
     squared, so a series needs one pass for the line and one for its lagged products. Values must not be null.
     """
-    line = series.groupBy("series").agg(F.count("value").alias("n"), F.regr_slope("value", "t").alias("slope"), F.regr_intercept("value", "t").alias("start"), F.regr_sxx("value", "t").alias("sxx"), F.avg("t").alias("mt"))
+    line = series.groupBy("series").agg(
+        F.count("value").alias("n"), F.regr_slope("value", "t").alias("slope"), F.regr_intercept("value", "t").alias("start"),
+        F.regr_sxx("value", "t").alias("sxx"), F.avg("t").alias("mt"),
+    )
     x = series.join(line, "series").withColumn("s", (F.col("t") - F.col("mt")) * (F.col("value") - F.col("start") - F.col("slope") * F.col("t")))
     x = x.withColumns({f"s{k}": F.lag("s", k).over(in_time()) for k in range(1, lags + 1)})
     meat = F.sum(F.col("s") ** 2)
@@ -107,7 +118,9 @@ def chow(series: DataFrame, margin: int = 15) -> DataFrame:
 
     everything = in_time().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     x = series.withColumn("n", F.count("*").over(everything)).withColumn("s", rest(everything))
-    x = x.withColumn("s1", rest(in_time().rowsBetween(Window.unboundedPreceding, -1))).withColumn("s2", rest(in_time().rowsBetween(0, Window.unboundedFollowing)))
+    x = x.withColumn(
+        "s1", rest(in_time().rowsBetween(Window.unboundedPreceding, -1)),
+    ).withColumn("s2", rest(in_time().rowsBetween(0, Window.unboundedFollowing)))
     x = x.where((F.col("t") >= margin) & (F.col("t") < F.col("n") - margin + 1))
     return x.select("series", "t", "n", F.try_divide((F.col("s") - F.col("s1") - F.col("s2")) / 2, (F.col("s1") + F.col("s2")) / (F.col("n") - 4)).alias("f"))
 
@@ -137,7 +150,9 @@ def ar1_unrolled(series: DataFrame, rounds: int = 10) -> DataFrame:
         new = (F.sum(F.col("u") * F.col("bu")).over(by()) / (F.col("n") - 1)) / (F.sum(F.col("u") * F.col("u")).over(by()) / F.col("n"))
         x = x.withColumn("rho", F.when(F.col("stop"), F.col("rho")).otherwise(new)).withColumn("b", F.col("nb")).withColumn("a", F.col("na"))
     sums = {f: F.expr(f"{f}(wv, wt)") for f in ("regr_slope", "regr_sxx", "regr_syy", "regr_sxy")}
-    got = x.withColumn("wv", v).withColumn("wt", t).groupBy("series").agg(F.first("rho").alias("rho"), F.first("n").alias("n"), *(c.alias(f) for f, c in sums.items()))
+    got = x.withColumn("wv", v).withColumn("wt", t).groupBy("series").agg(
+        F.first("rho").alias("rho"), F.first("n").alias("n"), *(c.alias(f) for f, c in sums.items()),
+    )
     rest = F.greatest(F.col("regr_syy") - F.col("regr_sxy") ** 2 / F.col("regr_sxx"), F.lit(0.0))
     value = F.try_divide("regr_slope", F.sqrt(rest / (F.col("n") - 3) / F.col("regr_sxx")))
     return got.select("series", F.col("regr_slope").alias("slope"), "rho", value.alias("t_value"), t_p(value, (F.col("n") - 3).cast("double")).alias("p"))
@@ -151,9 +166,16 @@ def trend_table(series: DataFrame, edge: int = 26, year: int = 52) -> DataFrame:
         r, p = stats.spearman(t, y)
         b, pv, rho = stats.glsar(stats.line(len(y)), y)
         near = float(np.corrcoef(y[:-1], y[1:])[0, 1]) if y[:-1].std() > 0 and y[1:].std() > 0 else None
-        return {"mean": y.mean(), "spearman": r, "p_naive": p, "p_hac": stats.hac_p(y), "p_ar1": pv[1], "slope_per_year": b[1] * year, "rho_ar1": rho, "acf1": near, "first": y[:edge].mean(), "last": y[-edge:].mean()}
+        return {
+            "mean": y.mean(), "spearman": r, "p_naive": p, "p_hac": stats.hac_p(y), "p_ar1": pv[1], "slope_per_year": b[1] * year, "rho_ar1": rho, "acf1": near,
+            "first": y[:edge].mean(), "last": y[-edge:].mean(),
+        }
 
-    return grouped(series, "mean double, spearman double, p_naive double, p_hac double, p_ar1 double, slope_per_year double, rho_ar1 double, acf1 double, first double, last double", kernel)
+    return grouped(
+        series,
+        "mean double, spearman double, p_naive double, p_hac double, p_ar1 double, slope_per_year double, rho_ar1 double, acf1 double, first double, last double",
+        kernel,
+    )
 
 
 def trajectory_shapes(series: DataFrame) -> DataFrame:
@@ -162,9 +184,14 @@ def trajectory_shapes(series: DataFrame) -> DataFrame:
     def kernel(weeks, y: np.ndarray) -> dict:
         f, p = stats.spline_f(y)
         s = stats.lowess(y)
-        return {"f_nonlinear": f, "p_nonlinear": p, "peak_week": weeks[s.argmax()], "peak": s.max(), "trough_week": weeks[s.argmin()], "trough": s.min(), "start": s[0], "end": s[-1]}
-
-    return grouped(series, "f_nonlinear double, p_nonlinear double, peak_week date, peak double, trough_week date, trough double, start double, end double", kernel)
+        return {
+            "f_nonlinear": f, "p_nonlinear": p, "peak_week": weeks[s.argmax()], "peak": s.max(), "trough_week": weeks[s.argmin()], "trough": s.min(),
+            "start": s[0], "end": s[-1],
+        }
+
+    return grouped(
+        series, "f_nonlinear double, p_nonlinear double, peak_week date, peak double, trough_week date, trough double, start double, end double", kernel,
+    )
 
 
 def smoothed(series: DataFrame) -> DataFrame:

@@ -31,7 +31,9 @@ def hits(text: Column, words: tuple[str, ...], joined: str = JOINED, letters: st
     return F.coalesce(F.regexp_count(text, F.lit(theme_regex(words, joined, letters))), F.lit(0)).cast("long")
 
 
-def code_themes(texts: DataFrame, themes: dict[str, tuple[tuple[str, ...], int]] = THEMES, text: str = "text", joined: str = JOINED, letters: str = r"\u0590-\u05FF") -> DataFrame:
+def code_themes(
+    texts: DataFrame, themes: dict[str, tuple[tuple[str, ...], int]] = THEMES, text: str = "text", joined: str = JOINED, letters: str = r"\u0590-\u05FF",
+) -> DataFrame:
     """texts with <theme>_hits and the 0/1 flag <theme> of each theme, on the text as it is; a null text has no hits."""
     out = texts.withColumns({f"{k}_hits": hits(F.col(text), w, joined, letters) for k, (w, _) in themes.items()})
     return out.withColumns({k: (F.col(f"{k}_hits") >= least).cast("int") for k, (_, least) in themes.items()})

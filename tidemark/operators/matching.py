@@ -21,7 +21,10 @@ def song_universe(charts: DataFrame, mapping: DataFrame) -> DataFrame:
     """
     order = F.struct("week_date", "rank")
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), order)).alias(c)
-    songs = charts.groupBy("uri").agg(first("track_name"), first("artist_names"), F.sum("streams").alias("total_streams"), F.min("rank").alias("peak_rank"), F.min("week_date").alias("first_week"), F.countDistinct("week_date").alias("n_weeks"))
+    songs = charts.groupBy("uri").agg(
+        first("track_name"), first("artist_names"), F.sum("streams").alias("total_streams"), F.min("rank").alias("peak_rank"),
+        F.min("week_date").alias("first_week"), F.countDistinct("week_date").alias("n_weeks"),
+    )
     songs = songs.withColumn("hebrew_title", X.has_hebrew(F.col("track_name")))
     names = songs.select("uri", "hebrew_title", F.explode(X.split_artists(F.col("artist_names"))).alias("artist"))
     ours = names.where("hebrew_title").select("artist").union(mapping.select("original_artist")).distinct()
@@ -113,11 +116,15 @@ def seeded(old: DataFrame, mapping: DataFrame, same: float = 90) -> tuple[DataFr
     credited performer whose own names score `same` or more against the page's artist learns the id in the url.
     """
     rows = old.where("lyrics IS NOT NULL AND url IS NOT NULL").withColumn("prfid", X.query_value(F.col("url"), "prfid"))
-    rows = artist_variants(rows.withColumn("_row", F.monotonically_increasing_id()), mapping, key="_row").withColumn("part", F.element_at(X.title_parts(F.col("track_name")), 1))
+    rows = artist_variants(
+        rows.withColumn("_row", F.monotonically_increasing_id()), mapping, key="_row",
+    ).withColumn("part", F.element_at(X.title_parts(F.col("track_name")), 1))
     taken = score_candidates(rows).where("decision = 'accept'")
     lyrics = taken.groupBy("url").agg(F.max_by("lyrics", "uri").alias("lyrics"))
     single = taken.select(F.explode(X.performers(X.split_artists(F.col("artist_names")))).alias("credited"), "artist", "prfid").distinct()
-    own = artist_variants(single.select("credited").distinct().withColumn("names", F.col("credited")), mapping, key="credited", names="names").select("credited", F.transform("variants", lambda v: X.clean(v, compose=False)).alias("own"))
+    own = artist_variants(
+        single.select("credited").distinct().withColumn("names", F.col("credited")), mapping, key="credited", names="names",
+    ).select("credited", F.transform("variants", lambda v: X.clean(v, compose=False)).alias("own"))
     known = single.join(own, "credited").where(S.artist_score("own", X.clean(F.coalesce("artist", F.lit("")))) >= same)
     return lyrics, known.where("prfid IS NOT NULL").select("credited", "prfid").distinct()
 
@@ -144,11 +151,15 @@ def learn_ids(hits: DataFrame, least: int = 2) -> DataFrame:
 def overridden(rows: DataFrame, overrides: DataFrame, status: Column, key: str = "uri") -> DataFrame:
     """rows with status and manual_url: a person's decision of action none or url wins over `status`; other actions and all
     but the first row of a key count for nothing."""
-    manual = overrides.where(F.col("action").isin("none", "url")).groupBy(F.col("spotify_uri").alias(key)).agg(F.first("action").alias("_action"), F.first("shironet_url").alias("manual_url"))
+    manual = overrides.where(F.col("action").isin("none", "url")).groupBy(F.col("spotify_uri").alias(key)).agg(
+        F.first("action").alias("_action"), F.first("shironet_url").alias("manual_url"),
+    )
     return rows.join(manual, key, "left").withColumn("status", F.coalesce(F.concat(F.lit("manual_"), "_action"), status)).drop("_action")
 
 
-def resolve(songs: DataFrame, candidates: DataFrame, mapping: DataFrame, known: DataFrame, overrides: DataFrame, uncached: DataFrame | None = None) -> DataFrame:
+def resolve(
+    songs: DataFrame, candidates: DataFrame, mapping: DataFrame, known: DataFrame, overrides: DataFrame, uncached: DataFrame | None = None,
+) -> DataFrame:
     """Songs with status, part count and the chosen pages, in two passes over one set of candidates.
 
     songs: uri, track_name, artist_names. candidates: uri, part_no, tier, ord, title, artist, prfid, wrkid, url,
@@ -156,7 +167,9 @@ def resolve(songs: DataFrame, candidates: DataFrame, mapping: DataFrame, known:
     action, shironet_url) of action none or url win over any match. uncached (uri): songs of which a page that was to be
     read is not in the cache; they have no pages and the status not_cached.
     """
-    parts = artist_variants(songs, mapping).withColumn("credited", X.split_artists(F.col("artist_names"))).select("uri", "variants", "credited", F.posexplode(X.title_parts(F.col("track_name"))).alias("part_no", "part"))
+    parts = artist_variants(songs, mapping).withColumn("credited", X.split_artists(F.col("artist_names"))).select(
+        "uri", "variants", "credited", F.posexplode(X.title_parts(F.col("track_name"))).alias("part_no", "part"),
+    )
     rows = prepared_parts(parts).join(prepared_pages(candidates), ["uri", "part_no"])
     hits = score_candidates(rows, known).where(F.col("title_score") >= TITLE_ACCEPT)
     learned = learn_ids(hits.select(F.explode("credited").alias("credited"), F.concat_ws("|", "uri", "part").alias("song"), "prfid"))

@@ -26,7 +26,9 @@ def language_gate(texts: DataFrame, text: str = "text", letters: str = X.HEBREW,
     return shared.where(F.col("share") >= least), shared.where(F.col("share") < least)
 
 
-def score_windows(texts: DataFrame, scorer: Scorer, names: Sequence[str], key: str = "uri", tokens: str = "tokens", size: int = 510, stride: int = 255, batch: int = 32) -> DataFrame:
+def score_windows(
+    texts: DataFrame, scorer: Scorer, names: Sequence[str], key: str = "uri", tokens: str = "tokens", size: int = 510, stride: int = 255, batch: int = 32,
+) -> DataFrame:
     """(key, window, n_tokens, names): scores of each text's windows, `batch` windows to a call of the model."""
     wins = texts.select(key, F.posexplode(X.windows(F.col(tokens), size, stride)).alias("window", "ids"))
     schema = texts.select(key).schema.add("window", "integer").add("n_tokens", "integer")

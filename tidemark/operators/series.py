@@ -13,7 +13,9 @@ from .inference import by, in_time
 SMALL = 100_000
 
 
-def weighted_means(charts: DataFrame, scores: DataFrame, values: Sequence[str], key: str = "uri", week: str = "week_date", weight: str = "streams") -> DataFrame:
+def weighted_means(
+    charts: DataFrame, scores: DataFrame, values: Sequence[str], key: str = "uri", week: str = "week_date", weight: str = "streams",
+) -> DataFrame:
     """Each week's weighted means over its scored entries, and the share of the week's weight that they hold.
 
     A week without scored entries has no row. A null score leaves the numerator but not the denominator.
@@ -45,7 +47,10 @@ def peak(series: DataFrame, width: int = 3) -> DataFrame:
 
 def edge_means(series: DataFrame, edge: int = 26) -> DataFrame:
     x = series.withColumn("n", F.count("*").over(by()))
-    return x.groupBy("series").agg(F.avg("value").alias("mean"), F.avg(F.when(F.col("t") < edge, F.col("value"))).alias("first_mean"), F.avg(F.when(F.col("t") >= F.col("n") - edge, F.col("value"))).alias("last_mean"))
+    return x.groupBy("series").agg(
+        F.avg("value").alias("mean"), F.avg(F.when(F.col("t") < edge, F.col("value"))).alias("first_mean"),
+        F.avg(F.when(F.col("t") >= F.col("n") - edge, F.col("value"))).alias("last_mean"),
+    )
 
 
 def bucket_means(series: DataFrame, edges: Sequence[str], labels: Sequence[str] | None = None) -> DataFrame:
@@ -100,7 +105,9 @@ def event_windows(series: DataFrame, events: DataFrame, k: int = 3) -> DataFrame
     hit = first_weeks(series, events).join(x.select("series", "t", "week_date", "change", "level_z", "sd"), ["series", "t"])
     null = x.where("change IS NOT NULL").select("series", F.abs("change").alias("size"))
     p = hit.select("series", "code", F.abs("change").alias("mine")).join(null, "series").groupBy("series", "code").agg(F.avg(F.when(F.col("size") >= F.col("mine"), 1.0).when(F.col("mine").isNotNull(), 0.0)).alias("p_perm"))
-    return hit.join(p, ["series", "code"], "left").select("series", "code", F.col("week_date").alias("week"), "change", F.try_divide("change", "sd").alias("change_sd"), "p_perm", "level_z")
+    return hit.join(p, ["series", "code"], "left").select(
+        "series", "code", F.col("week_date").alias("week"), "change", F.try_divide("change", "sd").alias("change_sd"), "p_perm", "level_z",
+    )
 
 
 def mean_weekly_contribution(charts: DataFrame, scores: DataFrame, value: str, weeks: Sequence[str], key: str = "uri") -> DataFrame:
@@ -113,7 +120,9 @@ def mean_weekly_contribution(charts: DataFrame, scores: DataFrame, value: str, w
 def drivers(charts: DataFrame, scores: DataFrame, value: str, before: Sequence[str], after: Sequence[str], top: int = 3, key: str = "uri") -> DataFrame:
     """The keys that moved a weighted mean most between two runs of weeks, with their share of the whole change."""
     a, b = mean_weekly_contribution(charts, scores, value, after, key), mean_weekly_contribution(charts, scores, value, before, key)
-    d = a.withColumnRenamed("contribution", "a").join(b.withColumnRenamed("contribution", "b"), key, "full_outer").select(key, (F.coalesce("a", F.lit(0.0)) - F.coalesce("b", F.lit(0.0))).alias("contribution"))
+    d = a.withColumnRenamed("contribution", "a").join(b.withColumnRenamed("contribution", "b"), key, "full_outer").select(
+        key, (F.coalesce("a", F.lit(0.0)) - F.coalesce("b", F.lit(0.0))).alias("contribution"),
+    )
     total = d.agg(F.sum("contribution").alias("total"))
     best = d.orderBy(F.abs("contribution").desc(), key).limit(top)
     return best.crossJoin(total).select(key, "contribution", F.try_divide("contribution", "total").alias("share"))  # one row on the right
@@ -132,7 +141,9 @@ def event_drivers(charts: DataFrame, scores: DataFrame, hits: DataFrame, k: int
     part = entries.withColumn("_c", share * F.col("value")).select("week_date", "series", key, "_c")
     d = inside.join(part, ["series", "week_date"]).groupBy("series", "code", key).agg((F.sum(F.col("side") * F.col("_c")) / k).alias("contribution"))
     of = Window.partitionBy("series", "code")
-    d = d.withColumn("share", F.try_divide("contribution", F.sum("contribution").over(of))).withColumn("place", F.row_number().over(of.orderBy(F.abs("contribution").desc(), key)))
+    d = d.withColumn("share", F.try_divide("contribution", F.sum("contribution").over(of))).withColumn(
+        "place", F.row_number().over(of.orderBy(F.abs("contribution").desc(), key)),
+    )
     return d.where(F.col("place") <= top).select("series", "code", "place", key, "contribution", "share")
 
 
@@ -172,16 +183,23 @@ def cumulative_share(rows: DataFrame, weight: str, key: str) -> DataFrame:
     cut = rows.repartitionByRange(n, F.col(weight).desc(), F.col(key)).withColumn("_part", F.spark_partition_id())
     parts = cut.groupBy("_part").agg(F.sum(weight).alias("_s"), F.count("*").alias("_n"))
     up = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    base = parts.select("_part", F.coalesce(F.sum("_s").over(up), F.lit(0)).alias("_s0"), F.coalesce(F.sum("_n").over(up), F.lit(0)).alias("_n0"), F.sum("_s").over(Window.partitionBy()).alias("_all"))
+    base = parts.select(
+        "_part", F.coalesce(F.sum("_s").over(up), F.lit(0)).alias("_s0"), F.coalesce(F.sum("_n").over(up), F.lit(0)).alias("_n0"),
+        F.sum("_s").over(Window.partitionBy()).alias("_all"),
+    )
     inside = Window.partitionBy("_part").orderBy(F.col(weight).desc(), key)
     x = cut.join(F.broadcast(base), "_part")
-    return x.withColumn("place", F.col("_n0") + F.row_number().over(inside)).withColumn("cum_share", (F.col("_s0") + F.sum(weight).over(inside.rowsBetween(Window.unboundedPreceding, 0))) / F.col("_all")).select(*rows.columns, "place", "cum_share")
+    return x.withColumn("place", F.col("_n0") + F.row_number().over(inside)).withColumn(
+        "cum_share", (F.col("_s0") + F.sum(weight).over(inside.rowsBetween(Window.unboundedPreceding, 0))) / F.col("_all"),
+    ).select(*rows.columns, "place", "cum_share")
 
 
 def status_shares(matches: DataFrame, charts: DataFrame, key: str = "uri") -> DataFrame:
     """Songs by status and their share of all charted weight; shares need not sum to one."""
     total = charts.agg(F.sum("streams").alias("all"))
-    return matches.groupBy("status").agg(F.count("*").alias("n"), F.sum("total_streams").alias("s")).crossJoin(total).select("status", "n", F.try_divide("s", "all").alias("stream_share"))
+    return matches.groupBy("status").agg(F.count("*").alias("n"), F.sum("total_streams").alias("s")).crossJoin(total).select(
+        "status", "n", F.try_divide("s", "all").alias("stream_share"),
+    )
 
 
 def window_scores(windows: DataFrame, values: Sequence[str], key: str = "uri", tokens: str = "n_tokens") -> DataFrame:

@@ -19,14 +19,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def charts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The TOP parts of each shipping week by quantity: week_date, uri, streams, rank."""
     l = table(spark, sf_dir, "lineitem")
-    weekly = l.groupBy(F.date_trunc("week", "l_shipdate").cast("date").alias("week_date"), F.col("l_partkey").alias("uri")).agg(F.sum("l_quantity").cast("bigint").alias("streams"))
+    weekly = l.groupBy(
+        F.date_trunc("week", "l_shipdate").cast("date").alias("week_date"), F.col("l_partkey").alias("uri"),
+    ).agg(F.sum("l_quantity").cast("bigint").alias("streams"))
     by = Window.partitionBy("week_date").orderBy(F.desc("streams"), "uri")
     return weekly.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= TOP)
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").where(F.col("p_partkey") % 3 != 0)
-    return p.select(F.col("p_partkey").alias("uri"), F.col("p_name").alias("track_name"), F.col("p_brand").alias("artist_names"), (F.col("p_size") / 50.0).alias("joy"), ((F.col("p_partkey") % 97) / 97.0).alias("fear"))
+    return p.select(
+        F.col("p_partkey").alias("uri"), F.col("p_name").alias("track_name"), F.col("p_brand").alias("artist_names"), (F.col("p_size") / 50.0).alias("joy"),
+        ((F.col("p_partkey") % 97) / 97.0).alias("fear"),
+    )
 
 
 def weekly(spark: SparkSession, sf_dir: str) -> DataFrame:

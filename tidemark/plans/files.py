@@ -18,7 +18,10 @@ def _charts_file(spark: SparkSession, d: str) -> str:
     names = table(spark, d, "part").select(F.col("p_partkey").alias("uri"), "p_name", F.col("p_brand").alias("artist_names"))
     title = F.concat(F.lit(NAME), "p_name", F.when(F.col("uri") % 4 == 0, " שיר").otherwise(""))
     rows = charts(spark, d).join(names, "uri").withColumn("track_name", title)
-    rows = rows.select("week_date", "rank", F.concat(F.lit("spotify:track:"), "uri").alias("uri"), "track_name", "artist_names", "streams", X.has_hebrew(F.col("track_name")).alias("is_hebrew"))
+    rows = rows.select(
+        "week_date", "rank", F.concat(F.lit("spotify:track:"), "uri").alias("uri"), "track_name", "artist_names", "streams",
+        X.has_hebrew(F.col("track_name")).alias("is_hebrew"),
+    )
     path = sinks.shared_folder(spark, "charts")
     sinks.write_csv(rows, path, bom=True)
     return path
@@ -47,18 +50,25 @@ def csv_optional(spark: SparkSession, d: str) -> DataFrame:
     path, absent = sinks.shared_folder(spark, "overrides"), sinks.shared_folder(spark, "absent")
     n = table(spark, d, "nation")
     action = F.when(F.col("n_nationkey") % 3 == 0, "none").otherwise("url")
-    rows = n.select(F.col("n_nationkey").cast("string").alias("spotify_uri"), F.col("n_name").alias("track_name"), F.lit(None).cast("string").alias("artist_names"), action.alias("action"))
+    rows = n.select(
+        F.col("n_nationkey").cast("string").alias("spotify_uri"), F.col("n_name").alias("track_name"), F.lit(None).cast("string").alias("artist_names"),
+        action.alias("action"),
+    )
     rows = rows.withColumns({"shironet_url": F.lit(None).cast("string"), "note": F.lit('said "no"'), "pct_streams": F.lit(0.5)})
     sinks.write_csv(rows, path)
     found = readers.first_csv(spark, [absent, path], readers.OVERRIDES).select("action", "note", "pct_streams")
-    old = readers.csv(spark, absent, readers.WEEKLY, optional=True).select(F.lit("old").alias("action"), F.lit("").alias("note"), F.col("joy").alias("pct_streams"))
+    old = readers.csv(spark, absent, readers.WEEKLY, optional=True).select(
+        F.lit("old").alias("action"), F.lit("").alias("note"), F.col("joy").alias("pct_streams"),
+    )
     return found.union(old).groupBy("action", "note").agg(F.count("*").alias("n"), F.sum("pct_streams").alias("pct"))
 
 
 def text_files(spark: SparkSession, d: str) -> DataFrame:
     """A text file for each nation, read back by its name."""
     folder = sinks.shared_folder(spark, "texts")
-    rows = table(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("name"), F.concat("n_name", F.lit("\n\nמילים\n"), "n_regionkey").alias("text"))
+    rows = table(spark, d, "nation").select(
+        F.concat(F.lit("n"), "n_nationkey").alias("name"), F.concat("n_name", F.lit("\n\nמילים\n"), "n_regionkey").alias("text"),
+    )
     sinks.write_texts(rows, folder, "name", "text")
     return readers.named_texts(spark, folder).select("name", F.md5("text").alias("md5"), F.length("text").alias("chars"))
 
@@ -76,7 +86,9 @@ def json_document(spark: SparkSession, d: str) -> DataFrame:
     """Nations by region as one JSON document, letters beyond ASCII kept."""
     path = sinks.shared_folder(spark, "document")
     n, r = table(spark, d, "nation"), table(spark, d, "region").withColumnRenamed("r_regionkey", "n_regionkey")
-    rows = n.join(r, "n_regionkey").groupBy("n_regionkey", "r_name").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.concat("n_name", F.lit(" ארץ")))).alias("nations"))
+    rows = n.join(r, "n_regionkey").groupBy("n_regionkey", "r_name").agg(
+        F.count("*").alias("n"), F.array_sort(F.collect_list(F.concat("n_name", F.lit(" ארץ")))).alias("nations"),
+    )
     sinks.write_json_document(rows, path)
     got = readers.json_document(spark, path, "n_regionkey int, r_name string, n bigint, nations array<string>")
     return got.select("n_regionkey", "r_name", "n", F.array_join("nations", ",").alias("nations"))

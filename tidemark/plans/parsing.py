@@ -26,9 +26,14 @@ def search_pages(spark: SparkSession, d: str) -> DataFrame:
     """Search pages, one a nation with its suppliers as songs: each twice, and with a play link that is no hit."""
     s = table(spark, d, "supplier")
     ids = F.concat(F.lit("prfid="), F.col("s_nationkey").cast("string"), F.lit("&wrkid="), F.col("s_suppkey").cast("string"))
-    hit = F.concat(F.lit('<a class="search_link_name_big" href="/artist?type=lyrics&lang=1&'), ids, F.lit('"><span>Song</span>\n <b>'), "s_name", F.lit("</b></a>"))
+    hit = F.concat(
+        F.lit('<a class="search_link_name_big" href="/artist?type=lyrics&lang=1&'), ids, F.lit('"><span>Song</span>\n <b>'), "s_name", F.lit("</b></a>"),
+    )
     play = F.concat(F.lit('<a class="search_link_name_big" href="/artist?type=lyrics&play=true&'), ids, F.lit('">play</a>'))
-    artist = F.concat(F.lit('<a class="search_link_name_big" href="/artist?prfid='), F.col("s_nationkey").cast("string"), F.lit('">Nation '), F.col("s_nationkey").cast("string"), F.lit("</a>"))
+    artist = F.concat(
+        F.lit('<a class="search_link_name_big" href="/artist?prfid='), F.col("s_nationkey").cast("string"), F.lit('">Nation '),
+        F.col("s_nationkey").cast("string"), F.lit("</a>"),
+    )
     row = F.concat(F.lit("<tr><td>"), play, hit, F.lit("<br>"), artist, F.lit("</td><td>"), hit, F.lit("</td></tr>"))
     pages = _ordered(s, "s_nationkey", "s_suppkey", row).select("s_nationkey", F.concat(F.lit("<html><table>"), "body", F.lit("</table></html>")).alias("html"))
     got = pages.select("s_nationkey", F.posexplode(H.parse_search("html", F.lit(SITE))).alias("pos", "hit"))
@@ -38,11 +43,15 @@ def search_pages(spark: SparkSession, d: str) -> DataFrame:
 def works_pages(spark: SparkSession, d: str) -> DataFrame:
     """Artists' song lists, one a nation, with its name in a header, links without words, and each song twice."""
     s = table(spark, d, "supplier").join(table(spark, d, "nation").withColumnRenamed("n_nationkey", "s_nationkey"), "s_nationkey")
-    link = F.concat(F.lit('<a href="artist?type=lyrics&prfid='), F.col("s_nationkey").cast("string"), F.lit("&wrkid="), F.col("s_suppkey").cast("string"), F.lit('">'))
+    link = F.concat(
+        F.lit('<a href="artist?type=lyrics&prfid='), F.col("s_nationkey").cast("string"), F.lit("&wrkid="), F.col("s_suppkey").cast("string"), F.lit('">'),
+    )
     line = F.concat(link, F.lit(" </a>"), link, "s_name", F.lit("</a>"), link, F.lit("again</a>"))
     named = _ordered(s.withColumn("page", F.concat_ws("|", F.col("s_nationkey").cast("string"), "n_name")), "page", "s_suppkey", line)
     key, name = F.split("page", r"\|")[0], F.split("page", r"\|")[1]
-    inside = F.when(key.cast("int") % 2 == 0, F.concat(F.lit('<h1 class="artist_singer_title">שירים שבוצעו ע"י '), name, F.lit("</h1>"))).otherwise(F.concat(F.lit("<title>"), name, F.lit(" - שירונט</title>")))
+    inside = F.when(
+        key.cast("int") % 2 == 0, F.concat(F.lit('<h1 class="artist_singer_title">שירים שבוצעו ע"י '), name, F.lit("</h1>")),
+    ).otherwise(F.concat(F.lit("<title>"), name, F.lit(" - שירונט</title>")))
     pages = named.select(key.alias("prfid"), F.concat(F.lit("<html>"), inside, "body", F.lit("</html>")).alias("html"))
     got = pages.select(F.posexplode(H.parse_works("html", "prfid", F.lit(SITE + "/x/y"))).alias("pos", "hit"))
     return got.select("pos", "hit.title", "hit.artist", "hit.prfid", "hit.wrkid", "hit.url")
@@ -55,7 +64,9 @@ def lyrics_pages(spark: SparkSession, d: str) -> DataFrame:
     pages = _ordered(c, "conv_id", "turn", F.concat(safe, F.lit("<br><br/><br>")))
     body = F.replace(F.col("body"), F.lit("\n"), F.lit("<br>"))
     span = F.when(F.col("conv_id") % 5 == 0, F.lit("<p>none</p>")).otherwise(F.concat(F.lit('<div><span class="x artist_lyrics_text">'), body, F.lit("</span></div>")))
-    html = F.concat(F.lit('<h1 class="artist_song_name_txt">Talk <i>'), F.col("conv_id").cast("string"), F.lit('</i></h1><a class="artist_singer_title">Two</a>'), span)
+    html = F.concat(
+        F.lit('<h1 class="artist_song_name_txt">Talk <i>'), F.col("conv_id").cast("string"), F.lit('</i></h1><a class="artist_singer_title">Two</a>'), span,
+    )
     got = pages.select("conv_id", H.parse_lyrics(html).alias("p"))
     return got.select("conv_id", "p.found", "p.page_title", "p.page_artist", F.md5("p.lyrics").alias("md5"))
 
@@ -75,13 +86,17 @@ def page_links(spark: SparkSession, d: str) -> DataFrame:
     kind = F.col("p_partkey") % 5
     ref = F.when(kind == 0, F.concat(F.lit("../up/./"), key)).when(kind == 1, F.concat(F.lit("?q="), key)).when(kind == 2, F.concat(F.lit("//cdn.example.org/"), key)).when(kind == 3, F.concat(F.lit("/top/../"), key)).otherwise(F.concat(F.lit("#"), key))
     query = F.concat("p_name", F.lit(" & א/"), "p_type")
-    return p.select("p_partkey", X.search_url(SITE, query).alias("search"), X.works_url(SITE, key).alias("works"), X.absolute(ref, SITE + "/a/b/c?d=e#f").alias("link"))
+    return p.select(
+        "p_partkey", X.search_url(SITE, query).alias("search"), X.works_url(SITE, key).alias("works"), X.absolute(ref, SITE + "/a/b/c?d=e#f").alias("link"),
+    )
 
 
 def page_headers(spark: SparkSession, d: str) -> DataFrame:
     """Artists' names out of the headers of their pages."""
     n = table(spark, d, "nation")
-    header = F.when(F.col("n_nationkey") % 3 == 0, F.concat(F.lit('שירים שבוצעו ע"י  '), "n_name")).when(F.col("n_nationkey") % 3 == 1, F.concat("n_name", F.lit(" -  שירונט "))).otherwise(F.col("n_name"))
+    header = F.when(
+        F.col("n_nationkey") % 3 == 0, F.concat(F.lit('שירים שבוצעו ע"י  '), "n_name"),
+    ).when(F.col("n_nationkey") % 3 == 1, F.concat("n_name", F.lit(" -  שירונט "))).otherwise(F.col("n_name"))
     return n.select("n_nationkey", X.without_header(header).alias("name"))
 
 
@@ -90,7 +105,10 @@ def song_names(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part")
     title = F.concat("p_name", F.when(F.col("p_partkey") % 3 == 0, " שיר").otherwise(""))
     names = X.split_artists(F.concat("p_brand", F.lit(", Kids Choir,"), "p_type", F.lit(" ,הכוכב הבא")))
-    return p.select(X.last_segment(F.concat(F.lit("spotify:track:"), F.col("p_partkey").cast("string"))).alias("id"), X.has_hebrew(title).alias("hebrew"), F.array_join(X.performers(names), "|").alias("performers"))
+    return p.select(
+        X.last_segment(F.concat(F.lit("spotify:track:"), F.col("p_partkey").cast("string"))).alias("id"), X.has_hebrew(title).alias("hebrew"),
+        F.array_join(X.performers(names), "|").alias("performers"),
+    )
 
 
 def lyrics_cleaned(spark: SparkSession, d: str) -> DataFrame:
@@ -111,9 +129,14 @@ def candidate_tiers(spark: SparkSession, d: str) -> DataFrame:
     """Candidates of parts as songs in the order in which they are tried: lists of known ids, then searches."""
     p, s = table(spark, d, "part"), table(spark, d, "supplier")
     brand = F.concat(F.lit("Brand#"), (F.col("s_suppkey") % 25 + 1).cast("string"))
-    parts = p.select(F.col("p_partkey").alias("uri"), F.lit(0).alias("part_no"), F.col("p_name").alias("part"), F.array("p_brand", F.concat("p_brand", F.lit("ש"))).alias("variants"), F.array("p_brand").alias("credited"))
+    parts = p.select(
+        F.col("p_partkey").alias("uri"), F.lit(0).alias("part_no"), F.col("p_name").alias("part"),
+        F.array("p_brand", F.concat("p_brand", F.lit("ש"))).alias("variants"), F.array("p_brand").alias("credited"),
+    )
     known = s.where("s_suppkey % 10 < 3").select(brand.alias("credited"), F.col("s_suppkey").cast("string").alias("prfid"))
-    works = s.select(F.col("s_suppkey").cast("string").alias("prfid"), F.explode(F.array(F.lit(0), F.lit(1))).alias("ord"), "s_name").select("prfid", "ord", F.concat("s_name", F.lit("/"), F.col("ord").cast("string")).alias("title"))
+    works = s.select(
+        F.col("s_suppkey").cast("string").alias("prfid"), F.explode(F.array(F.lit(0), F.lit(1))).alias("ord"), "s_name",
+    ).select("prfid", "ord", F.concat("s_name", F.lit("/"), F.col("ord").cast("string")).alias("title"))
     names = p.select("p_name", "p_brand").distinct()
     searches = names.select(F.explode(F.array("p_name", F.concat("p_name", F.lit(" "), "p_brand", F.lit("ש")))).alias("query")).distinct()
     searches = searches.select("query", F.lit(0).alias("ord"), F.lit("p").alias("prfid"), F.upper("query").alias("title"))
@@ -128,16 +151,28 @@ def seeded_run(spark: SparkSession, d: str) -> DataFrame:
     artist = F.when(F.col("p_partkey") % 4 == 0, "x").otherwise(F.col("p_brand"))
     url = F.concat(F.lit(SITE + "/artist?type=lyrics&prfid="), F.col("p_size").cast("string"), F.lit("&wrkid="), F.col("p_partkey").cast("string"))
     lyrics = F.when(F.col("p_partkey") % 7 > 0, F.col("p_type"))
-    old = p.select(F.col("p_partkey").cast("string").alias("uri"), F.concat("p_name", F.lit(" (Live) - Remix")).alias("track_name"), F.col("p_brand").alias("artist_names"), title.alias("title"), artist.alias("artist"), url.alias("url"), lyrics.alias("lyrics"))
+    old = p.select(
+        F.col("p_partkey").cast("string").alias("uri"), F.concat("p_name", F.lit(" (Live) - Remix")).alias("track_name"),
+        F.col("p_brand").alias("artist_names"), title.alias("title"), artist.alias("artist"), url.alias("url"), lyrics.alias("lyrics"),
+    )
     found, known = M.seeded(old, spark.createDataFrame([], "original_artist string, hebrew_artist string"))
-    return found.select(F.lit("lyrics").alias("what"), F.col("url").alias("key"), F.col("lyrics").alias("value")).union(known.select(F.lit("known"), "credited", "prfid"))
+    return found.select(
+        F.lit("lyrics").alias("what"), F.col("url").alias("key"), F.col("lyrics").alias("value"),
+    ).union(known.select(F.lit("known"), "credited", "prfid"))
 
 
 def review_queue(spark: SparkSession, d: str) -> DataFrame:
     """Orders as matches that a person should look at, after decisions already made."""
     o = table(spark, d, "orders")
-    matches = o.select(F.col("o_orderkey").cast("string").alias("uri"), F.when(F.col("o_orderstatus") == "F", "accepted").otherwise("review").alias("found"), F.col("o_totalprice").alias("total_streams"))
-    made = o.where("o_orderkey % 5 = 0").select(F.col("o_orderkey").cast("string").alias("spotify_uri"), F.when(F.col("o_orderkey") % 3 == 0, "none").when(F.col("o_orderkey") % 3 == 1, "url").otherwise("ask").alias("action"), F.lit("u").alias("shironet_url"))
+    matches = o.select(
+        F.col("o_orderkey").cast("string").alias("uri"), F.when(F.col("o_orderstatus") == "F", "accepted").otherwise("review").alias("found"),
+        F.col("o_totalprice").alias("total_streams"),
+    )
+    made = o.where("o_orderkey % 5 = 0").select(
+        F.col("o_orderkey").cast("string").alias("spotify_uri"),
+        F.when(F.col("o_orderkey") % 3 == 0, "none").when(F.col("o_orderkey") % 3 == 1, "url").otherwise("ask").alias("action"),
+        F.lit("u").alias("shironet_url"),
+    )
     done = M.overridden(matches, made, F.col("found")).drop("found")
     return M.review_queue(done).select("uri", "status", "manual_url", "reviewer_action", "reviewer_url")
 

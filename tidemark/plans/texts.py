@@ -37,7 +37,10 @@ def theme_flags(spark: SparkSession, d: str) -> DataFrame:
 
 
 def weekly_theme_share(spark: SparkSession, d: str) -> DataFrame:
-    songs = L.code_themes(table(spark, d, "part").select(F.col("p_partkey").alias("uri"), F.col("p_name").alias("text")), {"tool": (("gear", "bolt", "gizmo"), 1), "look": (("red", "blue", "hot"), 1)}, joined="", letters=ANY_LETTER)
+    songs = L.code_themes(
+        table(spark, d, "part").select(F.col("p_partkey").alias("uri"), F.col("p_name").alias("text")),
+        {"tool": (("gear", "bolt", "gizmo"), 1), "look": (("red", "blue", "hot"), 1)}, joined="", letters=ANY_LETTER,
+    )
     return rounded(S.weighted_means(charts(spark, d), songs, ["tool", "look"]).drop("stream_coverage"))
 
 
@@ -126,23 +129,34 @@ def medley_concat(spark: SparkSession, d: str) -> DataFrame:
 
 
 def decide_cases(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part").select("p_partkey", (F.col("p_size") * 2.0).alias("t"), (F.col("p_partkey") % 101 + 0.0).alias("a"), (F.col("p_partkey") % 7 == 0).alias("k"))
-    return p.select("p_partkey", M.decision(F.col("t"), F.col("a"), F.col("k")).alias("decision"), M.old_rule(F.col("t"), F.col("a")).cast("int").alias("old_rule"))
+    p = table(spark, d, "part").select(
+        "p_partkey", (F.col("p_size") * 2.0).alias("t"), (F.col("p_partkey") % 101 + 0.0).alias("a"), (F.col("p_partkey") % 7 == 0).alias("k"),
+    )
+    return p.select(
+        "p_partkey", M.decision(F.col("t"), F.col("a"), F.col("k")).alias("decision"), M.old_rule(F.col("t"), F.col("a")).cast("int").alias("old_rule"),
+    )
 
 
 def learn_ids_having(spark: SparkSession, d: str) -> DataFrame:
-    hits = table(spark, d, "lineitem").where("l_quantity >= 49").select((F.col("l_suppkey") % 10).alias("credited"), F.col("l_partkey").alias("song"), F.col("l_suppkey").alias("prfid"))
+    hits = table(spark, d, "lineitem").where("l_quantity >= 49").select(
+        (F.col("l_suppkey") % 10).alias("credited"), F.col("l_partkey").alias("song"), F.col("l_suppkey").alias("prfid"),
+    )
     return M.learn_ids(hits, least=12)
 
 
 def best_candidate(spark: SparkSession, d: str) -> DataFrame:
-    l = table(spark, d, "lineitem").select("l_orderkey", (F.col("l_linenumber") * 10_000_000 + F.col("l_partkey")).alias("ord"), (F.col("l_quantity") * 2).alias("title_score"), (F.col("l_partkey") % 101 + 0.0).alias("artist_score"), F.col("l_partkey").alias("page"))
+    l = table(spark, d, "lineitem").select(
+        "l_orderkey", (F.col("l_linenumber") * 10_000_000 + F.col("l_partkey")).alias("ord"), (F.col("l_quantity") * 2).alias("title_score"),
+        (F.col("l_partkey") % 101 + 0.0).alias("artist_score"), F.col("l_partkey").alias("page"),
+    )
     decided = l.withColumn("decision", M.decision(F.col("title_score"), F.col("artist_score"), F.lit(False)))
     return M.best(decided, ["l_orderkey"], "ord").select("l_orderkey", "ord", "page", "decision")
 
 
 def first_accepting_tier(spark: SparkSession, d: str) -> DataFrame:
-    l = table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("tier"), F.when(F.col("l_quantity") >= 40, "accept").otherwise("review").alias("decision"))
+    l = table(spark, d, "lineitem").select(
+        "l_orderkey", F.col("l_linenumber").alias("tier"), F.when(F.col("l_quantity") >= 40, "accept").otherwise("review").alias("decision"),
+    )
     return M.first_tier(l, ["l_orderkey"]).groupBy("l_orderkey").agg(F.count("*").alias("kept"), F.max("tier").alias("last_tier"))
 
 
@@ -166,8 +180,12 @@ def last_wins_mapping(spark: SparkSession, d: str) -> DataFrame:
 def union_queue(spark: SparkSession, d: str) -> DataFrame:
     """Two review queues in one, with their reason, places and running share of the streams."""
     p = table(spark, d, "part")
-    a = p.where("p_size < 10").select(F.col("p_partkey").alias("uri"), F.lit("artist_differs").alias("reason"), F.round(F.col("p_retailprice") * 100).cast("bigint").alias("streams"))
-    b = p.where("p_size > 45").select(F.col("p_partkey").alias("uri"), F.lit("not_found").alias("reason"), F.round(F.col("p_retailprice") * 100).cast("bigint").alias("streams"))
+    a = p.where("p_size < 10").select(
+        F.col("p_partkey").alias("uri"), F.lit("artist_differs").alias("reason"), F.round(F.col("p_retailprice") * 100).cast("bigint").alias("streams"),
+    )
+    b = p.where("p_size > 45").select(
+        F.col("p_partkey").alias("uri"), F.lit("not_found").alias("reason"), F.round(F.col("p_retailprice") * 100).cast("bigint").alias("streams"),
+    )
     return S.cumulative_share(a.unionByName(b), "streams", "uri").withColumn("cum_share", F.round("cum_share", 3))
 
 
@@ -176,13 +194,18 @@ def labels_joins(spark: SparkSession, d: str) -> DataFrame:
     docs, labels = table(spark, d, "documents").select("doc_id", "lang"), table(spark, d, "labels").select("doc_id", "toxic")
     both = docs.join(labels, "doc_id", "full_outer")
     kind = F.when(F.col("lang").isNull(), "label_only").when(F.col("toxic").isNull(), "document_only").otherwise("both")
-    return both.groupBy(F.coalesce("lang", F.lit("-")).alias("lang"), kind.alias("kind")).agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic"))
+    return both.groupBy(F.coalesce("lang", F.lit("-")).alias("lang"), kind.alias("kind")).agg(
+        F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic"),
+    )
 
 
 def manual_overrides(spark: SparkSession, d: str) -> DataFrame:
     """Statuses after hand-made decisions: those of two actions win, others are ignored, the first row of a key counts."""
     o = table(spark, d, "orders").withColumnRenamed("o_orderkey", "uri")
-    acts = o.where("uri % 5 = 0").select(F.col("uri").alias("spotify_uri"), F.when(F.col("uri") % 3 == 0, "none").when(F.col("uri") % 3 == 1, "url").otherwise("ask").alias("action"), F.lit("").alias("shironet_url"))
+    acts = o.where("uri % 5 = 0").select(
+        F.col("uri").alias("spotify_uri"), F.when(F.col("uri") % 3 == 0, "none").when(F.col("uri") % 3 == 1, "url").otherwise("ask").alias("action"),
+        F.lit("").alias("shironet_url"),
+    )
     return M.overridden(o, acts, F.col("o_orderstatus")).groupBy("status").agg(F.count("*").alias("n"))
 
 
@@ -218,23 +241,36 @@ def resolved_songs(spark: SparkSession, d: str) -> DataFrame:
     brand's, a search all of a name's. Some songs are decided by hand and some have pages that are not in the cache."""
     p = table(spark, d, "part")
     uri = F.col("p_partkey").cast("string")
-    songs = p.select(uri.alias("uri"), F.concat("p_name", F.lit(" - Live")).alias("track_name"), F.col("p_brand").alias("artist_names"), F.col("p_retailprice").alias("total_streams"), "p_name", "p_brand", "p_partkey")
+    songs = p.select(
+        uri.alias("uri"), F.concat("p_name", F.lit(" - Live")).alias("track_name"), F.col("p_brand").alias("artist_names"),
+        F.col("p_retailprice").alias("total_streams"), "p_name", "p_brand", "p_partkey",
+    )
     page = p.groupBy("p_name", "p_brand").agg(F.min("p_partkey").alias("ord"), F.min_by("p_type", "p_partkey").alias("lyrics"))
-    page = page.select(F.col("p_name").alias("title"), F.col("p_brand").alias("artist"), F.col("p_brand").alias("prfid"), "ord", F.col("ord").cast("string").alias("wrkid"), F.col("ord").cast("string").alias("url"), "lyrics")
+    page = page.select(
+        F.col("p_name").alias("title"), F.col("p_brand").alias("artist"), F.col("p_brand").alias("prfid"), "ord", F.col("ord").cast("string").alias("wrkid"),
+        F.col("ord").cast("string").alias("url"), "lyrics",
+    )
     works = songs.select("uri", F.col("p_brand").alias("artist")).join(page, "artist").withColumn("tier", F.lit(0))
     found = songs.select("uri", F.col("p_name").alias("title")).join(page, "title").withColumn("tier", F.lit(1))
     candidates = works.unionByName(found).withColumn("part_no", F.lit(0))
     known = p.where("p_size > 25").select(F.col("p_brand").alias("credited"), F.col("p_brand").alias("prfid")).distinct()
     mapping = spark.createDataFrame([("Brand#3", "מותג שלוש"), ("Brand#5", "Brand five, מותג חמש")], readers.MAPPING)
-    manual = songs.where("p_partkey % 40 = 1").select(F.col("uri").alias("spotify_uri"), F.when(F.col("p_partkey") % 3 == 0, "none").otherwise("url").alias("action"), F.lit("by hand").alias("shironet_url"))
+    manual = songs.where("p_partkey % 40 = 1").select(
+        F.col("uri").alias("spotify_uri"), F.when(F.col("p_partkey") % 3 == 0, "none").otherwise("url").alias("action"), F.lit("by hand").alias("shironet_url"),
+    )
     got = M.resolve(songs, candidates, mapping, known, manual, uncached=songs.where("p_partkey % 50 = 7").select("uri"))
     return got.select("uri", "status", "n_parts", "title_score", "artist_score", "shironet_urls", "lyrics", "manual_url")
 
 
 def audit_suspects(spark: SparkSession, d: str) -> DataFrame:
     """Matched songs whose page's artist is unlike every credited name, not cleared by hand."""
-    p = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("uri"), F.col("p_name").alias("artist_names"), F.lead("p_name").over(Window.partitionBy("p_brand").orderBy("p_partkey")).alias("matched_artist"))
-    return M.audit(p, spark.createDataFrame([("hot bolt", "cold bolt")], readers.MAPPING), ["1", "2"]).select("uri", "artist_names", "matched_artist", "similarity")
+    p = table(spark, d, "part").select(
+        F.col("p_partkey").cast("string").alias("uri"), F.col("p_name").alias("artist_names"),
+        F.lead("p_name").over(Window.partitionBy("p_brand").orderBy("p_partkey")).alias("matched_artist"),
+    )
+    return M.audit(
+        p, spark.createDataFrame([("hot bolt", "cold bolt")], readers.MAPPING), ["1", "2"],
+    ).select("uri", "artist_names", "matched_artist", "similarity")
 
 
 def html_parse(spark: SparkSession, d: str) -> DataFrame:

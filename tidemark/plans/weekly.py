@@ -68,7 +68,10 @@ def song_universe(spark: SparkSession, d: str) -> DataFrame:
 
 def song_totals(spark: SparkSession, d: str) -> DataFrame:
     c = charts(spark, d)
-    return c.groupBy("uri").agg(F.sum("streams").alias("total_streams"), F.min("rank").alias("peak_rank"), F.min("week_date").alias("first_week"), F.min_by("rank", F.struct("week_date", "rank")).alias("first_rank"), F.countDistinct("week_date").alias("n_weeks"))
+    return c.groupBy("uri").agg(
+        F.sum("streams").alias("total_streams"), F.min("rank").alias("peak_rank"), F.min("week_date").alias("first_week"),
+        F.min_by("rank", F.struct("week_date", "rank")).alias("first_rank"), F.countDistinct("week_date").alias("n_weeks"),
+    )
 
 
 def dedup_scores_join(spark: SparkSession, d: str) -> DataFrame:
@@ -91,7 +94,9 @@ def version_comparison(spark: SparkSession, d: str) -> DataFrame:
     new = S.to_long(S.weighted_means(c, s, ["joy"]), ["joy"])
     both = old.select("week_date", F.col("value").alias("old")).join(new.select("week_date", F.col("value").alias("new")), "week_date")
     r = both.agg(I.safe_corr("old", "new").alias("r"))
-    rho = I.spearman_trend(old.unionByName(new)).groupBy().agg(F.max(F.when(F.col("series") == "old", F.col("rho"))).alias("rho_old"), F.max(F.when(F.col("series") == "joy", F.col("rho"))).alias("rho_new"))
+    rho = I.spearman_trend(old.unionByName(new)).groupBy().agg(
+        F.max(F.when(F.col("series") == "old", F.col("rho"))).alias("rho_old"), F.max(F.when(F.col("series") == "joy", F.col("rho"))).alias("rho_new"),
+    )
     return rounded(r.crossJoin(rho))  # one row on either side
 
 
@@ -102,7 +107,9 @@ def anti_join_impact(spark: SparkSession, d: str) -> DataFrame:
     a = S.weighted_means(c, s, ["joy"]).select("week_date", F.col("joy").alias("all_songs"))
     b = S.weighted_means(c, s.join(suspects, "uri", "left_anti"), ["joy"]).select("week_date", F.col("joy").alias("cleared"))
     x = a.join(b, "week_date")
-    change = x.agg(F.count("*").alias("weeks"), I.safe_corr("all_songs", "cleared").alias("r"), F.avg(F.abs(F.col("all_songs") - F.col("cleared"))).alias("mean_change"))
+    change = x.agg(
+        F.count("*").alias("weeks"), I.safe_corr("all_songs", "cleared").alias("r"), F.avg(F.abs(F.col("all_songs") - F.col("cleared"))).alias("mean_change"),
+    )
     rho = I.spearman_trend(S.to_long(x, ["all_songs", "cleared"]))
     both = rho.agg(*(F.max(F.when(F.col("series") == c, F.col("rho"))).alias(f"rho_{c}") for c in ("all_songs", "cleared")))
     return rounded(change.crossJoin(both))  # one row on either side
@@ -242,14 +249,19 @@ def trend_table(spark: SparkSession, d: str) -> DataFrame:
 def theme_trends(spark: SparkSession, d: str) -> DataFrame:
     """The trend of each theme's weekly share."""
     got = I.trend_table(S.to_long(S.weighted_means(charts(spark, d), song_themes(spark, d), list(THEMED)), list(THEMED)))
-    names = {"series": "theme", "mean": "mean_share", "first": "first_6mo", "last": "last_6mo", "slope_per_year": "change_per_year", "p_ar1": "p_ar1", "spearman": "rho"}
+    names = {
+        "series": "theme", "mean": "mean_share", "first": "first_6mo", "last": "last_6mo", "slope_per_year": "change_per_year", "p_ar1": "p_ar1",
+        "spearman": "rho",
+    }
     return rounded(got.select(*[F.col(a).alias(b) for a, b in names.items()]))
 
 
 def theme_validity(spark: SparkSession, d: str) -> DataFrame:
     """Songs with themes and emotions: fear of those with a theme against the others', by the rank sum test."""
     both = song_themes(spark, d).join(scores(spark, d), "uri")
-    rows = both.select(F.explode(F.array(*[F.struct(F.lit(k).alias("theme"), F.col(k).alias("flag")) for k in THEMED])).alias("x"), F.col("fear").alias("value")).select("x.theme", "x.flag", "value")
+    rows = both.select(
+        F.explode(F.array(*[F.struct(F.lit(k).alias("theme"), F.col(k).alias("flag")) for k in THEMED])).alias("x"), F.col("fear").alias("value"),
+    ).select("x.theme", "x.flag", "value")
     return rounded(I.rank_sum_test(rows, "flag", "value", "theme"))
 
 
@@ -287,12 +299,16 @@ def placebo(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mann_whitney_u(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "part").select("p_brand", (F.col("p_type").contains("ECONOMY")).cast("int").alias("flag"), F.col("p_size").cast("double").alias("value"))
+    x = table(spark, d, "part").select(
+        "p_brand", (F.col("p_type").contains("ECONOMY")).cast("int").alias("flag"), F.col("p_size").cast("double").alias("value"),
+    )
     return rounded(I.rank_sum(x, "flag", "value", "p_brand"), "u")
 
 
 def mann_whitney_test(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "part").select("p_brand", (F.col("p_type").contains("ECONOMY")).cast("int").alias("flag"), F.col("p_size").cast("double").alias("value"))
+    x = table(spark, d, "part").select(
+        "p_brand", (F.col("p_type").contains("ECONOMY")).cast("int").alias("flag"), F.col("p_size").cast("double").alias("value"),
+    )
     return rounded(I.rank_sum_test(x, "flag", "value", "p_brand"))
 
 
@@ -323,16 +339,26 @@ def event_summary(spark: SparkSession, d: str) -> DataFrame:
     """Each event with the series that moved at p < .05, in order of p, and the songs that hold over a fifth of a change."""
     w, hits = long(spark, d), events(spark)
     e = S.event_windows(w, hits).where("p_perm < 0.05").join(S.first_weeks(w, hits), ["series", "code"])
-    text = F.concat("series", F.lit(" "), F.when(F.col("change_sd") >= 0, "+").otherwise(""), X.signed(F.col("change_sd")), F.lit(" SD (p "), X.apa_p(F.col("p_perm")), F.lit(")"))
+    text = F.concat(
+        "series", F.lit(" "), F.when(F.col("change_sd") >= 0, "+").otherwise(""), X.signed(F.col("change_sd")), F.lit(" SD (p "), X.apa_p(F.col("p_perm")),
+        F.lit(")"),
+    )
     listed = lambda key: F.transform(F.array_sort(F.collect_list(F.struct(*key))), lambda x: x["text"])
     shifts = e.withColumn("text", text).groupBy("code").agg(F.count("*").alias("n"), F.array_join(listed(["p_perm", "series", "text"]), "; ").alias("shifts"))
     s = scores(spark, d)
-    values = s.select("uri", F.explode(F.array(*[F.struct(F.lit(v).alias("series"), F.col(v).alias("value")) for v in ("joy", "fear")])).alias("v")).select("uri", "v.series", "v.value")
+    values = s.select(
+        "uri", F.explode(F.array(*[F.struct(F.lit(v).alias("series"), F.col(v).alias("value")) for v in ("joy", "fear")])).alias("v"),
+    ).select("uri", "v.series", "v.value")
     moved = S.event_drivers(charts(spark, d), values, S.weeks_around(w, e.select("series", "code", "t", "p_perm"))).where("share > 0.2")
-    named = moved.join(e.select("series", "code", "p_perm"), ["series", "code"]).join(s.select("uri", F.concat("track_name", F.lit(" ("), "artist_names", F.lit(")")).alias("text")), "uri")
+    named = moved.join(e.select("series", "code", "p_perm"), ["series", "code"]).join(
+        s.select("uri", F.concat("track_name", F.lit(" ("), "artist_names", F.lit(")")).alias("text")), "uri",
+    )
     songs = named.groupBy("code").agg(F.array_join(F.array_distinct(listed(["p_perm", "series", "place", "text"])), "; ").alias("songs"))
     out = hits.join(shifts, "code", "left").join(songs, "code", "left")
-    return out.select("code", "date", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("shifts", F.lit("None at p < .05")).alias("shifts"), F.coalesce("songs", F.lit("-")).alias("songs"))
+    return out.select(
+        "code", "date", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("shifts", F.lit("None at p < .05")).alias("shifts"),
+        F.coalesce("songs", F.lit("-")).alias("songs"),
+    )
 
 
 def hourly_users(spark: SparkSession, d: str) -> DataFrame:
