@@ -15,6 +15,7 @@ tokenizers = pytest.importorskip("public_tokenizers")
 
 from tidemark.llm import embedding_dedup, media_avi, mixing, near_copies, passage_dedup, segments, sentencepiece_bpe, simhash, suffix_dedup, token_files, toxicity, url_filter  # noqa: E402
 from tidemark.llm.common import shared_root  # noqa: E402
+from tidemark.llm import components as components_module  # noqa: E402
 from tidemark.llm.components import components  # noqa: E402
 
 PIECE, BYTE = tokenizers.path("piece_bpe_32k.model"), tokenizers.path("byte_bpe_50k.json")
@@ -143,10 +144,12 @@ def test_simhash(docs, none):
     assert simhash.classes(simhash.fingerprints(none)).count() == 0
 
 
-@pytest.mark.parametrize("block", [2048, 8])
-def test_near_pairs_connect_as_all_links_do(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, hot", [(2048, 100_000), (2048, 2), (8, 100_000)])
+def test_near_pairs_connect_as_all_links_do(spark, monkeypatch, block, hot):
     monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "HOT", hot)
     base = RNG.integers(0, 1 << 62, 12, dtype=np.int64)
+    base[6:] = base[:6] & ~0xFFFFFFFF | base[6:] & 0xFFFFFFFF  # segments that many share
     flips = [int(b) ^ sum(1 << int(k) for k in RNG.choice(62, RNG.integers(0, 6), replace=False)) for b in base for _ in range(40)]
     fps = sorted(set(flips))
     pairs = simhash.near_pairs(spark.createDataFrame([(f,) for f in fps], "fp long")).collect() if block == 2048 else None
@@ -172,11 +175,15 @@ def test_near_pairs_connect_as_all_links_do(spark, monkeypatch, block):
     assert roots([tuple(p) for p in pairs]) == roots(every)
 
 
-def test_components(spark):
-    edges = [(i, i + 1) for i in range(1, 60)] + [(100, 200), (200, 300), (7, 7), (None, 3)]
+@pytest.mark.parametrize("local", [1 << 18, 0])
+def test_components(spark, monkeypatch, local):
+    """In one task and in rounds of stars: a path in order and in disorder, stars, loops, repeats and nulls."""
+    monkeypatch.setattr(components_module, "LOCAL_LINKS", local)
+    mixed = (1000 + RNG.permutation(60)).tolist()
+    edges = [(i, i + 1) for i in range(1, 40)] + [(100, 200), (200, 300), (300, 200), (7, 7), (None, 3)] + list(zip(mixed, mixed[1:])) + [(5000, k) for k in range(4000, 4050)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert all(got[i] == 1 for i in range(1, 61)) and {got[100], got[200], got[300]} == {100} and len(got) == 63
-    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    want = {i: 1 for i in range(1, 41)} | {100: 100, 200: 100, 300: 100} | {i: 1000 for i in mixed} | {k: 4000 for k in [*range(4000, 4050), 5000]}
+    assert got == want and components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 def test_near_classes(spark, docs, none):
@@ -317,6 +324,21 @@ def test_passages_with_many_edits(spark):
     assert all(got[i] == 0 for i in range(0, 60, 2)) and sum(50 <= got[i] <= 80 for i in range(1, 60, 2)) >= 29
 
 
+def test_passages_of_sentences_that_stand_elsewhere_too(spark):
+    """Two documents share 80 words in four sentences, each of which an earlier document has alone: their seeds lead to
+    those, and runs of seeds to the document that has the whole passage."""
+    rng = np.random.default_rng(14)
+    text = lambda n: [f"w{x}" for x in rng.integers(0, 50_000, n)]
+    rows, wanted = [], []
+    for f in range(20):
+        sentences = [text(20) for _ in range(4)]
+        rows += [(100 * f + k, " ".join(text(40) + s + text(40))) for k, s in enumerate(sentences)]
+        rows += [(100 * f + 10 * k, " ".join(text(30) + sum(sentences, []) + text(30))) for k in (5, 6)]
+        wanted.append(100 * f + 60)
+    got = {r["doc_id"]: r["n_removed"] for r in passage_dedup.cut_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(75 <= got[i] <= 84 for i in wanted) >= 19 and sum(got.values()) == sum(got[i] for i in wanted)
+
+
 def test_fenwick_chains_equal_quadratic_search():
     for _ in range(40):
         n = int(RNG.integers(1, 14))
