@@ -114,7 +114,9 @@ def mix(
     in_bin = Window.partitionBy("key", "_bin").orderBy("_rank", "u", "doc_id", "size", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
     # written, so that the running sum of a source reads one row a bin
     bins = written(ranked.groupBy("key", "_bin").agg(F.sum("size").alias("_words")), "mix-bins")
-    below = bins.withColumn("_below", F.coalesce(F.sum("_words").over(Window.partitionBy("key").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_words")
+    below = bins.withColumn(
+        "_below", F.coalesce(F.sum("_words").over(Window.partitionBy("key").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+    ).drop("_words")
     extra = F.when((F.col("_p") >= 1) | (F.col("_p").isNotNull() & (F.col("_below") + F.col("_in") + F.col("size") / 2 <= F.col("_residual"))), 1).otherwise(0)
     return (
         ranked.withColumn("_in", F.coalesce(F.sum("size").over(in_bin), F.lit(0)))

@@ -224,7 +224,9 @@ def judge(pages: DataFrame, listed: DataFrame, rules: tuple[tuple[str, str, str]
         numbered = written(keyed.withColumn("row", F.monotonically_increasing_id()), "url-keys")
         hit = numbered.select("row", F.explode("keys").alias("key")).select("row", *_hashed(key)).join(named.distinct(), ["h1", "h2"], "left_semi").select("row").distinct()
         marked = numbered.join(hit.withColumn("listed", F.lit(True)), "row", "left")
-    return marked.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"))
+    return marked.select(
+        "page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"),
+    )
 
 
 def block_list(pages: DataFrame, url: str = "url") -> DataFrame:
