@@ -39,7 +39,7 @@ def song_themes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def weekly_weighted_mean(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(weekly(spark, d))
+    return rounded(weekly(spark, d), digits=9)
 
 
 def weekly_coverage(spark: SparkSession, d: str) -> DataFrame:
@@ -425,7 +425,7 @@ def _rounds(n: int) -> str:
 
 
 ORACLES = {
-    "weekly_weighted_mean": f"WITH {WIDE_SQL} SELECT week_date, {R('joy', 'fear', 'stream_coverage')} FROM wide",
+    "weekly_weighted_mean": f"WITH {WIDE_SQL} SELECT week_date, {R('joy', 'fear', 'stream_coverage').replace(', 6)', ', 9)')} FROM wide",
     "weekly_coverage": f"WITH {WIDE_SQL} SELECT count(*) AS weeks, {R('avg(stream_coverage) AS coverage_mean', 'min(stream_coverage) AS coverage_min', 'max(stream_coverage) AS coverage_max')} FROM wide",
     "weekly_topk": f"WITH {CHARTS_SQL} SELECT week_date, rank::INT AS rank, uri, streams FROM charts WHERE rank <= 5",
     "song_universe": f"WITH {CHARTS_SQL} SELECT uri, sum(streams)::BIGINT AS total_streams, min(rank)::INT AS peak_rank, min(week_date) AS first_week, arg_min(rank, week_date)::INT AS first_rank, count(DISTINCT week_date) AS n_weeks FROM charts GROUP BY 1",
