@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
 import uuid
@@ -14,13 +15,26 @@ from pyspark.sql import functions as F
 
 #: UTF-8 bytes that a NumPy kernel handles at a time (a longer text is a slice of its own).
 SLICE_BYTES = 2 << 20
+#: Bytes of rows that Spark hands to a Python worker at a time.
+ARROW_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """The session, whose Arrow batches from now on have ARROW_BYTES at most: long texts would make them large, on either
+    side of a Python worker. A session that asks for less keeps its setting."""
+    now = spark.conf.get(_BATCH)
+    if not now.removesuffix("b").isdigit() or int(now.removesuffix("b")) > ARROW_BYTES:
+        spark.conf.set(_BATCH, f"{ARROW_BYTES}b")
+    return spark
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return small_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shuffle_parts(spark: SparkSession) -> int:
+    small_batches(spark)
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
@@ -30,11 +44,29 @@ def shared_root(spark: SparkSession) -> str:
     return (root or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared").rstrip("/")
 
 
-def written(df: DataFrame, what: str, codec: str = "zstd", **options: str | int) -> DataFrame:
+_scopes: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end the tables written inside, but those written to `stay`: what outlives it must read no others."""
+    mine: list[str] = []
+    _scopes.append(mine)
+    try:
+        yield
+    finally:
+        _scopes.remove(mine)
+        for path in map(spark.sparkContext._jvm.org.apache.hadoop.fs.Path, mine):
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def written(df: DataFrame, what: str, codec: str = "zstd", stay: bool = False, **options: str | int) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: a lineage cut that outlives lost executors. `options`
-    are the writer's."""
-    spark = df.sparkSession
+    are the writer's; a table written to `stay` outlives a scratch scope."""
+    spark = small_batches(df.sparkSession)
     path = f"{shared_root(spark)}/{what}-{uuid.uuid4().hex}"
+    if _scopes and not stay:
+        _scopes[-1].append(path)
     df.write.options(**options).option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
