@@ -339,6 +339,36 @@ def test_passages_of_sentences_that_stand_elsewhere_too(spark):
     assert sum(75 <= got[i] <= 84 for i in wanted) >= 19 and sum(got.values()) == sum(got[i] for i in wanted)
 
 
+def overlapping_parts(seed, families, edit):
+    """(rows, doc_ids that have a passage): 80 words that two documents share, all runs of 40 of which stand in smaller ones too."""
+    rng = np.random.default_rng(seed)
+    text = lambda n: [f"w{x}" for x in rng.integers(0, 50_000, n)]
+    rows, wanted = [], []
+    for f in range(families):
+        p = text(80)
+        rows += [(100 * f + 10 * k + a // 20, " ".join(text(40) + p[a : a + 40] + text(40))) for k in range(4) for a in (0, 20, 40)]
+        q = {"none": p, "put in": p[:45] + ["x", "y"] + p[45:], "others": [f"x{k}" if k % 16 == 9 else w for k, w in enumerate(p)]}[edit]
+        rows += [(100 * f + 50, " ".join(text(30) + p + text(30))), (100 * f + 60, " ".join(text(30) + q + text(30)))]
+        wanted.append(100 * f + 60)
+    return rows, wanted
+
+
+@pytest.mark.parametrize("edit", ["none", "put in", "others"])
+@pytest.mark.parametrize("how", [{}, {"sampled": 1, "hot": 2}])
+def test_passages_meet_every_smaller_document(spark, how, edit):
+    """Seeds and runs of them lead to documents that have a part under 50 words; the whole passage is cut all the same, by
+    plain seeds and by hot ones."""
+    rows, wanted = overlapping_parts(15, 12, edit)
+    got = {r["doc_id"]: r["n_removed"] for r in passage_dedup.cut_passages(spark.createDataFrame(rows, "doc_id long, text string"), **how).collect()}
+    assert sum(75 <= got[i] <= 86 for i in wanted) >= 11 and sum(got.values()) == sum(got[i] for i in wanted)
+
+
+def test_hot_seeds_cut_what_plain_ones_cut(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plain, hot = ({r["doc_id"]: r["n_removed"] for r in passage_dedup.cut_passages(docs, sampled=1, hot=n).collect()} for n in (1 << 40, 2))
+    assert sum(plain.values()) > 0 and all(hot[i] >= n for i, n in plain.items())
+
+
 def test_fenwick_chains_equal_quadratic_search():
     for _ in range(40):
         n = int(RNG.integers(1, 14))
