@@ -92,6 +92,19 @@ def test_passage_dedup(tables):
     assert tables["passage-dedup"][1].where(F.char_length("text") != F.col("n_chars")).count() == 0
 
 
+def test_passage_dedup_meets_every_smaller_document(spark):
+    """Runs of 40 words of a passage of 80 stand in smaller documents one by one; the one document that has all of it is met too."""
+    text = lambda who, n: [f"{who}x{k}" for k in range(n)]
+    rows = []
+    for f in range(0, 1200, 100):
+        p = text(f"p{f}", 80)
+        rows += [(f + k, " ".join(text(f"a{f + k}", 40) + p[a : a + 40] + text(f"b{f + k}", 40))) for k, a in enumerate((0, 20, 40))]
+        rows += [(f + k, " ".join(text(f"a{f + k}", 30) + p + text(f"b{f + k}", 30))) for k in (50, 60)]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = {i: len(words(t)) for i, t in texts(STAGES["passage-dedup"](spark, docs, SF)).items()}
+    assert all(left[i] == (60 if i % 100 == 60 else len(words(t))) for i, t in rows)
+
+
 def test_mixture(spark, tables):
     """Copies as the operator's SQL takes words, on this stage's own input."""
     before, after = tables["mixture"]
