@@ -369,6 +369,39 @@ def test_hot_seeds_cut_what_plain_ones_cut(spark):
     assert sum(plain.values()) > 0 and all(hot[i] >= n for i, n in plain.items())
 
 
+def test_a_bit_of_each_word_bounds_what_a_passage_may_add():
+    """Rows are asked for words only by chains that may give a passage: the bound is never under what _grown adds, and it refuses
+    nearly all places of other words."""
+    rng = np.random.default_rng(8)
+    mine = rng.integers(0, 1 << 32, 400_000).astype(np.uint32)
+    theirs = np.where(rng.random(len(mine)) < np.repeat(rng.choice([0, 0.8, 0.9, 1], 2000), 200), mine, rng.integers(0, 1 << 32, len(mine)).astype(np.uint32))
+    first = np.arange(2000) * 200
+    last, start = first + 200, first + rng.integers(0, 196, 2000)
+    l1, r1, room = passage_dedup.beside(mine, first, last, start, start + 5)
+    l2, r2, _ = passage_dedup.beside(theirs, first, last, start, start + 5)
+    most = [passage_dedup.furthest(l1, l2, room[0], 0.8), passage_dedup.furthest(r1, r2, room[1], 0.8)]
+    size = np.full(2000, 5)
+    ok, y, ye = passage_dedup.align_alone(mine, first, last, theirs, first, last, start, start + size, start, 50, 0.8)
+    far = 0
+    for i in range(2000):
+        same = mine[first[i] : last[i]] == theirs[first[i] : last[i]]
+        at = start[i] - first[i]
+        adds = passage_dedup._grown(same[max(at - 96, 0) : at][::-1], 0.8), passage_dedup._grown(same[at + 5 : at + 101], 0.8)
+        assert adds[0] <= most[0][i] and adds[1] <= most[1][i]
+        got = passage_dedup.align(mine[first[i] : last[i]], theirs[first[i] : last[i]], [(at, at + 5, at)], 50, 0.8)
+        assert got == ((y[i] - first[i], ye[i] - first[i], y[i] - first[i], ye[i] - first[i]) if ok[i] else None)
+        far += most[0][i] + most[1][i] + 5 >= 50 and same.mean() < 0.1
+    assert ok.sum() > 500 and far < 20
+
+
+def test_packed_seeds_keep_rows_and_places():
+    rng = np.random.default_rng(9)
+    doc, pos, kmer = np.sort(rng.integers(0, 50, 300)), rng.integers(0, 1 << 20, 300), rng.integers(0, 1 << 63, 300).astype(np.uint64)
+    key, ids = rng.integers(-(1 << 62), 1 << 62, 50), np.arange(50)
+    h, k, i, p = passage_dedup.unpack_seeds(passage_dedup.pack_seeds(kmer, doc, pos, key, ids))
+    assert (h.view(np.uint64) == kmer >> np.uint64(16)).all() and (k == key[doc]).all() and (i == ids[doc]).all() and (p == pos).all()
+
+
 def test_fenwick_chains_equal_quadratic_search():
     for _ in range(40):
         n = int(RNG.integers(1, 14))
