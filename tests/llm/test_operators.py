@@ -363,6 +363,20 @@ def test_passages_meet_every_smaller_document(spark, how, edit):
     assert sum(75 <= got[i] <= 86 for i in wanted) >= 11 and sum(got.values()) == sum(got[i] for i in wanted)
 
 
+@pytest.mark.parametrize("how", [{"hot": 1 << 40}, {"sampled": 1, "hot": 4}])
+def test_hot_seeds_go_on_across_insertions_beyond_a_passage(spark, how):
+    """60 words stand in a smaller document by themselves; with 40 more, after two words put in, only in another one. Hot seeds
+    of the 60 have a passage with the first already, and must lead to the 40 of the other (plain seeds) as plain ones do."""
+    rng = np.random.default_rng(21)
+    text = lambda n: [f"w{x}" for x in rng.integers(0, 50_000, n)]
+    rows = []
+    for f in range(0, 1200, 100):
+        a, b = text(60), text(40)
+        rows += [(f + k, " ".join(text(30) + a + text(30))) for k in (1, 2, 3)] + [(f + 10, " ".join(text(30) + a + ["x", "y"] + b + text(30))), (f + 20, " ".join(text(30) + a + b + text(30)))]
+    got = {r["doc_id"]: r["n_removed"] for r in passage_dedup.cut_passages(spark.createDataFrame(rows, "doc_id long, text string"), **how).collect()}
+    assert sum(95 <= got[f + 20] <= 108 for f in range(0, 1200, 100)) >= 11
+
+
 def test_hot_seeds_cut_what_plain_ones_cut(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     plain, hot = ({r["doc_id"]: r["n_removed"] for r in passage_dedup.cut_passages(docs, sampled=1, hot=n).collect()} for n in (1 << 40, 2))
