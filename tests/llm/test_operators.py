@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import uuid
 import zlib
@@ -383,6 +384,54 @@ def test_hot_seeds_cut_what_plain_ones_cut(spark):
     assert sum(plain.values()) > 0 and all(hot[i] >= n for i, n in plain.items())
 
 
+def _shuffled(spark):
+    """Bytes that all stages so far have written to shuffles."""
+    sc, gate = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway
+    sc.listenerBus().waitUntilEmpty(30_000)
+    stages = sc.statusStore().stageList(None, False, False, gate.new_array(gate.jvm.double, 0), gate.jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_passages_deal_texts_out_once_and_copies_not_in_pairs(spark):
+    """A fifth of the texts are copies of ten others, and a smaller document's copy leads on: what goes through shuffles is under
+    the texts' own size, where every text went through three of them before. Copies are cut whole, but for short ones and
+    for rows of one doc_id."""
+    rng = random.Random(11)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(4, 9))) for _ in range(20_000)]
+    texts = [" ".join(rng.choices(words, k=400)) for _ in range(400)]
+    short = "  " + " ".join(rng.choices(words, k=49))
+    shared = " ".join(texts[3].split()[100:180])
+    rows = list(enumerate(texts)) + [(1000 + i, texts[i % 10]) for i in range(100)]
+    rows += [(2000, short), (2001, short), (2002, f"{texts[399][:40]} {shared}"), (2003, texts[3] + " \n"), (None, texts[5]), (0, texts[0]), (2004, None), (2005, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).localCheckpoint()
+    start = _shuffled(spark)
+    got = {}
+    for r in passage_dedup.cut_passages(docs).collect():
+        got.setdefault(r["doc_id"], []).append((r["n_words"], r["n_passages"], r["n_removed"], r["text"]))
+    size = sum(len(t or "") for _, t in rows)
+    assert _shuffled(spark) - start < size
+    assert len(got) == len({i for i, _ in rows}) and got[0] == [(400, 0, 0, texts[0])] * 2
+    assert all(got[i] == [(400, 0, 0, texts[i])] for i in range(1, 400))
+    assert all(got[1000 + i] == [(400, 1, 400, "")] for i in range(100)) and got[None] == [(400, 1, 400, "")]
+    assert got[2000] == got[2001] == [(49, 0, 0, short)] and got[2002][0][2] >= 80 and got[2003] == [(400, 1, 400, "")]
+    assert got[2004] == got[2005] == [(0, 0, 0, None)]
+
+
+def test_packed_matches_come_back():
+    rng = np.random.default_rng(3)
+    y, x = rng.integers(0, 50, (2, 500)) + (np.int64(7) << 32)
+    p, q = rng.integers(0, 1 << 32, (2, 500), dtype=np.uint32)
+    got = passage_dedup.unpack_matches(passage_dedup.pack_matches(y, p, x, q))
+    assert [c.dtype for c in got] == [np.int64, np.uint32] * 2 and sorted(zip(*got)) == sorted(zip(y, p, x, q))
+
+
+def test_each_part_is_dealt_to_a_partition_of_its_own(spark):
+    for n in (1, 4, 51, 211):
+        labels = [(int(x),) for x in passage_dedup._labels(n)]
+        place = spark.createDataFrame(labels, "part int").select(F.pmod(F.hash("part"), F.lit(n)).alias("p")).collect()
+        assert [r["p"] for r in place] == list(range(n))
+
+
 def test_a_bit_of_each_word_bounds_what_a_passage_may_add():
     """Rows are asked for words only by chains that may give a passage: the bound is never under what _grown adds, and it refuses
     nearly all places of other words."""
