@@ -144,6 +144,20 @@ def test_cumulative_share(spark):
     assert all(a["streams"] >= b["streams"] for a, b in zip(got, got[1:]))
 
 
+def test_cumulative_share_of_more_rows_than_a_sample_has(spark):
+    """Rows with a column that the sums do not need, some alike in weight and key, some without a weight."""
+    rows = spark.range(60_000).selectExpr("concat('u', id % 50000) AS uri", "IF(id % 5000 = 7, NULL, id * 7919 % 1000 + 1) AS streams", "id AS reason").where("uri <> 'u3' OR reason < 50000")
+    got = S.cumulative_share(rows, "streams", "uri").collect()
+    want = sorted((r["streams"] is None, -(r["streams"] or 0), r["uri"]) for r in rows.collect())
+    total, run, last = -sum(w[1] for w in want), 0, {}
+    for w in want:
+        run -= w[1]
+        last[w] = run / total
+    assert sorted(r["place"] for r in got) == list(range(1, len(want) + 1))
+    assert [(r["streams"], r["uri"]) for r in sorted(got, key=lambda r: r["place"])] == [(-w[1] or None, w[2]) for w in want]
+    assert all(math.isclose(r["cum_share"], last[r["streams"] is None, -(r["streams"] or 0), r["uri"]]) for r in got)
+
+
 def test_sources_and_sinks(spark, tmp_path):
     p = tmp_path / "o.csv"
     p.write_text('﻿spotify_uri,track_name,artist_names,action,shironet_url,note,pct_streams\nu1,"a ""q"" b",x,none,,,1.5\nu1,b,x,url,,,\n', encoding="utf-8")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .inference import by, in_time
@@ -173,14 +173,39 @@ def concentration(changes: DataFrame, top: int = 5, key: str = "uri") -> DataFra
     return changes.agg(F.sum("contribution").alias("change")).crossJoin(best).select("change", F.try_divide("best", "change").alias("top_share"))
 
 
+#: Rows of a sample for each range that running sums are taken in.
+RANGE_SAMPLE = 32
+
+
+def _ranges(rows: DataFrame, weight: str, key: str) -> Column:
+    """The number of each row's range, from the largest weight down, then by key: about as many as shuffle partitions.
+
+    The bounds are taken from a sample once and are constants of the expression, so each evaluation of a row has one range,
+    whatever the sample. Rows alike in weight and key are in one range.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    some = rows.select(F.col(weight).alias("w"), F.col(key).alias("k")).where("w IS NOT NULL AND k IS NOT NULL")
+    some = some.orderBy(F.xxhash64("w", "k")).limit(RANGE_SAMPLE * n).distinct().orderBy(F.desc("w"), "k").collect()
+    bounds = [some[i * len(some) // n] for i in range(1, n)] if len(some) > n else []
+
+    def branch(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        w, k = bounds[mid]
+        first = (F.col(weight) > F.lit(w)) | ((F.col(weight) == F.lit(w)) & (F.col(key).isNull() | (F.col(key) <= F.lit(k))))
+        return F.when(first, branch(low, mid)).otherwise(branch(mid + 1, high))
+
+    return branch(0, len(bounds))
+
+
 def cumulative_share(rows: DataFrame, weight: str, key: str) -> DataFrame:
-    """rows from the largest weight down, with their place and running share of all weight.
+    """rows from the largest weight down, with their place and running share of all weight; rows alike in weight and key
+    have the share of the last of them.
 
-    The running sum is taken in key ranges of the weight first, so no task holds more than a range and one row a range.
+    The running sum is taken in ranges of weight and key first, so no task holds more than a range and one row a range.
     """
-    spark = rows.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cut = rows.repartitionByRange(n, F.col(weight).desc(), F.col(key)).withColumn("_part", F.spark_partition_id())
+    cut = rows.withColumn("_part", _ranges(rows, weight, key))
     parts = cut.groupBy("_part").agg(F.sum(weight).alias("_s"), F.count("*").alias("_n"))
     up = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     base = parts.select(
@@ -190,7 +215,7 @@ def cumulative_share(rows: DataFrame, weight: str, key: str) -> DataFrame:
     inside = Window.partitionBy("_part").orderBy(F.col(weight).desc(), key)
     x = cut.join(F.broadcast(base), "_part")
     return x.withColumn("place", F.col("_n0") + F.row_number().over(inside)).withColumn(
-        "cum_share", (F.col("_s0") + F.sum(weight).over(inside.rowsBetween(Window.unboundedPreceding, 0))) / F.col("_all"),
+        "cum_share", (F.col("_s0") + F.coalesce(F.sum(weight).over(inside.rangeBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(0))) / F.col("_all"),
     ).select(*rows.columns, "place", "cum_share")
 
 
