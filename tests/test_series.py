@@ -158,6 +158,15 @@ def test_cumulative_share_of_more_rows_than_a_sample_has(spark):
     assert all(math.isclose(r["cum_share"], last[r["streams"] is None, -(r["streams"] or 0), r["uri"]]) for r in got)
 
 
+def test_the_first_page_of_a_url_is_cached(spark):
+    """Of pages of one url the first by the order that has html counts, in whatever order the rows come."""
+    rows = [(i, f"u{i % 40}", None if i < 80 else f"page {i}") for i in range(4000)]
+    pages = spark.createDataFrame(rows, "n long, url string, html string").orderBy(F.desc("n")).repartition(7)
+    got = readers.cached_pages(spark.createDataFrame([(f"u{i}",) for i in range(41)], "url string"), pages, "n").collect()
+    assert {r["url"]: r["html"] for r in got} == {f"u{i}": f"page {80 + i}" for i in range(40)} | {"u40": None}
+    assert [r["url"] for r in got if r["status"] == "not_cached"] == ["u40"]
+
+
 def test_sources_and_sinks(spark, tmp_path):
     p = tmp_path / "o.csv"
     p.write_text('﻿spotify_uri,track_name,artist_names,action,shironet_url,note,pct_streams\nu1,"a ""q"" b",x,none,,,1.5\nu1,b,x,url,,,\n', encoding="utf-8")

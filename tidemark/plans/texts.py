@@ -117,9 +117,9 @@ def sha1_key(spark: SparkSession, d: str) -> DataFrame:
 
 
 def page_cache(spark: SparkSession, d: str) -> DataFrame:
-    """Wanted pages against those fetched: the rest is not cached."""
+    """Wanted pages against those fetched: the rest is not cached. Of pages fetched for one url the first counts."""
     p = table(spark, d, "pages")
-    got = readers.cached_pages(p.select("page_id", "url"), p.where("page_id % 3 <> 0").select("url", "html"))
+    got = readers.cached_pages(p.select("page_id", "url"), p.where("page_id % 3 <> 0").select("page_id", "url", "html"), "page_id")
     return got.select("page_id", "key", "status", F.coalesce(F.length("html"), F.lit(0)).alias("html_chars"))
 
 

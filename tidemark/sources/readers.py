@@ -70,8 +70,12 @@ def first_wins(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
-def cached_pages(wanted: DataFrame, pages: DataFrame) -> DataFrame:
-    """wanted (url) with html and status: fetched pages by the SHA-1 of their url, not_cached where there is none."""
-    keyed = pages.select(F.sha1("url").alias("key"), "html").dropDuplicates(["key"])
+def cached_pages(wanted: DataFrame, pages: DataFrame, order: str | None = None) -> DataFrame:
+    """wanted (url) with html and status: fetched pages by the SHA-1 of their url, not_cached where there is none.
+
+    Of several pages of a url that have html the first by the column `order` counts, and the least html of those alike in it.
+    """
+    kept = F.struct(*([F.col(order).alias("o")] if order else []), F.col("html"))
+    keyed = pages.where("html IS NOT NULL").groupBy(F.sha1("url").alias("key")).agg(F.min(kept)["html"].alias("html"))
     found = wanted.withColumn("key", F.sha1("url")).join(keyed, "key", "left")
     return found.withColumn("status", F.when(F.col("html").isNull(), "not_cached").otherwise("ok"))
