@@ -96,7 +96,8 @@ def clean_lyrics(c: Column) -> Column:
 def letter_share(c: Column, letters: str = HEBREW) -> Column:
     """The share of a text's letters that are of a class; 0 without letters."""
     inside = letters[:-1] + r"&&\p{L}]"
-    return F.regexp_count(c, F.lit(inside)) / F.greatest(F.lit(1), F.regexp_count(c, F.lit(r"\p{L}")))
+    count = lambda kind: F.length(c) - F.length(F.regexp_replace(c, kind + "+", ""))  # noqa: E731  whole runs go at once
+    return count(inside) / F.greatest(F.lit(1), count(r"\p{L}"))
 
 
 def search_url(base: str, q: Column) -> Column:

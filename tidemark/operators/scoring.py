@@ -17,13 +17,19 @@ from . import series as S
 Scorer = Callable[[], Callable[[list[list]], np.ndarray]]
 
 
-def language_gate(texts: DataFrame, text: str = "text", letters: str = X.HEBREW, least: float = 0.5) -> tuple[DataFrame, DataFrame]:
-    """(texts to be scored, texts left out), both with `share`, the share of their letters that are of the class `letters`.
+def gated(texts: DataFrame, text: str = "text", letters: str = X.HEBREW, least: float = 0.5) -> DataFrame:
+    """texts with `share`, the share of their letters that are of the class `letters`, and whether they are `scored`.
 
     Texts with a share under `least` are left out; null texts and texts without letters have a share of 0.
     """
     shared = texts.withColumn("share", F.coalesce(X.letter_share(F.col(text), letters), F.lit(0.0)))
-    return shared.where(F.col("share") >= least), shared.where(F.col("share") < least)
+    return shared.withColumn("scored", F.col("share") >= least)
+
+
+def language_gate(texts: DataFrame, text: str = "text", letters: str = X.HEBREW, least: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """(texts to be scored, texts left out) of `gated`, both with `share`."""
+    shared = gated(texts, text, letters, least)
+    return shared.where("scored").drop("scored"), shared.where("NOT scored").drop("scored")
 
 
 def score_windows(

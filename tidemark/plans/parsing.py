@@ -119,10 +119,9 @@ def lyrics_cleaned(spark: SparkSession, d: str) -> DataFrame:
 
 
 def language_gate(spark: SparkSession, d: str) -> DataFrame:
-    """Documents by whether half of their letters are of the first half of the alphabet."""
-    kept, skipped = scoring.language_gate(table(spark, d, "documents").select("doc_id", "text"), letters="[A-Ma-m]")
-    both = kept.select("doc_id", "share", F.lit("scored").alias("result")).union(skipped.select("doc_id", "share", F.lit("skipped").alias("result")))
-    return both.select("doc_id", "result", F.round("share", 6).alias("share"))
+    """Documents by whether half of their letters are of the first half of the alphabet, in one reading of the texts."""
+    both = scoring.gated(table(spark, d, "documents").select("doc_id", "text"), letters="[A-Ma-m]")
+    return both.select("doc_id", F.when(F.col("scored"), "scored").otherwise("skipped").alias("result"), F.round("share", 6).alias("share"))
 
 
 def candidate_tiers(spark: SparkSession, d: str) -> DataFrame:
