@@ -35,6 +35,11 @@ def nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
 
+def composed(c: Column) -> Column:
+    """c in composed form. What is under U+0300 only is composed as it is and does not go through Python."""
+    return F.coalesce(nfc(F.when(c.rlike(r"[\x{300}-\x{10FFFF}]"), c)), c)
+
+
 def has_hebrew(c: Column) -> Column:
     return F.coalesce(c.rlike(HEBREW), F.lit(False))
 
@@ -45,7 +50,7 @@ def strip_bidi(c: Column) -> Column:
 
 def clean(c: Column, compose: bool = True) -> Column:
     """For comparison: composed, without points, direction marks and punctuation, single spaces, lower case."""
-    c = nfc(c) if compose else c
+    c = composed(c) if compose else c
     c = F.translate(strip_bidi(F.regexp_replace(c, POINTS, "")), QUOTES, PLAIN)
     c = F.regexp_replace(c, r"[^\p{L}\p{N}_\p{Z}\s']", " ")
     return F.lower(F.trim(F.regexp_replace(c, r"[\p{Z}\s]+", " ")))

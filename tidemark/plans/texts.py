@@ -97,7 +97,7 @@ def split_artists(spark: SparkSession, d: str) -> DataFrame:
 
 def title_normalise(spark: SparkSession, d: str) -> DataFrame:
     """Whole texts as titles are normalised."""
-    t = table(spark, d, "documents").select("doc_id", F.col("text").alias("t"))
+    t = table(readers.small_batches(spark), d, "documents").select("doc_id", F.col("text").alias("t"))
     return t.select("doc_id", X.clean(F.col("t")).alias("clean"), X.squash(F.col("t")).alias("squashed"))
 
 

@@ -13,6 +13,19 @@ WEEKLY = "week_date date, joy double, sadness double, anger double, fear double,
 PAGES = "url string, html string, status int"
 
 
+#: Bytes of rows that Spark hands to a Python worker at a time, where whole texts go through Python.
+ARROW_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """The session, whose Arrow batches from now on have ARROW_BYTES at most; one that asks for less keeps its setting."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name)
+    if not now.removesuffix("b").isdigit() or int(now.removesuffix("b")) > ARROW_BYTES:
+        spark.conf.set(name, f"{ARROW_BYTES}b")
+    return spark
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path is there, in whatever store it names."""
     jvm = spark.sparkContext._jvm
