@@ -156,8 +156,12 @@ def first_tier(decided: DataFrame, by: list[str], tier: str = "tier") -> DataFra
 
 
 def learn_ids(hits: DataFrame, least: int = 2) -> DataFrame:
-    """(credited, prfid) of artist ids that title hits of `least` songs or more share. hits: credited, song, prfid."""
-    return hits.where("prfid IS NOT NULL").groupBy("credited", "prfid").agg(F.countDistinct("song").alias("songs")).where(F.col("songs") >= least).select("credited", "prfid")
+    """(credited, prfid) of artist ids that title hits of `least` songs or more share. hits: credited, song, prfid, and where
+    a song stands for several their number `songs`."""
+    if "songs" not in hits.columns:
+        hits = hits.withColumn("songs", F.lit(1))
+    each = hits.where("prfid IS NOT NULL AND song IS NOT NULL").groupBy("credited", "prfid", "song").agg(F.max("songs").alias("songs"))
+    return each.groupBy("credited", "prfid").agg(F.sum("songs").alias("songs")).where(F.col("songs") >= least).select("credited", "prfid")
 
 
 def overridden(rows: DataFrame, overrides: DataFrame, status: Column, key: str = "uri") -> DataFrame:
@@ -171,20 +175,24 @@ def overridden(rows: DataFrame, overrides: DataFrame, status: Column, key: str =
 
 def resolve(
     songs: DataFrame, candidates: DataFrame, mapping: DataFrame, known: DataFrame, overrides: DataFrame, uncached: DataFrame | None = None,
+    alike: str | None = None,
 ) -> DataFrame:
     """Songs with status, part count and the chosen pages, in two passes over one set of candidates.
 
     songs: uri, track_name, artist_names. candidates: uri, part_no, tier, ord, title, artist, prfid, wrkid, url,
     lyrics. The ids that pass 1 learns from title hits are known in pass 2, as a snapshot. Overrides (spotify_uri,
     action, shironet_url) of action none or url win over any match. uncached (uri): songs of which a page that was to be
-    read is not in the cache; they have no pages and the status not_cached.
+    read is not in the cache; they have no pages and the status not_cached. alike: a column of songs that is the same for
+    songs of the same names and candidates, which are then matched once; candidates have it as their uri.
     """
-    parts = artist_variants(songs, mapping).withColumn("credited", X.split_artists(F.col("artist_names"))).select(
-        "uri", "variants", "credited", F.posexplode(X.title_parts(F.col("track_name"))).alias("part_no", "part"),
+    one = F.col(alike or "uri")
+    heads = songs.groupBy(one.alias("uri")).agg(F.first("track_name").alias("track_name"), F.first("artist_names").alias("artist_names"), F.countDistinct(songs["uri"]).alias("songs")) if alike else songs.withColumn("songs", F.lit(1))
+    parts = artist_variants(heads, mapping).withColumn("credited", X.split_artists(F.col("artist_names"))).select(
+        "uri", "songs", "variants", "credited", F.posexplode(X.title_parts(F.col("track_name"))).alias("part_no", "part"),
     )
     rows = prepared_parts(parts).join(prepared_pages(candidates), ["uri", "part_no"])
     hits = score_candidates(rows, known).where(F.col("title_score") >= TITLE_ACCEPT)
-    learned = learn_ids(hits.select(F.explode("credited").alias("credited"), F.concat_ws("|", "uri", "part").alias("song"), "prfid"))
+    learned = learn_ids(hits.select(F.explode("credited").alias("credited"), F.concat_ws("|", "uri", "part").alias("song"), "prfid", "songs"))
     decided = score_candidates(rows, known.select("credited", "prfid").union(learned).distinct())
     chosen = best(first_tier(decided, ["uri", "part_no"]), ["uri", "part_no"], "ord")
     picked = parts.select("uri", "part_no").join(chosen, ["uri", "part_no"], "left")
@@ -202,7 +210,7 @@ def resolve(
         F.min("artist_score").alias("artist_score"),
         F.array_join(ordered("lyrics"), "\n\n").alias("lyrics"),
     )
-    x = songs.join(song, "uri", "left")
+    x = songs.join(song.withColumnRenamed("uri", alike), alike, "left") if alike else songs.join(song, "uri", "left")
     if uncached is not None:
         x = x.join(uncached.select("uri").distinct().withColumn("_miss", F.lit(True)), "uri", "left")
         x = x.withColumns({c: F.when(F.col("_miss").isNull(), F.col(c)) for c in ("shironet_urls", "shironet_titles", "title_score", "artist_score", "lyrics")})

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import series as S
@@ -16,6 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def six_digits(x: Column) -> Column:
+    """x to six digits as SQL's round has it, by the double times a million: round() goes by the shortest decimal of a double."""
+    return F.round(x * 1e6) / 1e6
+
+
 def charts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The TOP parts of each shipping week by quantity: week_date, uri, streams, rank."""
     l = table(spark, sf_dir, "lineitem")

@@ -10,7 +10,7 @@ from tidemark.functions import text as X
 from tidemark.operators import matching as M
 from tidemark.operators import scoring
 
-from .analogues import table
+from .analogues import six_digits, table
 
 SITE = "https://songs.example.org"
 REAL = '<form id="headerSearchForm0"></form></HTML>'
@@ -121,7 +121,7 @@ def lyrics_cleaned(spark: SparkSession, d: str) -> DataFrame:
 def language_gate(spark: SparkSession, d: str) -> DataFrame:
     """Documents by whether half of their letters are of the first half of the alphabet, in one reading of the texts."""
     both = scoring.gated(table(spark, d, "documents").select("doc_id", "text"), letters="[A-Ma-m]")
-    return both.select("doc_id", F.when(F.col("scored"), "scored").otherwise("skipped").alias("result"), F.round("share", 6).alias("share"))
+    return both.select("doc_id", F.when(F.col("scored"), "scored").otherwise("skipped").alias("result"), six_digits(F.col("share")).alias("share"))
 
 
 def candidate_tiers(spark: SparkSession, d: str) -> DataFrame:

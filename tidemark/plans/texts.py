@@ -14,7 +14,7 @@ from tidemark.operators import scoring
 from tidemark.operators import series as S
 from tidemark.sources import readers, sinks
 
-from .analogues import CHARTS_SQL, HALF_YEARS, charts, table
+from .analogues import CHARTS_SQL, HALF_YEARS, charts, six_digits, table
 from .weekly import CASES_SQL, R, rounded
 
 # Stand-in word lists of the test languages, with the hits that make a theme.
@@ -46,7 +46,7 @@ def weekly_theme_share(spark: SparkSession, d: str) -> DataFrame:
 
 def script_share(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    share = docs.select("doc_id", F.round(X.letter_share(F.col("text"), "[A-Za-z]"), 6).alias("share"))
+    share = docs.select("doc_id", six_digits(X.letter_share(F.col("text"), "[A-Za-z]")).alias("share"))
     return share.withColumn("kept", (F.col("share") >= 0.95).cast("int"))
 
 
@@ -238,27 +238,29 @@ def title_scores(spark: SparkSession, d: str) -> DataFrame:
 
 def resolved_songs(spark: SparkSession, d: str) -> DataFrame:
     """Two-pass resolution of parts as songs. The pages are the distinct names of a brand: an artist's list has all of a
-    brand's, a search all of a name's. Some songs are decided by hand and some have pages that are not in the cache."""
+    brand's, a search all of a name's, so songs of one name and brand are matched once. Some songs are decided by hand and
+    some have pages that are not in the cache."""
     p = table(spark, d, "part")
     uri = F.col("p_partkey").cast("string")
     songs = p.select(
         uri.alias("uri"), F.concat("p_name", F.lit(" - Live")).alias("track_name"), F.col("p_brand").alias("artist_names"),
-        F.col("p_retailprice").alias("total_streams"), "p_name", "p_brand", "p_partkey",
+        F.col("p_retailprice").alias("total_streams"), "p_name", "p_brand", "p_partkey", F.to_json(F.array("p_name", "p_brand")).alias("kind"),
     )
     page = p.groupBy("p_name", "p_brand").agg(F.min("p_partkey").alias("ord"), F.min_by("p_type", "p_partkey").alias("lyrics"))
     page = page.select(
         F.col("p_name").alias("title"), F.col("p_brand").alias("artist"), F.col("p_brand").alias("prfid"), "ord", F.col("ord").cast("string").alias("wrkid"),
         F.col("ord").cast("string").alias("url"), "lyrics",
     )
-    works = songs.select("uri", F.col("p_brand").alias("artist")).join(page, "artist").withColumn("tier", F.lit(0))
-    found = songs.select("uri", F.col("p_name").alias("title")).join(page, "title").withColumn("tier", F.lit(1))
+    kinds = songs.select(F.col("kind").alias("uri"), "p_name", "p_brand").distinct()
+    works = kinds.select("uri", F.col("p_brand").alias("artist")).join(page, "artist").withColumn("tier", F.lit(0))
+    found = kinds.select("uri", F.col("p_name").alias("title")).join(page, "title").withColumn("tier", F.lit(1))
     candidates = works.unionByName(found).withColumn("part_no", F.lit(0))
     known = p.where("p_size > 25").select(F.col("p_brand").alias("credited"), F.col("p_brand").alias("prfid")).distinct()
     mapping = spark.createDataFrame([("Brand#3", "מותג שלוש"), ("Brand#5", "Brand five, מותג חמש")], readers.MAPPING)
     manual = songs.where("p_partkey % 40 = 1").select(
         F.col("uri").alias("spotify_uri"), F.when(F.col("p_partkey") % 3 == 0, "none").otherwise("url").alias("action"), F.lit("by hand").alias("shironet_url"),
     )
-    got = M.resolve(songs, candidates, mapping, known, manual, uncached=songs.where("p_partkey % 50 = 7").select("uri"))
+    got = M.resolve(songs, candidates, mapping, known, manual, uncached=songs.where("p_partkey % 50 = 7").select("uri"), alike="kind")
     return got.select("uri", "status", "n_parts", "title_score", "artist_score", "shironet_urls", "lyrics", "manual_url")
 
 
