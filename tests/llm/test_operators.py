@@ -733,3 +733,18 @@ def test_toxicity(spark, docs, none):
 def test_held_out(spark):
     got = {r["doc_id"]: r["h"] for r in spark.range(30).select(F.col("id").alias("doc_id")).withColumn("h", toxicity.held_out()).collect()}
     assert all(h == (zlib.crc32(str(i).encode()) % 3 == 1) for i, h in got.items())
+
+
+def test_replies_are_cut_with_by_shares_of_rows():
+    """Each reply is in one share, with its own anchors and words."""
+    from tidemark.llm import passage_dedup as P
+
+    rng = np.random.default_rng(5)
+    n, size = rng.integers(1, 4, 200), rng.integers(1, 9, 200).astype(np.uint32)
+    row, anchors = np.sort(rng.integers(0, 60, 200)), np.arange(n.sum())
+    blob = P.pack_chains(row + 7, row, n, anchors, anchors + 5, anchors + 9, size, size, np.arange(size.sum(), dtype=np.uint32))
+    whole, parts = P._replies(blob, 0, 1), [P._replies(blob, k, 3) for k in range(3)]
+    assert [set(p[0] % 3) for p in parts] == [{0}, {1}, {2}]
+    for k, own in enumerate([None, None, n, n, n, None, None, size.astype(np.int64)]):
+        mark = row if own is None else np.repeat(row, own)
+        assert all((p[k] == whole[k][mark % 3 == s]).all() for s, p in enumerate(parts))
